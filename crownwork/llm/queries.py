@@ -25,8 +25,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, graded, severity_labels
+
+    docs = table(spark, sf_dir, "documents")
+    return graded(docs, fit(severity_labels(docs, table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict:
-    return {"op1_token_ids": op1_token_ids, "op3_packing": op3_packing}
+    return {
+        "op1_token_ids": op1_token_ids,
+        "op3_packing": op3_packing,
+        "op4_language_id": op4_language_id,
+        "op5_toxicity": op5_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
