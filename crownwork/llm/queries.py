@@ -38,14 +38,41 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded(docs, fit(severity_labels(docs, table(spark, sf_dir, "labels"))))
 
 
+#: The rules of op8's contract.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scanned
+
+    return scanned(table(spark, sf_dir, "documents"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judged
+
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_license_scan": op2_license_scan,
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
+        "op7_nearest": op7_nearest,
+        "op8_url_filter": op8_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op2_license_scan": licenses.oracle_sql()}
