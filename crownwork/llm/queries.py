@@ -60,6 +60,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import classed
+
+    return classed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
@@ -69,6 +75,7 @@ def queries() -> dict:
         "op5_toxicity": op5_toxicity,
         "op7_nearest": op7_nearest,
         "op8_url_filter": op8_url_filter,
+        "op9_ngram_join": op9_ngram_join,
     }
 
 
