@@ -66,6 +66,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classed(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicated
+
+    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as bigint) doc_id", "text")
+    return deduplicated(docs, digest=True).selectExpr("kept.doc_id", "n_bytes", "n_removed", "n_spans", "left kept_sha256")
+
+
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
@@ -76,6 +83,7 @@ def queries() -> dict:
         "op7_nearest": op7_nearest,
         "op8_url_filter": op8_url_filter,
         "op9_ngram_join": op9_ngram_join,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
