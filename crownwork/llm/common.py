@@ -34,3 +34,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
 def ascii_lower(col):
     """A-Z only, as both engines and Python can do it alike."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def small_hint(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """df, to be broadcast if it has at most most_rows rows; beyond that the join shuffles. For narrow stored tables."""
+    return F.broadcast(df) if df.count() <= most_rows else df

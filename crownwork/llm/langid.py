@@ -87,8 +87,8 @@ def fit(docs: DataFrame, per_language: int = 5000, most_words: int = 150_000, lo
     return model
 
 
-def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of docs with lang_pred and score. Only text is looked at."""
+def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), nested: bool = False) -> DataFrame:
+    """The columns ``keep`` of docs (nested: as a struct, ``kept``) with lang_pred and score. Only text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: most_words words and n-grams
     taken = docs.select(F.col("text").cast("string").alias("text"), F.struct(*keep).alias("kept"))
 
@@ -105,7 +105,8 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",)) -
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["kept", "lang_pred", "score"])
 
     kinds = taken.schema["kept"].dataType.simpleString()
-    return taken.mapInArrow(run, f"kept {kinds}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    found = taken.mapInArrow(run, f"kept {kinds}, lang_pred string, score double")
+    return found if nested else found.select("kept.*", "lang_pred", "score")
 
 
 def identified(docs: DataFrame, **options) -> DataFrame:

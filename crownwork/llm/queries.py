@@ -48,6 +48,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -80,6 +86,7 @@ def queries() -> dict:
         "op3_packing": op3_packing,
         "op4_language_id": op4_language_id,
         "op5_toxicity": op5_toxicity,
+        "op6_decontamination": op6_decontamination,
         "op7_nearest": op7_nearest,
         "op8_url_filter": op8_url_filter,
         "op9_ngram_join": op9_ngram_join,

@@ -278,14 +278,17 @@ def _united(length: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, broadcast_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """docs with ord and th (a document's key), and the spans by ord and th: first bytes and ends, on end.
+    """ord and th (a document's key), kept (a struct of all columns but text) and text; and the spans by ord and th:
+    first bytes and ends, on end.
 
     ord: doc_id, null the least. Rows of equal doc_id stand in the order of th, a hash of the text; those of equal
     doc_id and text are one document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"ord": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), "th": F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")})
-    # exact copies within the same doc_id would be seen as repeats of themselves
-    texts = keyed.select("ord", "th", F.col("text").cast("string").alias("text"))
+    order, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    keyed = docs.select(order.alias("ord"), th.alias("th"), others.alias("kept"), F.col("text").cast("string").alias("text"))
+    # rows of equal doc_id and text would be seen as repeats of themselves
+    texts = keyed.select("ord", "th", "text")
     repeats = texts.groupBy("ord", "th").count().where("count > 1").limit(1).count()
     texts = texts.dropDuplicates(["ord", "th"]) if repeats else texts
     runs = stored(texts.mapInArrow(_named(length), ROWS))
@@ -330,7 +333,6 @@ def deduplicated(docs: DataFrame, length: int = 100, digest: bool = False, broad
     A null text is an empty one. A cut may fall inside a character; ``left`` is then without that character's rest."""
     keyed, spans = repeated_spans(docs, length, broadcast_rows)
     hint = F.broadcast if spans.count() <= broadcast_rows // 10 else (lambda df: df)
-    others = [c for c in docs.columns if c != "text"]
-    joined = keyed.select("ord", "th", F.struct(*[F.col(c) for c in others]).alias("kept"), F.col("text").cast("string").alias("text")).join(hint(spans), ["ord", "th"], "left").select("kept", "text", "spans")
+    joined = keyed.join(hint(spans), ["ord", "th"], "left").select("kept", "text", "spans")
     kinds = joined.schema["kept"].dataType.simpleString()
     return joined.mapInArrow(_cut(digest), f"kept {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, left string")
