@@ -46,6 +46,22 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "grade", "n", "f", "c"])
 
 
+def _chosen(names: list[str]):
+    """Numbers and values of a document's features among the chosen ones."""
+    number = {f: k for k, f in enumerate(names)}
+
+    def run(batches):
+        for b in batches:
+            cols, values = [], []
+            for n, found, counts in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+                hits = sorted((number[f], 100 * c / (n + SHORT)) for f, c in zip(found, counts) if f in number)
+                cols.append([h[0] for h in hits])
+                values.append([h[1] for h in hits])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "grade", "col", "value"])
+
+    return run
+
+
 def fit(labelled: DataFrame, sample: int = 6000, most_features: int = 2000, least: int = 5, rounds: int = 400, l2: float = 2e-3) -> dict:
     """labelled: doc_id, text, grade (whole numbers from 0; null rows are left out)."""
     known = labelled.where("text is not null and grade is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("grade").cast("int").alias("grade")).dropDuplicates(["doc_id"])
@@ -61,15 +77,11 @@ def fit(labelled: DataFrame, sample: int = 6000, most_features: int = 2000, leas
     expected = F.col("docs") * F.lit((n_over or 0) / max(n_docs, 1))
     best = by.withColumn("chi", (F.col("over") - expected) ** 2 / F.greatest(expected, F.lit(1e-9))).orderBy(F.desc("chi"), "f").limit(most_features)
     names = [r["f"] for r in best.select("f").collect()]
-    kept = rows.join(F.broadcast(best.select("f")), "f").select("doc_id", "f", "c").toPandas()  # most_features rows a document of the sample at most
-    meta = some.select("doc_id", "grade", "n").dropDuplicates(["doc_id"]).toPandas()
-    meta = meta.sort_values("doc_id").reset_index(drop=True)
-    kept = kept.sort_values(["doc_id", "f"])
-    row = np.searchsorted(meta["doc_id"].to_numpy(), kept["doc_id"].to_numpy())
-    number = {f: k for k, f in enumerate(names)}
-    col = np.array([number[f] for f in kept["f"]], np.int64)
-    value = 100 * kept["c"].to_numpy() / (meta["n"].to_numpy()[row] + SHORT)
-    w, t = _fit(row, col, value, meta["grade"].to_numpy(), len(names), int(most), rounds, l2)
+    kept = some.mapInArrow(_chosen(names), "doc_id bigint, grade int, col array<int>, value array<double>").toPandas().drop_duplicates("doc_id")  # a row a document of the sample
+    sizes = kept["col"].map(len).to_numpy()
+    row = np.repeat(np.arange(len(kept)), sizes)
+    col, value = (np.concatenate([np.zeros(0), *kept[c]]) for c in ("col", "value"))
+    w, t = _fit(row, col.astype(np.int64), value, kept["grade"].to_numpy(), len(names), int(most), rounds, l2)
     return {"features": names, "weights": w, "thresholds": t}
 
 
