@@ -116,7 +116,7 @@ def held(level: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return level[at] == wanted if len(level) else np.zeros(len(wanted), bool)
 
 
-def _slices(raws: list[bytes], most: int = 4_000_000):
+def _slices(raws: list[bytes], most: int = 1_000_000):
     at, size = 0, 0
     for k, r in enumerate(raws):
         if k > at and size + len(r) > most:
@@ -129,7 +129,7 @@ def _slices(raws: list[bytes], most: int = 4_000_000):
 
 def _parts(raw: bytes, length: int):
     """A very long document in pieces that share length - 1 bytes, so that each string is in one piece: (offset, piece)."""
-    most = (1 << _PLACE) - 2
+    most = min((1 << _PLACE) - 2, 1 << 21)
     if len(raw) <= most:
         return [(0, raw)]
     return [(k, raw[k : k + most]) for k in range(0, len(raw) - length + 1, most - length + 1)]
