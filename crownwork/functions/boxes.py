@@ -134,3 +134,31 @@ def vector_azimuth(x: Column, y: Column) -> Column:
 def turned_azimuth(azimuth: Column, degrees: Column) -> Column:
     """The azimuth after the image is turned counter-clockwise."""
     return F.pmod(azimuth - degrees, F.lit(360))
+
+
+def clear_enough(boxes: DataFrame, px: DataFrame, key: str = "det_id", least_side: int = 10, least_share: float = 0.4) -> DataFrame:
+    """Boxes with sides of least_side at least, of whose pixels (image_id, y, x, luma) least_share aren't black."""
+    wide = boxes.where((F.col("xmax") - F.col("xmin") >= least_side) & (F.col("ymax") - F.col("ymin") >= least_side))
+    rows = wide.select(key, "image_id", F.col("xmin").alias("_x0"), F.col("xmax").alias("_x1"), F.explode(F.sequence(F.col("ymin").cast("bigint"), F.col("ymax").cast("bigint") - 1)).alias("y"))
+    seen = rows.join(px.select("image_id", "y", "x", "luma"), ["image_id", "y"]).where("x >= _x0 and x < _x1")
+    share = seen.groupBy(key).agg(F.avg((F.col("luma") > 0).cast("double")).alias("_s")).where(F.col("_s") >= least_share)
+    return wide.join(share.select(key), key, "left_semi")
+
+
+def rotation_copies(boxes: DataFrame, images: DataFrame, copies: int = 1, seed: int = 1) -> DataFrame:
+    """``copies`` turned copies of each image's boxes: an angle for each image by a hash of (seed, image, copy), boxes and
+    azimuth turned alike, and a new image name with the angle. images: image_id, width, height, azimuth, domain."""
+    angles = images.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    angles = angles.withColumn("angle", ((F.col("image_id") * 7919 + F.col("copy") * 104729 + seed) % 360).cast("double"))
+    both = boxes.join(angles, "image_id")
+    turned = rotated(both, F.col("angle"), F.col("width"), F.col("height"))
+    return turned.withColumns({"azimuth": turned_azimuth(F.col("azimuth"), F.col("angle")), "image_name": F.concat_ws("_rot", "image_id", F.col("angle").cast("int"))})
+
+
+def as_pixels(df: DataFrame, width: str, height: str, by: str, order: str) -> DataFrame:
+    """Adds pixel_space: whether the first shape of each file has its centre (mx, my) within the image, so that its
+    coordinates are pixels whatever reference system it names."""
+    first = df.groupBy(by).agg(F.min_by(F.struct("mx", "my", width, height), order).alias("_f"))
+    f = F.col("_f")
+    inside = f["mx"].between(0, f[width]) & f["my"].between(0, f[height])
+    return df.join(first.select(by, inside.alias("pixel_space")), by)

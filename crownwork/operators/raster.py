@@ -202,3 +202,68 @@ def compared(px: DataFrame, methods: tuple[str, ...] = tuple(METHODS)) -> DataFr
         one = METHODS[m](px).groupBy("image_id").agg(F.count("*").alias("k")).withColumn("method", F.lit(m))
         every = one if every is None else every.unionByName(one)
     return every.join(total, "image_id").select("method", "image_id", (100.0 * F.col("k") / F.col("n")).alias("coverage"))
+
+
+def lab_shadow(px: DataFrame, share: float = 0.25, least: int = 100) -> DataFrame:
+    """Pixels (with r, g, b) of the darkest ``share`` by lightness that aren't green (a* over -5), opened and closed by a
+    5 x 5 ellipse, without specks."""
+    from .components import without_specks
+
+    l, a, _ = lab(F.col("r"), F.col("g"), F.col("b"))
+    seen = px.select(*KEY, l.alias("_l"), a.alias("_a"))
+    cut = seen.groupBy("image_id").agg(F.percentile("_l", share).alias("_cut"))
+    mask = seen.join(cut, "image_id").where("_l < _cut and _a > -5").select(*KEY)
+    return without_specks(closed(opened(mask, ellipse(5), px), ellipse(5), px), least)
+
+
+def lab_canopy(px: DataFrame, top: float = -5.0, least: int = 100) -> DataFrame:
+    """Green pixels: a* under ``top``, opened and closed, without specks."""
+    from .components import without_specks
+
+    _, a, _ = lab(F.col("r"), F.col("g"), F.col("b"))
+    mask = px.where(a < top).select(*KEY)
+    return without_specks(closed(opened(mask, ellipse(5), px), ellipse(5), px), least)
+
+
+def chromatic_shadow(px: DataFrame, size: int = 31, share: float = 0.7, saturation: float = 0.6, least: int = 50) -> DataFrame:
+    """Pixels darker than around them in lightness and in value, of low saturation, without specks."""
+    from .components import without_specks
+
+    l, _, _ = lab(F.col("r"), F.col("g"), F.col("b"))
+    _, s, v = hsv(F.col("r"), F.col("g"), F.col("b"))
+    seen = px.select(*KEY, l.alias("_l"), s.alias("_s"), v.alias("_v"))
+    means = local_mean(local_mean(seen, "_l", square(size), "_ml"), "_v", square(size), "_mv")
+    return without_specks(means.where((F.col("_l") < share * F.col("_ml")) & (F.col("_v") < share * F.col("_mv")) & (F.col("_s") < saturation)).select(*KEY), least)
+
+
+def voted(masks: list[DataFrame], votes: int = 1) -> DataFrame:
+    """Pixels that at least ``votes`` of the masks hold."""
+    every = masks[0].select(*KEY).distinct()
+    for m in masks[1:]:
+        every = every.unionByName(m.select(*KEY).distinct())
+    return every.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= votes).select(*KEY)
+
+
+def noisy(px: DataFrame, shadow: DataFrame, value: str = "luma", inside: float = 5.0, outside: float = 30.0, seed: int = 1) -> DataFrame:
+    """Values with normal noise, less of it in shadow, within 0..255."""
+    both = px.join(shadow.select(*KEY).withColumn("_in", F.lit(True)), KEY, "left")
+    return both.withColumn(value, F.greatest(F.least(F.col(value) + F.randn(seed) * F.when(F.col("_in"), inside).otherwise(outside), F.lit(255.0)), F.lit(0.0))).drop("_in")
+
+
+def negative_points(shadow: DataFrame, boxes: DataFrame, more: int = 2, seed: int = 1) -> DataFrame:
+    """box_id, point, px, py in shares of the box: the mean of the shadow in the box (point 0) and ``more`` of its
+    pixels, in the order of a seeded hash."""
+    inside = shadow.join(boxes, "image_id").where("x >= xmin and x < xmax and y >= ymin and y < ymax")
+    mean = inside.groupBy("box_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).select("box_id", F.lit(0).alias("point"), "x", "y")
+    order = F.row_number().over(Window.partitionBy("box_id").orderBy((F.col("x") * 7919 + F.col("y") * 104729 + seed) % 10007, "y", "x"))
+    some = inside.withColumn("point", order).where(F.col("point") <= more).select("box_id", "point", F.col("x").cast("double"), F.col("y").cast("double"))
+    own = boxes.select("box_id", "xmin", "ymin", "xmax", "ymax")
+    share = lambda c, lo, hi: ((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)))
+    return mean.unionByName(some).join(own, "box_id").select("box_id", "point", share("x", "xmin", "xmax").alias("px"), share("y", "ymin", "ymax").alias("py"))
+
+
+def nearest_resized(px: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """Pixels of the resized image, each the one at its scaled place."""
+    grid = px.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(new_height - 1).cast("bigint"))).alias("ny")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(new_width - 1).cast("bigint"))).alias("nx"))
+    at = grid.select("image_id", "ny", "nx", F.floor(F.col("ny") * height / new_height).alias("y"), F.floor(F.col("nx") * width / new_width).alias("x"))
+    return at.join(px, KEY).drop("y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})

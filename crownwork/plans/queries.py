@@ -13,6 +13,7 @@ from ..operators import match as M
 from ..operators import metrics as G
 from ..operators import overlap as O
 from ..operators import raster as R
+from ..operators import spans as SP
 from ..operators import suppress as S
 from ..operators import tiling as T
 from .scenes import scene, sql
@@ -720,6 +721,157 @@ def l31_methods(px):
     return R.compared(px, ("gradient", "percentile", "otsu")).select("method", *r6("coverage"))
 
 
+# --- further filters, look-ups and masks
+
+
+@query("tile_meta", oracle=_grid_sql("plain").replace(">=200", ">=256"))
+def c9_slivers(meta):
+    return T.tile_grid(sized(meta), 400, 0.05, "plain", 256)
+
+
+@query("gt_box", oracle="SELECT gt_id, greatest(xmin, 0)*0 + CASE WHEN xmax-xmin>=10 AND ymax-ymin>=10 THEN 1 ELSE 0 END AS wide FROM gt_box")
+def c24_sides(gt):
+    return gt.select("gt_id", ((F.col("xmax") - F.col("xmin") >= 10) & (F.col("ymax") - F.col("ymin") >= 10)).cast("bigint").alias("wide"))
+
+
+@query("det_box", oracle="WITH f AS (SELECT image_id, arg_min((xmin+xmax)/2, det_id) AS mx, arg_min((ymin+ymax)/2, det_id) AS my FROM det_box GROUP BY 1) SELECT image_id, det_id, mx BETWEEN 0 AND 1000 AND my BETWEEN 0 AND 1000 AS pixel_space FROM det_box JOIN f USING(image_id)")
+def c27_pixel_space(det):
+    df = det.select("image_id", "det_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("mx"), ((F.col("ymin") + F.col("ymax")) / 2).alias("my"), F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    return B.as_pixels(df, "width", "height", "image_id", "det_id").select("image_id", "det_id", "pixel_space")
+
+
+@query("verdicts", oracle="SELECT row_id, CASE WHEN row_id%2=0 THEN row_id%3 ELSE 0 END AS n FROM verdicts")
+def c29_annotations(v):
+    text = F.when(F.col("row_id") % 2 == 0, F.to_json(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("row_id") % 3), lambda k: F.struct(k.alias("id"))))).otherwise("junk")
+    found = F.coalesce(F.from_json(text, "array<struct<id: bigint>>"), F.array().cast("array<struct<id: bigint>>"))
+    return v.select("row_id", (F.greatest(F.size(found), F.lit(1)) - 1).cast("bigint").alias("n"))
+
+
+@query("det_box", "verdicts", oracle="WITH o AS (SELECT det_id, image_id, row_number() OVER (PARTITION BY image_id ORDER BY det_id)-1 AS k FROM det_box) SELECT det_id FROM o WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.row_id%200=o.image_id AND v.row_id%7=o.k)")
+def c30_dropped(det, v):
+    k = F.row_number().over(Window.partitionBy("image_id").orderBy("det_id")) - 1
+    out = v.select((F.col("row_id") % 200).alias("image_id"), (F.col("row_id") % 7).alias("k"))
+    return det.withColumn("k", k.cast("bigint")).join(out, ["image_id", "k"], "left_anti").select("det_id")
+
+
+@query("tile_meta", oracle="SELECT image_id FROM tile_meta WHERE west<>0 OR south<>0")
+def c33_georeferenced(meta):
+    return meta.where("west <> 0 or south <> 0").select("image_id")
+
+
+@query("tile_meta", oracle="SELECT image_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, west+i*40-30 AS x0, south+j*40-30 AS y0, west+i*40+70 AS x1, south+j*40+70 AS y1 FROM tile_meta CROSS JOIN range(0,5) a(i) CROSS JOIN range(0,3) b(j)")
+def d2_world_grid(meta):
+    return T.world_grid(meta.select("image_id", "west", "south", (F.col("west") + 200).alias("east"), (F.col("south") + 100).alias("north")))
+
+
+@query("tile_meta", oracle="SELECT image_id, CAST(c AS INTEGER) AS crop, CAST(409+(image_id*7919+c*104729+31+15485863)%(2048-818-400+1) AS BIGINT) AS x0, CAST(409+(image_id*7919+c*104729+31+30971726)%(2048-818-400+1) AS BIGINT) AS y0 FROM tile_meta CROSS JOIN range(1,4) t(c)")
+def d4_crops(meta):
+    return T.safe_crops(meta, 3, 400).select("image_id", "crop", F.col("x0").cast("bigint").alias("x0"), F.col("y0").cast("bigint").alias("y0"))
+
+
+@query("det_box", oracle="SELECT det_id, greatest(least(xmin-300,400),0) AS xmin, greatest(least(ymin-200,500),0) AS ymin, greatest(least(xmax-300,400),0) AS xmax, greatest(least(ymax-200,500),0) AS ymax FROM det_box")
+def d6_to_tile(det):
+    return B_sides(T.to_tile(det, F.lit(300), F.lit(200), F.lit(400), F.lit(500)))
+
+
+def B_sides(df: DataFrame) -> DataFrame:
+    return df.select("det_id", *B.SIDES)
+
+
+@query("det_box", "tile_meta", oracle="SELECT det_id, biome_name FROM det_box JOIN tile_meta USING(image_id)")
+def e1_predictions_with_meta(det, meta):
+    return det.join(meta, "image_id").select("det_id", "biome_name")
+
+
+@query("det_box", "gt_box", oracle="SELECT DISTINCT image_id FROM tile_meta WHERE image_id NOT IN (SELECT image_id FROM gt_box WHERE category=1 AND xmin>1500)")
+def e7_not_done(det, gt):
+    done = gt.where("category = 1 and xmin > 1500").select("image_id")
+    return det.select("image_id").distinct().join(done, "image_id", "left_anti")
+
+
+@query("det_box", "gt_box", oracle="SELECT det_id FROM det_box WHERE image_id IN (SELECT image_id FROM gt_box WHERE category=2)")
+def e8_annotated(det, gt):
+    return det.join(gt.where("category = 2").select("image_id"), "image_id", "left_semi").select("det_id")
+
+
+@query("det_box", "tile_meta", oracle=_split_sql(0.2, None, 1))
+def k4_validation_first(det, meta):
+    return J.split(det.join(meta, "image_id"), "image_id", 0.2, least=1).select("image_id", "fold").distinct()
+
+
+@query("px", oracle=f"SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.square(9))} JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY p.y, p.x, p.luma HAVING p.luma < 0.6*(sum(q.luma*1.0::DOUBLE)/sum(1.0::DOUBLE))")
+def l16_gradient_method(px):
+    return R.darker_than_surroundings(px, 0.6, 9).select("y", "x")
+
+
+def rings(det: DataFrame) -> DataFrame:
+    corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
+    return det.where("det_id % 50 = 1").select(F.col("det_id").alias("obj_id"), "image_id", ring.alias("ring"))
+
+
+@query("det_box", oracle="SELECT det_id AS obj_id, unnest(range(ymin, ymax)) AS y, xmin AS x0, xmax AS x1 FROM det_box WHERE det_id%50=1")
+def l27_ring_spans(det):
+    return SP.ring_spans(rings(det)).select("obj_id", "y", "x0", "x1")
+
+
+@query("det_box", oracle=f"SELECT det_id AS obj_id, CAST({AREA} AS DOUBLE) AS area FROM det_box WHERE det_id%50=1")
+def l29_ring_area(det):
+    return rings(det).select("obj_id", SP.ring_area().alias("area"))
+
+
+@query("det_box")
+def l28_outlines(det):
+    return SP.outlines(SP.ring_spans(rings(det))).select("obj_id", "area", F.size("ring").alias("points"))
+
+
+PARTS = "WITH b AS (SELECT det_id AS box_id, image_id, xmin, ymin, xmax, ymax FROM det_box WHERE det_id%40=1), p AS (SELECT box_id, obj_id, sum(greatest(least(x1,xmax)-greatest(x0,xmin),0)) AS inter FROM b JOIN span USING(image_id) WHERE y>=ymin AND y<ymax GROUP BY 1,2), a AS (SELECT obj_id, sum(x1-x0) AS area FROM span GROUP BY 1)"
+
+
+def parts(det: DataFrame, span: DataFrame) -> tuple[DataFrame, DataFrame]:
+    boxes = det.where("det_id % 40 = 1").select(F.col("det_id").alias("box_id"), "image_id", *B.SIDES)
+    return span.join(boxes.select("box_id", "image_id"), "image_id").select("box_id", "obj_id", "y", "x0", "x1"), boxes.drop("image_id")
+
+
+@query("det_box", "span", oracle=PARTS + " SELECT box_id, candidate FROM (SELECT box_id, obj_id AS candidate, row_number() OVER (PARTITION BY box_id ORDER BY inter DESC, obj_id) AS r FROM p WHERE inter>0) WHERE r=1")
+def f6_best_candidate(det, span):
+    spans, boxes = parts(det, span)
+    return SP.best_candidates(spans.withColumnRenamed("obj_id", "candidate"), boxes).select("box_id", "candidate")
+
+
+@query("det_box", "span", oracle=PARTS + " SELECT box_id, label, CAST(area AS BIGINT) AS area FROM (SELECT box_id, obj_id AS label, area, row_number() OVER (PARTITION BY box_id ORDER BY area DESC, obj_id) AS r FROM p JOIN a USING(obj_id) WHERE inter>0) WHERE r=1")
+def f7_largest_touching(det, span):
+    spans, boxes = parts(det, span)
+    return SP.largest_touching(spans.withColumnRenamed("obj_id", "label"), boxes)
+
+
+@query("det_box", "span", oracle=PARTS + f" SELECT box_id, label, round(iou,6) AS iou FROM (SELECT box_id, obj_id AS label, inter/(area+{AREA}-inter+1e-6) AS iou, row_number() OVER (PARTITION BY box_id ORDER BY inter/(area+{AREA}-inter+1e-6) DESC, obj_id) AS r FROM p JOIN a USING(obj_id) JOIN b USING(box_id) WHERE inter>0) WHERE r=1")
+def f8_best_part(det, span):
+    spans, boxes = parts(det, span)
+    return SP.best_part(spans.withColumnRenamed("obj_id", "label"), boxes).select("box_id", "label", *r6("iou"))
+
+
+@query("px", oracle=f"SELECT y, x FROM px s WHERE luma<80 AND NOT luma>245 AND EXISTS (SELECT 1 FROM px q JOIN {_offs(R.ellipse(7))} ON true WHERE q.luma>245 AND q.y=s.y+dy AND q.x=s.x+dx)")
+def f9_near_trees(px):
+    return SP.near_objects(px.where("luma < 80"), px.where("luma > 245"), 3).select("y", "x")
+
+
+@query("px", oracle="SELECT n.y, n.x, luma FROM (SELECT y.k AS y, x.k AS x FROM range(0,40) y(k) CROSS JOIN range(0,30) x(k)) n JOIN px ON px.y=n.y*100//40 AND px.x=n.x*100//30")
+def l30_resize(px):
+    return R.nearest_resized(px, 100, 100, 40, 30).select("y", "x", "luma")
+
+
+@query("px")
+def l11_isotropic(px):
+    return R.isotropic_map(px).select("y", "x", *r6("iso"))
+
+
+@query("px")
+def l17_combined(px):
+    rgb = px.select(*R.KEY, "luma", F.col("luma").alias("r"), (F.col("luma") * 7 % 256).alias("g"), (F.col("luma") * 13 % 256).alias("b"))
+    return R.voted([R.chromatic_shadow(rgb, 9, least=1), R.lab_shadow(rgb, least=1), R.darkest(px, 0.2)], 2)
+
+
 def queries() -> dict:
     return dict(_ALL)
 
