@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import WordRows
 
@@ -104,8 +105,8 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), n
             out = [x for some in scorer.predict(texts) for x in some] if sent.value["languages"] else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["kept", "lang_pred", "score"])
 
-    kinds = taken.schema["kept"].dataType.simpleString()
-    found = taken.mapInArrow(run, f"kept {kinds}, lang_pred string, score double")
+    schema = T.StructType([taken.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    found = taken.mapInArrow(run, schema)
     return found if nested else found.select("kept.*", "lang_pred", "score")
 
 

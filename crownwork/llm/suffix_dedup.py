@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .ngram_join import mixed
@@ -334,5 +335,5 @@ def deduplicated(docs: DataFrame, length: int = 100, digest: bool = False, broad
     keyed, spans = repeated_spans(docs, length, broadcast_rows)
     hint = F.broadcast if spans.count() <= broadcast_rows // 10 else (lambda df: df)
     joined = keyed.join(hint(spans), ["ord", "th"], "left").select("kept", "text", "spans")
-    kinds = joined.schema["kept"].dataType.simpleString()
-    return joined.mapInArrow(_cut(digest), f"kept {kinds}, n_bytes bigint, n_removed bigint, n_spans bigint, left string")
+    numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    return joined.mapInArrow(_cut(digest), T.StructType([joined.schema["kept"], *numbers, T.StructField("left", T.StringType())]))

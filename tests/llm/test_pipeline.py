@@ -46,7 +46,7 @@ def test_stages_against_brute_force(spark):
 def test_odd_rows(spark):
     text = "der hund und die katze sind in dem haus und die maus ist nicht da " * 3
     rows = [(1, text, "de", "a", 1), (1, text, "de", "a", 1), (2, text, None, None, None), (3, None, "de", "a", 0), (4, "", "de", "a", 0), (None, "die katze und der hund", "de", "a", 1), (5, "123", "de", "a", 3)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "'x' lang_pred", "1 rows", "2 bad", "3 kept", "4 left", "5 ord", "6 score")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "'x' lang_pred", "1 rows", "2 bad", "3 kept", "4 left", "5 ord", "6 score", "7 `odd name:`")
     for name, stage in corpus_pipeline.STAGES[:4]:
         docs = corpus_pipeline.stored(stage(spark, docs, SF))
     assert sorted((r["doc_id"] or 0) for r in docs.collect()) == [0, 1]
