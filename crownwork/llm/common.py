@@ -31,6 +31,23 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What a worker process keeps from task to task, such as a table of words: one thing at a time, so that what one
+    operator has gathered doesn't stay beside the next one's."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget():
+    """Drops what the worker kept for an operator that ran in it before."""
+    _KEPT.clear()
+
+
 def ascii_lower(col):
     """A-Z only, as both engines and Python can do it alike."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

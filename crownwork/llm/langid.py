@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import kept as in_worker
 from .words import WordRows
 
-_SCORERS: dict = {}
 
 
 def held_out(doc_id):
@@ -94,15 +94,11 @@ def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), n
     taken = docs.select(F.col("text").cast("string").alias("text"), F.struct(*keep).alias("kept"))
 
     def run(batches):
-        if sent.value["languages"]:
-            key = id(sent.value)
-            if key not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[key] = (Scorer(sent.value), sent.value)
-            scorer = _SCORERS[key][0]
+        model = sent.value
+        scorer = in_worker(("languages", id(model)), lambda: (Scorer(model), model))[0] if model["languages"] else None
         for b in batches:
             texts = b.column(0).to_pylist()
-            out = [x for some in scorer.predict(texts) for x in some] if sent.value["languages"] else [("und", 0.0)] * len(texts)
+            out = [x for some in scorer.predict(texts) for x in some] if scorer else [("und", 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["kept", "lang_pred", "score"])
 
     schema = T.StructType([taken.schema["kept"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

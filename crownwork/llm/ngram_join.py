@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import kept, stored
 from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -50,7 +50,7 @@ class _Words(dict):
 class Shingler:
     """Hashes of the word n-grams of texts: A-Z lower-cased, words are what is between the six white-space bytes."""
 
-    def __init__(self, size: int, most: int = 1_000_000):
+    def __init__(self, size: int, most: int = 400_000):
         self.size, self.most = size, most
         self._reset()
 
@@ -83,11 +83,8 @@ class Shingler:
         return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
 def shingler(size: int) -> Shingler:
-    return _SHINGLERS.setdefault(size, Shingler(size))
+    return kept(("n-grams", size), lambda: Shingler(size))
 
 
 def size_classes(most: int, percent: int) -> np.ndarray:

@@ -16,15 +16,14 @@ import os
 
 import numpy as np
 
+from .common import kept
+
 _MARK = "\x1f"
-_ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
 def encoder(path: str) -> "PieceEncoder":
     """One encoder for each worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return kept(("pieces", path), lambda: PieceEncoder(path))
 
 
 class _Memo(dict):
@@ -43,7 +42,7 @@ class _Memo(dict):
 class PieceEncoder:
     """ids of texts; keeps at most ``most`` pieces, then starts anew."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

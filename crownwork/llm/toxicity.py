@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept as in_worker
 from .common import stored
 from .words import WORD, WordRows
 
-_SCORERS: dict = {}
 SHORT = 20  # words added to each text's number of words, so that one word of a short text doesn't outweigh all else
 
 
@@ -146,12 +146,10 @@ def graded(docs: DataFrame, model: dict) -> DataFrame:
     taken = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        key = id(sent.value)
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = (Scorer(sent.value), sent.value)
+        model = sent.value
+        scorer = in_worker(("severity", id(model)), lambda: (Scorer(model), model))[0]
         for b in batches:
-            parts = list(_SCORERS[key][0].score(b.column(1).to_pylist()))
+            parts = list(scorer.score(b.column(1).to_pylist()))
             cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(3)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(cols[0], pa.float64()), pa.array(cols[1].astype(np.int32)), pa.array(cols[2], pa.float64()), pa.array(cols[2] >= 0.5)],

@@ -24,7 +24,7 @@ class _Memo(dict):
 class WordRows:
     """A row of ``width`` numbers for each word, by ``rows_of(words)``; forgets all once it holds ``most`` words."""
 
-    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 600_000):
+    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000):
         self.rows_of, self.width, self.most = rows_of, width, most
         self._reset()
 
