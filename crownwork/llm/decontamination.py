@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import forget
 from .ngram_join import mixed
 
 Q = 8
@@ -190,6 +191,7 @@ REGIONS = "doc_id bigint, item_id bigint, doc_start bigint, doc_end bigint, item
 
 def _scan(items, window: int, budget: int, most: int = 2_000_000):
     def run(batches):
+        forget()
         index = Index(items, window, budget)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [normal(t) for t in b.column(1).to_pylist()]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import forget, stored
 from .ngram_join import mixed
 
 GRAM = 24
@@ -145,6 +145,7 @@ ROWS = "ord bigint, th int, lo bigint, n int, name bigint, run bigint, again boo
 
 def _named(length: int):
     def run(batches):
+        forget()
         for b in batches:
             order, th, raws = b.column(0).to_numpy(), b.column(1).to_numpy(), _encoded(b.column(2))
             pieces = [(k, at, p) for k, r in enumerate(raws) for at, p in _parts(r, length)]
@@ -171,6 +172,7 @@ VERDICTS = "ord bigint, th int, lo bigint, n int, name bigint, whole boolean"
 def _scanned(batches):
     """Anchors of a partition in document order: those whose run was there before (whole), and those whose name comes
     with more than one run (not whole), each at least once."""
+    forget()
     index, runs = Levels(), Levels()
 
     def rows(cols, name, pick, whole):
@@ -231,6 +233,7 @@ def _compared(length: int):
     """Runs of a partition in document order: their strings that were there before, as (lo, n)."""
 
     def run(batches):
+        forget()
         seen = Levels()
         for b in batches:
             order, th, lo, raws = b.column("ord").to_numpy(), b.column("th").to_numpy(), b.column("lo").to_numpy(), b.column("held").to_pylist()
