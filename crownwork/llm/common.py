@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +40,25 @@ def kept(key, make):
     """What a worker process keeps from task to task, such as a table of words: one thing at a time, so that what one
     operator has gathered doesn't stay beside the next one's."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def forget():
-    """Drops what the worker kept for an operator that ran in it before."""
-    _KEPT.clear()
+    """Drops what the worker kept for an operator that ran in it before, and gives its memory back to the system."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def small_batches(df: DataFrame, most_bytes: str = "4m") -> DataFrame:
+    """df, for a Python worker: from now on its session sends about most_bytes at once, whatever the length of texts, so
+    that a worker needs no more memory for long texts than for many."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)
+    return df
 
 
 def ascii_lower(col):

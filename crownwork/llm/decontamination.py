@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget
+from .common import forget, small_batches
 from .ngram_join import mixed
 
 Q = 8
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 80, budget
     doc_start and doc_end are right to within the budget. Windows of an item whose parts of the document touch are one
     region; edits: the least of its windows. Null and empty texts hold nothing, and null or empty items are nowhere.
     Rows that repeat are reported for each; with an empty benchmark there are no regions."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = chars // part_chars + 1

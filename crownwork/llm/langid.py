@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import kept as in_worker
+from .common import small_batches
 from .words import WordRows
 
 
-
 def held_out(doc_id):
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, per_language: int = 5000, most_words: int = 150_000, lo
 def predict(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), nested: bool = False) -> DataFrame:
     """The columns ``keep`` of docs (nested: as a struct, ``kept``) with lang_pred and score. Only text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: most_words words and n-grams
-    taken = docs.select(F.col("text").cast("string").alias("text"), F.struct(*keep).alias("kept"))
+    taken = small_batches(docs.select(F.col("text").cast("string").alias("text"), F.struct(*keep).alias("kept")))
 
     def run(batches):
         model = sent.value

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, stored
+from .common import kept, small_batches, stored
 from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -314,7 +314,7 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
     n-gram; one without words, or null, none and no links. Rows of equal doc_id are rows of their own; if their texts
     differ, they aren't linked by the id alone. A row without doc_id takes no part: its component_id is null."""
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = stored(own.mapInArrow(_sets(size, percent), "doc_id bigint, n bigint, node bigint, blocks binary"))
     nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
     few = nodes.count() <= broadcast_rows

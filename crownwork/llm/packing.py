@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .tokens import encoder, slices
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, vocabulary: str, width: int = 2048, end_id: int = 0)
 
     A document of more than ``width`` ids is cut into pieces of that many, the first of which may be shorter. A null
     text is empty: one piece of the end id. Repeated rows are pieces of their own."""
-    kept = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     return kept.mapInArrow(_pieces(vocabulary, end_id, width), PIECES)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, stored
+from .common import forget, small_batches, stored
 from .ngram_join import mixed
 
 GRAM = 24
@@ -117,7 +117,7 @@ def held(level: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return level[at] == wanted if len(level) else np.zeros(len(wanted), bool)
 
 
-def _slices(raws: list[bytes], most: int = 1_000_000):
+def _slices(raws: list[bytes], most: int = 1 << 18):
     at, size = 0, 0
     for k, r in enumerate(raws):
         if k > at and size + len(r) > most:
@@ -130,7 +130,7 @@ def _slices(raws: list[bytes], most: int = 1_000_000):
 
 def _parts(raw: bytes, length: int):
     """A very long document in pieces that share length - 1 bytes, so that each string is in one piece: (offset, piece)."""
-    most = min((1 << _PLACE) - 2, 1 << 21)
+    most = 1 << 18
     if len(raw) <= most:
         return [(0, raw)]
     return [(k, raw[k : k + most]) for k in range(0, len(raw) - length + 1, most - length + 1)]
@@ -235,7 +235,7 @@ def _compared(length: int):
     def run(batches):
         forget()
         seen = Levels()
-        for b in batches:
+        for b in (b.slice(at, 2500) for b in batches for at in range(0, b.num_rows, 2500)):
             order, th, lo, raws = b.column("ord").to_numpy(), b.column("th").to_numpy(), b.column("lo").to_numpy(), b.column("held").to_pylist()
             if not raws:
                 continue
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, broadcast_rows: int = 2_0
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")
     others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
-    keyed = docs.select(order.alias("ord"), th.alias("th"), others.alias("kept"), F.col("text").cast("string").alias("text"))
+    keyed = small_batches(docs.select(order.alias("ord"), th.alias("th"), others.alias("kept"), F.col("text").cast("string").alias("text")))
     # rows of equal doc_id and text would be seen as repeats of themselves
     texts = keyed.select("ord", "th", "text")
     repeats = texts.groupBy("ord", "th").count().where("count > 1").limit(1).count()

@@ -79,7 +79,8 @@ class PieceEncoder:
             of = np.searchsorted(cuts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right")
             self._keep(n + some, np.array(e.ids, np.uint32), np.bincount(of, minlength=len(some)))
         if rest:
-            parts = [e.ids for e in self.tokenizer.encode_batch([new[i] for i in rest], add_special_tokens=False)]
+            some = [[new[i] for i in rest[at : at + 5000]] for at in range(0, len(rest), 5000)]
+            parts = [e.ids for x in some for e in self.tokenizer.encode_batch(x, add_special_tokens=False)]
             flat = np.array([x for ids in parts for x in ids], np.uint32)
             self._keep(n + np.array(rest), flat, np.array([len(x) for x in parts], np.int64))
             last = [new[i][-1:] for i in rest]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept as in_worker
-from .common import stored
+from .common import small_batches, stored
 from .words import WORD, WordRows
 
 SHORT = 20  # words added to each text's number of words, so that one word of a short text doesn't outweigh all else
@@ -143,7 +143,7 @@ class Scorer:
 def graded(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, expected_severity, severity, toxic_chance, toxic (chance of at least 1/2) of docs(doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: most_features features
-    taken = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    taken = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
 
     def run(batches):
         model = sent.value
