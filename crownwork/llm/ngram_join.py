@@ -9,9 +9,10 @@ row, however many they are. Three steps, none of which loses a link of Jaccard s
    of a class are put together; what shares none is discarded. Rows so chained are a family.
 2. Product. A family's incidence matrix is multiplied by its transpose, some columns at a time, and overlap counts
    accumulate: dense products for columns that many rows hold, pairs for the others. Links follow from counts and sizes.
-3. A family too large for one task is first compared with a few of its rows. What is linked to one of them needs no
-   further comparison among itself, as it is one component already. The rest is multiplied by the whole family, block of
-   rows by block of rows, each its own task, and each block gives only a spanning forest of its links.
+3. A family too large for one task is first compared with a few of its rows, its leaders. Rows linked to one leader are
+   one component already, and a row linked to several makes theirs one. The rows of the largest of these components need
+   no further comparison among themselves. All others are multiplied by the whole family, block of rows by block of rows,
+   each its own task, and each block gives only a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -262,7 +263,7 @@ def _leading(size: int, percent: int, most: int):
 
 
 def _to_leaders(size: int, percent: int):
-    """Each row of a large family with a leader that it is linked to, or with none (null)."""
+    """Each row of a large family with all leaders that it is linked to, in ascending order."""
 
     def run(batches):
         for b in batches:
@@ -272,19 +273,32 @@ def _to_leaders(size: int, percent: int):
             for k, leaders in enumerate(b.column("leaders").to_pylist()):
                 if found[k] != node[k]:
                     continue
-                near = None
+                near = []
                 for x in leaders:
                     other = np.frombuffer(x["held"], np.uint64)
                     if x["leader"] == node[k] or linked(np.array([[len(np.intersect1d(sets[k], other, assume_unique=True))]]), np.array([len(sets[k])]), np.array([len(other)]), percent)[0, 0]:
-                        near = x["leader"]
-                        break
-                out.append((b.column("family")[k].as_py(), int(node[k]), near, sets[k].tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["family", "node", "leader", "held"])
+                        near.append(x["leader"])
+                out.append((b.column("family")[k].as_py(), int(node[k]), sorted(near), sets[k].tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], ["family", "node", "leaders", "held"])
 
     return run
 
 
+def _largest(t: pa.Table) -> pa.Table:
+    """Of a family's sets of leaders that a row is linked to, with the number of rows: the leaders of the component with
+    the most rows."""
+    groups: list[tuple[set, int]] = []
+    for some, rows in zip(t.column("leaders").to_pylist(), t.column("rows").to_pylist()):
+        own = set(some)
+        for g in [g for g in groups if g[0] & own]:
+            groups.remove(g)
+            own, rows = own | g[0], rows + g[1]
+        groups.append((own, rows))
+    best = max(groups, key=lambda g: (g[1], -min(g[0])))[0]
+    return pa.table({"family": pa.array([t.column("family")[0].as_py()], pa.int64()), "main": pa.array([sorted(best)], pa.list_(pa.int64()))})
+
+
 def _block_links(percent: int):
     """A spanning forest of the links between the two sides of a block."""
 
@@ -338,16 +352,19 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
         led = some.groupBy("family").applyInArrow(_leading(size, percent, leaders), "family bigint, leader bigint, held binary")
         led = stored(led.groupBy("family").agg(F.collect_list(F.struct("leader", "held")).alias("leaders")))  # ``leaders`` rows a family
         near = texts.where("large").join(led, "family", "left").withColumn("leaders", F.coalesce("leaders", F.array().cast(led.schema["leaders"].dataType)))
-        near = stored(near.select("family", "node", "leaders", "text").mapInArrow(_to_leaders(size, percent), "family bigint, node bigint, leader bigint, held binary"))
-        counts = near.groupBy("family").agg(F.count("*").alias("all"), F.count_if(F.col("leader").isNull()).alias("rest")).where("rest > 0")
+        near = stored(near.select("family", "node", "leaders", "text").mapInArrow(_to_leaders(size, percent), "family bigint, node bigint, leaders array<bigint>, held binary"))
+        patterns = near.where("size(leaders) > 0").groupBy("family", "leaders").agg(F.count("*").alias("rows"))  # 2 ** ``leaders`` rows a family at most
+        main = stored(patterns.groupBy("family").applyInArrow(_largest, "family bigint, main array<bigint>"))
+        near = near.join(hint(main), "family", "left").withColumn("rest", ~F.coalesce(F.arrays_overlap("leaders", "main"), F.lit(False)))
+        counts = near.groupBy("family").agg(F.count("*").alias("all"), F.count_if("rest").alias("rest")).where("rest > 0")
         cuts = counts.select("family", F.ceil(F.col("rest") / 256).cast("int").alias("left_cuts"), F.ceil(F.col("all") / 1024).cast("int").alias("right_cuts"))
-        both = near.join(hint(cuts), "family")
+        both = near.drop("main").join(hint(cuts), "family")
         cut = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        left = both.where("leader is null").select("family", cut("left_cuts").alias("l"), F.explode(upto("right_cuts")).alias("r"), F.lit(0).alias("side"), "node", "held")
+        left = both.where("rest").select("family", cut("left_cuts").alias("l"), F.explode(upto("right_cuts")).alias("r"), F.lit(0).alias("side"), "node", "held")
         right = both.select("family", F.explode(upto("left_cuts")).alias("l"), cut("right_cuts").alias("r"), F.lit(1).alias("side"), "node", "held")
         rest = left.unionByName(right).groupBy("family", "l", "r").applyInArrow(_block_links(percent), "a bigint, b bigint")
-        edges = edges.unionByName(near.where("leader is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"))).unionByName(rest)
+        edges = edges.unionByName(near.select(F.explode("leaders").alias("a"), F.col("node").alias("b"))).unionByName(rest)
     linked_nodes = components(edges)
     labels = linked_nodes.join(nodes, "node").groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked_nodes.join(labels, "root").select("node", "component_id")

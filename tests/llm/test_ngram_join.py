@@ -57,6 +57,32 @@ def test_classes_against_brute_force(spark, seed, options):
     assert sorted(map(tuple, ngram_join.classed(df, **options).collect())) == brute(rows)
 
 
+def variants(seed, copies, steps, words=460):
+    """Two variants of a text, too far apart to be linked (12 words differ), in many copies of a word's change each; and
+    for each of steps a text that has so many of the 12."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+
+    def text(n, change=None):
+        t = [f"v{k}" if k % 33 == 5 and k // 33 < n else w for k, w in enumerate(base)]
+        if change is not None:
+            t[33 * (change % 12) + 12 + change // 12] = f"own{change}"
+        return " ".join(t)
+
+    rows = [text(n, k) for n in (0, 12) for k in range(copies)] + [text(n) for n in steps]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("steps", [(6,), (4, 9), (3, 6, 9), ()])  # one row linked to both variants' leaders; rows of different leaders linked; a chain; none
+def test_links_across_leaders_of_a_large_family(spark, steps):
+    rows = variants(1, 150, steps)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = brute(rows)
+    assert len({c for _, _, c in want}) == (1 if steps else 2)
+    assert sorted(map(tuple, ngram_join.classed(df, family_docs=50).collect())) == want
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "q r s"), (3, "t u v"), (None, "a b c d")]
     got = sorted(map(tuple, ngram_join.classed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
