@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from crownwork.llm import decontamination
-from tests.llm.test_ngram_join import brute as components_of
+from tests.llm.test_ngram_join import brute as components_of, shingles
 from tests.llm.test_suffix_dedup import brute as cut_of
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +43,29 @@ def test_stages_against_brute_force(spark):
     assert {r["doc_id"] for r in five.collect()} == set(left)
 
 
+def test_near_copies_by_five_words(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, words), (2, [f"x{k}" if k in (20, 60, 100, 140) else w for k, w in enumerate(words)])]  # J of 5 words 0.815, of 3 words 0.886
+    rows += [(3, [f"a{k}" for k in range(100)]), (4, [f"a{k}" for k in range(90)] + [f"b{k}" for k in range(10)]), (5, [f"a{k}" for k in range(75)])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+    def brute(words):
+        grams = [{tuple(w[k : k + words]) for k in range(len(w) - words + 1)} for _, w in rows]
+        return [(a + 1, b + 1) for b in range(5) for a in range(b) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+
+    assert brute(5) == [(1, 2), (3, 4)]
+    got = corpus_pipeline.ngram_join(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 3, 5]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], shingles(r["text"], 5)) for r in docs.collect())
+    pairs = [(a, b) for a, x in rows for b, y in rows if a < b and x and y and 100 * len(x & y) >= 80 * len(x | y)]
+    least = {i: i for i, _ in rows}
+    for _ in rows:
+        least |= {i: min([least[i], *[least[a + b - i] for a, b in pairs if i in (a, b)]]) for i in least}
+    got = corpus_pipeline.ngram_join(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(least.values()))
+
+
 def test_odd_rows(spark):
     text = "der hund und die katze sind in dem haus und die maus ist nicht da " * 3
     rows = [(1, text, "de", "a", 1), (1, text, "de", "a", 1), (2, text, None, None, None), (3, None, "de", "a", 0), (4, "", "de", "a", 0), (None, "die katze und der hund", "de", "a", 1), (5, "123", "de", "a", 3)]
