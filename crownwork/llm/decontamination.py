@@ -11,7 +11,10 @@ window - q + 1 - q * budget of them, and those lie on diagonals (item place - do
    overlap by half, so that one of them holds all diagonals of an alignment;
 3. windows with enough are verified by alignment within the band, widened by the budget.
 
-Items of fewer than ``window`` characters are found only unchanged. The benchmark goes to the tasks in parts of about
+An item of n < ``window`` characters is one window of its own length, with budget * n // window edits (fewer where the
+lemma would ask for no q-gram). Where that allows none (under 20 characters by default), it is found unchanged and as
+whole words: no letter or digit of the text may stand beside a letter or digit at its edge, scripts that write without
+spaces (from U+0E00 on) aside. The benchmark goes to the tasks in parts of about
 ``part_chars`` characters, each of which is held against all documents.
 """
 
@@ -62,17 +65,22 @@ def aligned(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return cost.min(1), cost.argmin(1) + w
 
 
+def _inside_word(text: str, at: int) -> bool:
+    """Whether a word goes on across the place."""
+    return 0 < at < len(text) and all(c.isalnum() and c < "\u0e00" for c in text[at - 1 : at + 1])
+
+
 class Index:
-    """Items, by their q-grams."""
+    """Items of at least ``window`` characters, by their q-grams. whole: each item is one window, and ``window`` is the
+    longest's length."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, budget: int):
-        self.window, self.budget = window, budget
-        self.least = window - Q + 1 - Q * budget
+    def __init__(self, items: list[tuple[int, str]], window: int, budget: int, whole: bool = False):
+        self.window, self.budget, self.whole = window, budget, whole
+        texts = [(i, normal(t)) for i, t in items]
+        self.least = min([len(t) for _, t in texts] if whole else [window]) - Q + 1 - Q * budget
         if self.least < 1:
             raise ValueError("the budget is too large for the window")
-        texts = [(i, normal(t)) for i, t in items]
-        self.short = [(i, t) for i, t in texts if 0 < len(t) < window]
-        long = [(i, t) for i, t in texts if len(t) >= window]
+        long = [(i, t) for i, t in texts if whole or len(t) >= window]
         self.ids = [i for i, _ in long]
         sizes = np.array([len(t) for _, t in long], np.int64)
         self.first = np.cumsum(sizes + 1) - sizes - 1  # one character of no text between items
@@ -86,25 +94,10 @@ class Index:
             self.starts, self.places = np.append(self.starts, len(order)), order
             self.table = np.zeros(1 << _BITS, bool)
             self.table[(mixed(self.names) >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.automaton = None
-        if self.short:
-            import ahocorasick
-
-            self.automaton = ahocorasick.Automaton()
-            by_text: dict[str, list] = {}
-            for i, t in self.short:
-                by_text.setdefault(t, []).append(i)
-            for t, ids in by_text.items():
-                self.automaton.add_word(t, (len(t), ids))
-            self.automaton.make_automaton()
 
     def found(self, texts: list[str]) -> list[tuple]:
         """(text's number, item_id, doc_start, doc_end, item_start, item_end, edits) for texts in normal form."""
         out = []
-        if self.automaton is not None:
-            for k, t in enumerate(texts):
-                for end, (size, ids) in self.automaton.iter(t):
-                    out += [(k, i, end + 1 - size, end + 1, 0, size, 0) for i in ids]
         if not len(self.codes):
             return out
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -168,10 +161,11 @@ class Index:
 
     def _verified(self, codes, places, k, low, doc_lo, doc_hi):
         """Windows of item k that the band of diagonals from ``low`` on aligns: (doc start, end, item start, end, edits)."""
-        w, e, first = self.window, self.budget, int(self.first[k])
+        e, first = self.budget, int(self.first[k])
+        w = int(self.size[k]) if self.whole else self.window
         y = np.arange(first, first + int(self.size[k]) - w + 1)
         have = np.searchsorted(places, y + w - Q, side="right") - np.searchsorted(places, y)
-        y = y[have >= self.least]
+        y = y[have >= w - Q + 1 - Q * e]
         if not len(y):
             return []
         # the text that the band reaches from each window; beyond the document no character equals any other
@@ -186,13 +180,47 @@ class Index:
         ]
 
 
+class Benchmark:
+    """Items of any length: those of ``window`` characters and more, shorter ones with fewer edits, and tiny ones."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int, budget: int):
+        texts = [(i, normal(t)) for i, t in items]
+        by_edits: dict[int, list] = {}
+        for i, t in texts:
+            if 0 < len(t) < window:
+                by_edits.setdefault(max(min(budget * len(t) // window, (len(t) - Q) // Q), 0), []).append((i, t))
+        tiny = by_edits.pop(0, [])
+        self.indexes = [Index(texts, window, budget)] + [Index(some, max(len(t) for _, t in some), e, whole=True) for e, some in sorted(by_edits.items())]
+        self.automaton = None
+        if tiny:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            by_text: dict[str, list] = {}
+            for i, t in tiny:
+                by_text.setdefault(t, []).append(i)
+            for t, ids in by_text.items():
+                self.automaton.add_word(t, (len(t), ids))
+            self.automaton.make_automaton()
+
+    def found(self, texts: list[str]) -> list[tuple]:
+        """As Index.found, for all items."""
+        out = [r for index in self.indexes for r in index.found(texts)]
+        if self.automaton is not None:
+            for k, t in enumerate(texts):
+                for end, (size, ids) in self.automaton.iter(t):
+                    if not _inside_word(t, end + 1 - size) and not _inside_word(t, end + 1):
+                        out += [(k, i, end + 1 - size, end + 1, 0, size, 0) for i in ids]
+        return out
+
+
 REGIONS = "doc_id bigint, item_id bigint, doc_start bigint, doc_end bigint, item_start bigint, item_end bigint, edits int"
 
 
 def _scan(items, window: int, budget: int, most: int = 2_000_000):
     def run(batches):
         forget()
-        index = Index(items, window, budget)
+        index = Benchmark(items, window, budget)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [normal(t) for t in b.column(1).to_pylist()]
             rows, at, chars = [], 0, 0

@@ -61,6 +61,25 @@ def test_windows_against_sellers(seed):
                 assert min(want) == min(r[4] for r in got) and max(want) + W == max(r[5] for r in got)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_short_items_against_sellers(seed):
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice(["the", "of", "thing", "and", "stone", "river", "é"]) for _ in range(n))
+    items = [(k, text(40)[:n].strip().ljust(n, "q")) for k, n in enumerate([20, 25, 39, 40, 59, 60, 79])]
+    index = decontamination.Benchmark(items, 80, 4)
+    docs = [text(9) + " " + edited(rng, t, n) + " " + text(9) for _, t in items for n in (0, 1, 2, 3, 5)]
+    found = {r[:2] for r in index.found([decontamination.normal(d) for d in docs])}
+    for k, d in enumerate(docs):
+        for i, t in items:
+            assert ((k, i) in found) == bool(windows_within(t, decontamination.normal(d), len(t), 4 * len(t) // 80))
+
+
+def test_tiny_items_are_whole_words():
+    index = decontamination.Benchmark([(1, "Yes"), (2, "a"), (3, "(b)"), (4, "北京")], 80, 4)
+    got = index.found(["yesterday eyes a", "oh yes, yes!", "x(b)y", "在北京市", "yes"])
+    assert sorted(r[:4] for r in got) == [(0, 2, 15, 16), (1, 1, 3, 6), (1, 1, 8, 11), (2, 3, 1, 4), (3, 4, 1, 3), (4, 1, 0, 3)]
+
+
 def test_aligned_band():
     p = np.frombuffer(b"abcdefghij", np.uint8)[None]
     t = np.frombuffer(b"zabcdXefghijzz", np.uint8)[None]
