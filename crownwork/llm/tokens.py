@@ -7,7 +7,8 @@ recur. A cut is used only where the vocabulary's pattern always splits:
 * before a space or line feed that follows a character other than white space,
 * before a comma or full stop that follows a letter or digit.
 
-Elsewhere the two pieces stay together. ``PieceEncoder.ids`` is tested against plain calls on arbitrary strings.
+Elsewhere the two pieces stay together. Texts that hold an added token of the vocabulary, such as <|endoftext|>, are
+encoded whole. ``PieceEncoder.ids`` is tested against plain calls on arbitrary strings.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.most = most
         self._reset()
 
@@ -102,7 +103,7 @@ class PieceEncoder:
             self._reset()
         number, rows, whole = self.memo.__getitem__, [], {}
         for k, t in enumerate(texts):
-            if _MARK in t:
+            if _MARK in t or any(a in t for a in self.added):
                 whole[k], parts = self.tokenizer.encode(t, add_special_tokens=False).ids, []
             else:
                 parts = t.replace(" ", "\x1f ").replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n").split(_MARK)

@@ -131,3 +131,13 @@ def test_packing(spark, enc, width):
 
 def test_packing_of_no_rows(spark):
     assert packing.packed(docs(spark)[1].limit(0), PATH).collect() == []
+
+
+def test_added_tokens_as_plain_calls():
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b, c. d\n<|endoftext|>", "one <|endoftext| > two", ""]
+    ids, sizes = PieceEncoder(PATH).ids(texts)
+    want = [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [x for w in want for x in w] and sizes.tolist() == [len(w) for w in want]
+    assert want[0] == [505, 220, 50256, 734]
