@@ -46,12 +46,12 @@ def kept(key, make):
 
 
 def forget():
-    """Drops what the worker kept for an operator that ran in it before, and gives its memory back to the system."""
-    if _KEPT:
-        _KEPT.clear()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+    """Drops what the worker kept for an operator that ran in it before, and gives the memory of all that it has freed
+    back to the system."""
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def small_batches(df: DataFrame, most_bytes: str = "4m") -> DataFrame:
@@ -66,6 +66,14 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_hint(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """df, to be broadcast if it has at most most_rows rows; beyond that the join shuffles. For narrow stored tables."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def small_hint(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast if its rows hold at most most_bytes, by a count and, where columns have no fixed width, by
+    their lengths; beyond that the join shuffles. For stored tables."""
+    fixed = sum(_WIDTH.get(kind, 0) for _, kind in df.dtypes)
+    sizes = [F.size(c) * 8 if kind.startswith("array<") else F.octet_length(c) for c, kind in df.dtypes if kind not in _WIDTH]
+    other = sum(sizes, F.lit(0)) if sizes else F.lit(0)
+    total = df.agg((F.count("*") * (fixed + 8) + F.coalesce(F.sum(other), F.lit(0))).alias("bytes")).first()[0]
+    return F.broadcast(df) if total <= most_bytes else df
+
+
+_WIDTH = {"bigint": 8, "double": 8, "timestamp": 8, "int": 4, "float": 4, "boolean": 1}

@@ -3,31 +3,36 @@
 Sets of n-grams are held as 64-bit hashes. The rows of the product are distinct sets: documents of equal sets are one
 row, however many they are. Three steps, none of which loses a link of Jaccard similarity >= percent / 100:
 
-1. Bounds. Linked sets of at most h n-grams differ in at most d = 2h (100 - percent) / (100 + percent) of them, so if
-   the n-grams are dealt by hash into d + 1 columns blocks, at least one block is equal in both. h comes from classes of
-   set size that grow by 100 / percent, so linked sets are in one class or in neighbouring ones. Rows that share a block
-   of a class are put together; what shares none is discarded. Rows so chained are a family.
+1. Bounds. A set of n n-grams shares ceil(n * percent / 100) of them with each linked one, whatever that one's size. So
+   if all n-grams stand in one order, linked sets have a common one among their first n - ceil(n * percent / 100) + 1.
+   The order puts n-grams that many documents hold last (``frequent``), so that a passage or line that is in many
+   texts brings none of them together. Rows that share one of these n-grams are put together; what shares none is
+   discarded. Rows so chained are a family.
 2. Product. A family's incidence matrix is multiplied by its transpose, some columns at a time, and overlap counts
    accumulate: dense products for columns that many rows hold, pairs for the others. Links follow from counts and sizes.
 3. A family too large for one task is first compared with a few of its rows, its leaders. Rows linked to one leader are
    one component already, and a row linked to several makes theirs one. The rows of the largest of these components need
    no further comparison among themselves. All others are multiplied by the whole family, block of rows by block of rows,
    each its own task, and each block gives only a spanning forest of its links.
+
+The table of frequent n-grams only orders them: it comes from counts within batches, and no result depends on it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, stored
+from .common import forget, small_batches, small_hint, stored
 from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
+_SLOTS = 22  # bits of an n-gram's hash that find its place in the table of frequent ones
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -37,63 +42,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[int] = []
-
-    def __missing__(self, word):
-        n = self[word] = len(self)
-        self.new.append(xxhash.xxh64_intdigest(word))
-        return n
-
-
-class Shingler:
-    """Hashes of the word n-grams of texts: A-Z lower-cased, words are what is between the six white-space bytes."""
-
-    def __init__(self, size: int, most: int = 400_000):
-        self.size, self.most = size, most
-        self._reset()
-
-    def _reset(self):
-        self.words, self.hashes, self.n = _Words(), np.zeros(1 << 14, np.uint64), 0
-
-    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes of each text, on end, and how many each has. None for texts without words; of fewer
-        words than ``size``, one for the whole sequence."""
-        if len(self.words) > self.most:
-            self._reset()
-        get, rows = self.words.__getitem__, []
-        for t in texts:
-            words = t.encode("utf-8", "surrogatepass").lower().split() if t else ()
-            rows.append(np.fromiter(map(get, words), np.int64, len(words)))
-        new, self.words.new = self.words.new, []
-        if self.n + len(new) > len(self.hashes):
-            self.hashes = np.resize(self.hashes, max(2 * len(self.hashes), self.n + len(new)))
-        self.hashes[self.n : self.n + len(new)] = np.array(new, np.uint64)
-        self.n += len(new)
-        out, counts = [], np.zeros(len(rows), np.int64)
-        for k, r in enumerate(rows):
-            if len(r):
-                h, n = self.hashes[r], min(self.size, len(r))
-                s = np.full(len(r) - n + 1, n, np.uint64)
-                for j in range(n):
-                    s = mixed(s * _K[1] + h[j : j + len(s)])
-                out.append(np.unique(s))
-                counts[k] = len(out[-1])
-        return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
-
-
-def shingler(size: int) -> Shingler:
-    return kept(("n-grams", size), lambda: Shingler(size))
-
-
-def size_classes(most: int, percent: int) -> np.ndarray:
-    """First sizes of the classes: a set's linked partners are in its class or a neighbouring one."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return np.array(out)
+def word_sets(texts: pa.Array | list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the word n-grams of each text, on end, and how many each has. A-Z are lower-cased,
+    words are what is between the six white-space bytes. None for texts without words; of fewer words than ``size``, one
+    for the whole sequence."""
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    bounds, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+    hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint64)
+    named = np.array([bool(w) for w in words.dictionary.to_pylist()], bool)
+    at = words.indices.to_numpy()
+    real = named[at] if len(at) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]  # white space at either end gives words of no length
+    flat = hashes[at[real]]
+    whole = np.full(max(len(flat) - size + 1, 0), size, np.uint64)
+    for j in range(size):
+        whole = mixed(whole * _K[1] + flat[j : j + len(whole)])
+    out, counts = [], np.zeros(len(texts), np.int64)
+    for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+        if hi - lo >= size:
+            out.append(np.unique(whole[lo : hi - size + 1]))
+        elif hi > lo:
+            one = np.full(1, hi - lo, np.uint64)
+            for h in flat[lo:hi]:
+                one = mixed(one * _K[1] + h)
+            out.append(one)
+        else:
+            continue
+        counts[k] = len(out[-1])
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
 def node_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -109,57 +86,90 @@ def _digest(key: np.ndarray, hashes: np.ndarray, n: int, salt: np.ndarray) -> np
     return mixed(mixed(high.astype(np.uint64) * _K[0] + salt) + low.astype(np.uint64) * _K[2])
 
 
-def block_keys(hashes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each set's blocks, on end, and how many each set has."""
-    firsts = size_classes(int(counts.max(initial=1)) * 2, percent)
-    own = np.searchsorted(firsts, np.maximum(counts, 1), side="right") - 1
-    parts, sizes = [], np.zeros(len(counts), np.int64)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    spread = mixed(hashes + _K[1])
-    keys = []
-    for step in (0, 1):  # with its own class, and with the next
-        cls = own + step
-        blocks = np.where(counts > 0, 2 * (firsts[cls + 1] - 1) * (100 - percent) // (100 + percent) + 1, 0)
-        at = np.cumsum(blocks) - blocks
-        block = (spread % blocks[owner].astype(np.uint64)).astype(np.int64)
-        total = int(blocks.sum())
-        which = np.arange(total) - np.repeat(at, blocks)
-        salt = mixed(np.repeat(cls, blocks).astype(np.uint64) * _K[3] + which.astype(np.uint64) + np.uint64(1))
-        keys.append((_digest(at[owner] + block, hashes, total, salt), np.repeat(np.arange(len(counts)), blocks)))
-        sizes += blocks
-    flat, of = (np.concatenate(x) for x in zip(*keys))
-    return flat[np.argsort(of, kind="stable")], sizes
-
-
-def _sets(size: int, percent: int):
+def leading_grams(hashes: np.ndarray, counts: np.ndarray, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of each set, on end, of which linked sets share one, and how many each has. level: by a hash's
+    first bits, how many documents hold it, in powers of two."""
+    first = counts - (counts * percent + 99) // 100 + (counts > 0)
+    own = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((mixed(hashes), level[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)], own))
+    rank = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return hashes[order][rank < first[own]], first
+
+
+def _parts(batches, columns: int, most: int = 4_000_000):
+    """The rows of the batches in slices of about ``most`` bytes of text (the last column)."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(columns - 1)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
+def _sets(size: int, least: int = 3):
+    """A row for each document, and one for each n-gram that ``least`` documents of a batch hold."""
+
     def run(batches):
-        make = shingler(size)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                hashes, counts = make.sets(texts[at : at + 500])
-                keys, sizes = block_keys(hashes, counts, percent)
-                ends = np.cumsum(sizes)
-                raw = memoryview(keys.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, 500), pa.array(counts), pa.array(node_of(hashes, counts).view(np.int64)), pa.array([bytes(raw[8 * (e - s) : 8 * e]) for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary())],
-                    ["doc_id", "n", "node", "blocks"],
-                )
+        forget()
+        for b in _parts(batches, 2):
+            hashes, counts = word_sets(b.column(1), size)
+            nothing = lambda n: pa.nulls(n, pa.int64())
+            n = len(counts)
+            names = ["doc_id", "n", "node", "gram", "times"]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(node_of(hashes, counts).view(np.int64)), nothing(n), nothing(n)], names)
+            gram, times = np.unique(hashes, return_counts=True)
+            gram, times = gram[times >= least], times[times >= least]
+            n = len(gram)
+            yield pa.RecordBatch.from_arrays([nothing(n), nothing(n), nothing(n), pa.array(gram.view(np.int64)), pa.array(times)], names)
 
     return run
 
 
-def _blocks(batches):
-    for b in batches:
-        keys = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), [len(k) for k in keys]))], ["key", "node"])
+def levels_of(counted: DataFrame, least: int = 8, most: int = 500_000) -> np.ndarray:
+    """The table of frequent n-grams of counted(gram, times), one byte for each slot: the ``most`` commonest have a level."""
+    every = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    top = every.orderBy(F.desc("times"), "gram").limit(most).toPandas()
+    level = np.zeros(1 << _SLOTS, np.uint8)
+    np.maximum.at(level, (top["gram"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SLOTS)).astype(np.int64), np.log2(np.maximum(top["times"].to_numpy(np.int64), 1)).astype(np.uint8))
+    return level
+
+
+def _starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the first node of each, and the pairs of the others of a key with its first."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    firsts = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))] if len(key) else node
+    pairs = np.unique(np.stack([firsts, node], 1)[firsts != node], axis=0)
+    return key[start], node[start], pairs[:, 0], pairs[:, 1]
+
+
+def _keyed(size: int, percent: int, sent):
+    """For each n-gram that leads in some set of a batch, one node that it leads in; and the others, paired with that one."""
+
+    def run(batches):
+        forget()
+        for b in _parts(batches, 1):
+            hashes, counts = word_sets(b.column(0), size)
+            keys, first = leading_grams(hashes, counts, percent, sent.value)
+            key, node, left, right = _starred(keys.view(np.int64), np.repeat(node_of(hashes, counts).view(np.int64), first))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64())], ["key", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(left), pa.array(right)], ["key", "a", "b"])
+
+    return run
 
 
 def _chained(batches):
-    """Rows ordered by key and node: each row's node with the first of its key, each pair once as far as the task sees."""
-    last_key, first, seen = None, 0, np.zeros(0, np.int64)
+    """Rows ordered by key and a: pairs as they are, and each row's node with the first of its key, each pair once as
+    far as the task sees."""
+    last_key, first = None, 0
     for b in batches:
-        key, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        paired = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
+        ready = b.filter(pa.array(paired))
+        if ready.num_rows:
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], ["a", "b"])
+        key, node = b.column(0).to_numpy()[~paired], b.column(1).to_numpy()[~paired]
         if not len(key):
             continue
         start = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
@@ -222,7 +232,7 @@ def roots(links: np.ndarray) -> np.ndarray:
 
 def _group_sets(t: pa.Table, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Nodes and sets of a table with node, text; each node once."""
-    hashes, counts = shingler(size).sets(t.column("text").to_pylist())
+    hashes, counts = word_sets(t.column("text").combine_chunks(), size)
     sets, found = np.split(hashes, np.cumsum(counts)[:-1]), node_of(hashes, counts).view(np.int64)
     node = t.column("node").to_numpy()
     first = {int(x): k for k, x in reversed(list(enumerate(node))) if found[k] == x}  # a repeated doc_id may bring another text
@@ -267,7 +277,7 @@ def _to_leaders(size: int, percent: int):
 
     def run(batches):
         for b in batches:
-            hashes, counts = shingler(size).sets(b.column("text").to_pylist())
+            hashes, counts = word_sets(b.column("text"), size)
             sets, found = np.split(hashes, np.cumsum(counts)[:-1]), node_of(hashes, counts).view(np.int64)
             node, out = b.column("node").to_numpy(), []
             for k, leaders in enumerate(b.column("leaders").to_pylist()):
@@ -320,31 +330,29 @@ def _block_links(percent: int):
     return run
 
 
-def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int = 1500, family_grams: int = 3_000_000, leaders: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int = 1500, family_grams: int = 3_000_000, leaders: int = 8, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of docs(doc_id, text): two documents are linked when the Jaccard similarity of
     their sets of word n-grams is percent / 100 or more.
 
     component_id: the least doc_id that links lead to, its own included. A text of fewer than ``size`` words has one
     n-gram; one without words, or null, none and no links. Rows of equal doc_id are rows of their own; if their texts
-    differ, they aren't linked by the id alone. A row without doc_id takes no part: its component_id is null."""
+    differ, they aren't linked by the id alone. A row without doc_id takes no part: its component_id is null.
+    family_docs, family_grams: beyond them a family is dealt out to many tasks; the result is the same."""
     spark = docs.sparkSession
     own = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = stored(own.mapInArrow(_sets(size, percent), "doc_id bigint, n bigint, node bigint, blocks binary"))
+    found = stored(own.mapInArrow(_sets(size), "doc_id bigint, n bigint, node bigint, gram bigint, times bigint"))
+    rows = found.where("n is not null").select("doc_id", "n", "node")
     nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
-    few = nodes.count() <= broadcast_rows
-    hint = F.broadcast if few else (lambda df: df)
-
-    # one row for each set: of a row that repeats, any will do, as the blocks are the same
-    firsts = rows.join(hint(nodes.select("node", F.col("first").alias("doc_id"))), ["node", "doc_id"], "left_semi")
-    keyed = firsts.where("n > 0").select("node", "blocks").mapInArrow(_blocks, "key bigint, node bigint")
-    chained = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chained, "a bigint, b bigint")
+    sent = spark.sparkContext.broadcast(levels_of(found.where("gram is not null").select("gram", "times")))  # a byte a slot
+    keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent), "key bigint, a bigint, b bigint")
+    chained = stored(keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_chained, "a bigint, b bigint").distinct())
+    sent.destroy()
     families = components(chained)
     members = stored(families.join(nodes, "node").select("node", F.col("root").alias("family"), F.col("first").alias("doc_id"), "n"))
-    sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
+    sizes = stored(members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")))
     large = (F.col("docs") > family_docs) | (F.col("grams") > family_grams)
-    members = members.join(sizes.select("family", "docs", large.alias("large")), "family")
-    hint = F.broadcast if members.count() <= broadcast_rows else (lambda df: df)
-    texts = own.join(hint(members.select("node", "family", "docs", "large", "doc_id")), "doc_id").select("node", "family", "docs", "large", "text")
+    members = members.join(small_hint(sizes.select("family", "docs", large.alias("large")), broadcast_bytes), "family")
+    texts = own.join(small_hint(members.select("node", "family", "docs", "large", "doc_id"), broadcast_bytes), "doc_id").select("node", "family", "docs", "large", "text")
     small = texts.where("not large").groupBy("family").applyInArrow(_solved(size, percent), "a bigint, b bigint")
     edges = small
     if not sizes.where(large).isEmpty():
@@ -355,10 +363,10 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
         near = stored(near.select("family", "node", "leaders", "text").mapInArrow(_to_leaders(size, percent), "family bigint, node bigint, leaders array<bigint>, held binary"))
         patterns = near.where("size(leaders) > 0").groupBy("family", "leaders").agg(F.count("*").alias("rows"))  # 2 ** ``leaders`` rows a family at most
         main = stored(patterns.groupBy("family").applyInArrow(_largest, "family bigint, main array<bigint>"))
-        near = near.join(hint(main), "family", "left").withColumn("rest", ~F.coalesce(F.arrays_overlap("leaders", "main"), F.lit(False)))
+        near = near.join(small_hint(main, broadcast_bytes), "family", "left").withColumn("rest", ~F.coalesce(F.arrays_overlap("leaders", "main"), F.lit(False)))
         counts = near.groupBy("family").agg(F.count("*").alias("all"), F.count_if("rest").alias("rest")).where("rest > 0")
-        cuts = counts.select("family", F.ceil(F.col("rest") / 256).cast("int").alias("left_cuts"), F.ceil(F.col("all") / 1024).cast("int").alias("right_cuts"))
-        both = near.drop("main").join(hint(cuts), "family")
+        cuts = counts.select("family", F.ceil(F.col("rest") / 1024).cast("int").alias("left_cuts"), F.ceil(F.col("all") / 4096).cast("int").alias("right_cuts"))
+        both = near.drop("main").join(small_hint(cuts, broadcast_bytes), "family")
         cut = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         left = both.where("rest").select("family", cut("left_cuts").alias("l"), F.explode(upto("right_cuts")).alias("r"), F.lit(0).alias("side"), "node", "held")

@@ -50,7 +50,7 @@ def made(seed, groups=12, words=160):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"family_docs": 4}), (3, {"family_docs": 4, "leaders": 1, "broadcast_rows": 0}), (4, {"family_grams": 100})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"family_docs": 4}), (3, {"family_docs": 4, "leaders": 1, "broadcast_bytes": 0}), (4, {"family_grams": 100})])
 def test_classes_against_brute_force(spark, seed, options):
     rows = made(seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 n", "2 node", "3 family", "4 first", "5 key").repartition(5)
@@ -83,6 +83,27 @@ def test_links_across_leaders_of_a_large_family(spark, steps):
     assert sorted(map(tuple, ngram_join.classed(df, family_docs=50).collect())) == want
 
 
+def chain(n):
+    """Each text is linked to the next one only."""
+    return [" ".join(f"w{k}" for k in range(4 * i, 4 * i + 100)) for i in range(n)]
+
+
+def stars(copies):
+    """Copies of the first and of the last of four texts, each linked to the next, with another last word each."""
+    texts = [[f"w{k}" for k in range(9 * i, 9 * i + 200)] for i in range(4)]
+    return [" ".join(t) for t in texts] + [" ".join([*t[:-1], f"x{n}"]) for n, t in enumerate([*[texts[0]] * copies, *[texts[3]] * copies])]
+
+
+@pytest.mark.parametrize("family_docs", [1, 4, 1500])
+def test_chains_and_bridged_stars(spark, family_docs):
+    for texts in (chain(24), stars(100)):
+        rows = list(enumerate(random.Random(family_docs).sample(texts, len(texts))))
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+        want = brute(rows)
+        assert {c for _, _, c in want} == {0}
+        assert sorted(map(tuple, ngram_join.classed(df, family_docs=family_docs).collect())) == want
+
+
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "q r s"), (3, "t u v"), (None, "a b c d")]
     got = sorted(map(tuple, ngram_join.classed(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
@@ -90,10 +111,12 @@ def test_repeated_rows_and_null_ids(spark):
     assert ngram_join.classed(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
 
 
-def test_blocks_lose_no_link():
+@pytest.mark.parametrize("percent", [90, 80])
+def test_leading_grams_lose_no_link(percent):
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        n = int(rng.integers(9, 400))
+    level = rng.integers(0, 4, 1 << 22).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         y = x.copy()
         for _ in range(int(rng.integers(0, 40))):
@@ -101,11 +124,23 @@ def test_blocks_lose_no_link():
                 y = np.delete(y, rng.integers(len(y)))
             else:
                 y = np.unique(np.append(y, rng.integers(0, 2**63, 1).astype(np.uint64)))
-        if 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y)):
-            keys, sizes = ngram_join.block_keys(np.concatenate([x, y]), np.array([len(x), len(y)]), 90)
+        if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+            keys, sizes = ngram_join.leading_grams(np.concatenate([x, y]), np.array([len(x), len(y)]), percent, level)
             assert set(keys[: sizes[0]]) & set(keys[sizes[0] :])
 
 
+def test_sets_of_words():
+    texts = ["", None, " \t\n", " a b  c\x0bD e ", "A b C d E", "x", "É a", "é a", "p q", "a b c"]
+    hashes, counts = ngram_join.word_sets(texts, 3)
+    assert counts.tolist() == [len(shingles(t)) for t in texts]
+    sets = [tuple(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+    for k, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert (sets[k] == sets[j]) == (shingles(a) == shingles(b))
+    again, _ = ngram_join.word_sets(texts[3:], 3)
+    assert (again == hashes).all()
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(60)]
