@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches
-from .tokens import encoder, slices
+from .tokens import encoder, slices, texts_of
 
 BLOCK = 256
 STAGED = "shard int, seq int, doc_ids array<bigint>, n_tokens array<bigint>, ids binary"
@@ -127,9 +127,9 @@ def _stage(path: str, end_id: int, most: int):
             )
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            keys, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for lo, hi in slices(texts, most):
-                flat, n = enc.ids(texts[lo:hi])
+                flat, n = enc.ids(texts.slice(lo, hi - lo))
                 ids.append(np.insert(flat, np.cumsum(n), end_id))
                 sizes.append(n + 1)
                 doc_ids += keys[lo:hi]
@@ -174,7 +174,7 @@ def _code(lengths: np.ndarray):
     return run
 
 
-def write_ids(docs: DataFrame, vocabulary: str, out: str | None = None, end_id: int = 0, limit: int = 16, segment_chars: int = 2_000_000) -> str:
+def write_ids(docs: DataFrame, vocabulary: str, out: str | None = None, end_id: int = 0, limit: int = 16, segment_bytes: int = 2_000_000) -> str:
     """Writes the ids of docs(doc_id, text) to a folder in the shared store, and returns its path.
 
     vocabulary: a file of the tokenizers library. limit: bits of the longest code; raised where the vocabulary needs it.
@@ -182,7 +182,7 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str | None = None, end_id:
     spark, out = docs.sparkSession, out or shared_dir(docs.sparkSession)
     kept = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     ordered = kept.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ordered.mapInArrow(_stage(vocabulary, end_id, segment_chars), STAGED).write.option("compression", "zstd").parquet(f"{out}/staged")
+    ordered.mapInArrow(_stage(vocabulary, end_id, segment_bytes), STAGED).write.option("compression", "zstd").parquet(f"{out}/staged")
     staged = spark.read.schema(STAGED).parquet(f"{out}/staged")
     found = staged.select("n_tokens", "ids").mapInArrow(_count, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([r["token_id"] for r in found], default=0) + 1, np.int64)

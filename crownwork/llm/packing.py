@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
-from .tokens import encoder, slices
+from .tokens import encoder, slices, texts_of
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -87,9 +87,9 @@ def _pieces(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            keys, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for lo, hi in slices(texts):
-                flat, n = enc.ids(texts[lo:hi])
+                flat, n = enc.ids(texts.slice(lo, hi - lo))
                 raw, sizes = memoryview(np.insert(flat, np.cumsum(n), end_id).astype("<u4").tobytes()), (n + 1).tolist()
                 rows, at = [], 0
                 for key, size in zip(keys[lo:hi], sizes):

@@ -16,10 +16,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-_MARK = "\x1f"
+_MARK, _CUTS = "\x1f", (" ", ",", ".", "\n")
 
 
 def encoder(path: str) -> "PieceEncoder":
@@ -41,47 +43,80 @@ class _Memo(dict):
 
 
 class PieceEncoder:
-    """ids of texts; keeps at most ``most`` pieces, then starts anew."""
+    """ids of texts; once it keeps ``most`` pieces, those that only one batch of texts had go."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # a character of a token stands for a byte
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes[i] = len(token)
         self.most = most
         self._reset()
 
     def _reset(self):
         self.memo, self.ids_kept, self.n_ids = _Memo(), np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.start, self.count, self.batches = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.ends, self.begins = np.zeros(1 << 14, np.uint8), np.zeros(1 << 14, np.uint8)
         self.n, self.chars = 0, 0
 
+    def _trim(self):
+        """Keeps the pieces that several batches had, half of ``most`` at the utmost."""
+        often = self.batches[: self.n]
+        least = 2
+        while (often >= least).sum() > self.most // 2:
+            least *= 2
+        stay = np.flatnonzero(often >= least)
+        names, old = list(self.memo), {k: getattr(self, k) for k in ("start", "count", "ends", "begins", "batches", "ids_kept")}
+        self._reset()
+        self._room(len(stay))
+        for at in stay.tolist():
+            self.memo[names[at]] = len(self.memo)
+            self.chars += len(names[at])
+        counts = old["count"][stay].astype(np.int64)
+        at = np.repeat(old["start"][stay] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        self._keep(np.arange(len(stay)), old["ids_kept"][at], counts)
+        self.n = len(stay)
+        for k in ("ends", "begins"):
+            getattr(self, k)[: self.n] = old[k][stay]
+
+    def _room(self, more: int):
+        if self.n + more > len(self.start):
+            size = max(2 * len(self.start), self.n + more)
+            for k in ("start", "count", "ends", "begins", "batches"):
+                kept = getattr(self, k)
+                grown = np.zeros(size, kept.dtype)
+                grown[: len(kept)] = kept
+                setattr(self, k, grown)
+
     def _learn(self):
         """Encodes the pieces that wait."""
         new, memo = self.memo.new, self.memo
         if not new:
             return
         memo.new = []
-        if self.n + len(new) > len(self.start):
-            size = max(2 * len(self.start), self.n + len(new))
-            for k in ("start", "count", "ends", "begins"):
-                setattr(self, k, np.resize(getattr(self, k), size))
+        self._room(len(new))
         n, joined, rest = self.n, [], []
         for i, p in enumerate(new):  # these may stand on end: each begins where the pattern splits
             (joined if p[:1] in (" ", "\n") and len(p) < 64 and p[-1].isalnum() else rest).append(i)
         self.ends[n : n + len(new)] = self.begins[n : n + len(new)] = 0
         for at in range(0, len(joined), 20_000):
-            some = np.array(joined[at : at + 20_000])
+            some = joined[at : at + 20_000]
             pieces = [new[i] for i in some]
-            e = self.tokenizer.encode("".join(pieces), add_special_tokens=False)
-            cuts = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-            of = np.searchsorted(cuts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right")
-            self._keep(n + some, np.array(e.ids, np.uint32), np.bincount(of, minlength=len(some)))
+            found = self.tokenizer.encode_batch_fast(["".join(pieces[k : k + 200]) for k in range(0, len(pieces), 200)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            ends, cuts = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy())
+            before = np.searchsorted(ends, cuts, side="right")
+            if (ends[before - 1] == cuts).all():
+                self._keep(n + np.array(some), ids, np.diff(before, prepend=0))
+            else:  # a vocabulary that changes characters
+                rest += some
         if rest:
             some = [[new[i] for i in rest[at : at + 5000]] for at in range(0, len(rest), 5000)]
-            parts = [e.ids for x in some for e in self.tokenizer.encode_batch(x, add_special_tokens=False)]
+            parts = [e.ids for x in some for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False)]
             flat = np.array([x for ids in parts for x in ids], np.uint32)
             self._keep(n + np.array(rest), flat, np.array([len(x) for x in parts], np.int64))
             last = [new[i][-1:] for i in rest]
@@ -97,26 +132,34 @@ class PieceEncoder:
         self.count[numbers] = counts
         self.n_ids += len(ids)
 
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, and how many each has. An empty text has none."""
+    def ids(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and how many each has. An empty text has none.
+
+        Arrow cuts the texts and numbers the distinct pieces; only those are looked up one by one."""
         if len(self.memo) > self.most or self.chars > 32 * self.most:
-            self._reset()
-        number, rows, whole = self.memo.__getitem__, [], {}
-        for k, t in enumerate(texts):
-            if _MARK in t or any(a in t for a in self.added):
-                whole[k], parts = self.tokenizer.encode(t, add_special_tokens=False).ids, []
-            else:
-                parts = t.replace(" ", "\x1f ").replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n").split(_MARK)
-            rows.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+            self._trim()
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = pc.match_substring(texts, _MARK)
+        for a in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, a))
+        whole = {int(k): self.tokenizer.encode(texts[int(k)].as_py(), add_special_tokens=False).ids for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))}
+        marked = pc.if_else(odd, "", texts) if whole else texts
+        for c in _CUTS:
+            marked = pc.replace_substring(marked, c, _MARK + c)
+        cut = pc.split_pattern(marked, _MARK)
+        sizes, pieces = np.diff(cut.offsets.to_numpy()).astype(np.int64), cut.flatten().dictionary_encode()
+        number = self.memo.__getitem__
+        own = np.array([number(p) for p in pieces.dictionary.to_pylist()], np.int64)
         self._learn()
-        sizes = np.array([len(r) for r in rows], np.int64)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), sizes)
+        self.batches[own] += 1
+        flat = own[pieces.indices.to_numpy()]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         end, begin = self.ends[flat], self.begins[flat]
         bad = np.where(begin[1:] == 1, end[:-1] != 0, end[:-1] == 1) & (owner[1:] == owner[:-1])
         if bad.any():
-            for k in np.unique(owner[1:][bad]):
-                rows[k] = self._together(texts[k])
+            rows = np.split(flat, np.cumsum(sizes)[:-1])
+            for k in np.unique(owner[1:][bad]).tolist():
+                rows[k] = self._together(texts[k].as_py())
             self._learn()
             sizes = np.array([len(r) for r in rows], np.int64)
             flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
@@ -124,20 +167,21 @@ class PieceEncoder:
         before = np.cumsum(counts) - counts
         total = int(counts.sum())
         out = self.ids_kept[np.repeat(self.start[flat] - before, counts) + np.arange(total)]
-        lengths = np.bincount(owner, weights=counts, minlength=len(rows)).astype(np.int64)
+        lengths = np.bincount(owner, weights=counts, minlength=len(sizes)).astype(np.int64)
         if whole:
-            cut = np.split(out, np.cumsum(lengths)[:-1])
+            parts = np.split(out, np.cumsum(lengths)[:-1])
             for k, ids in whole.items():
-                cut[k], lengths[k] = np.array(ids, np.uint32), len(ids)
-            out = np.concatenate(cut)
+                parts[k], lengths[k] = np.array(ids, np.uint32), len(ids)
+            out = np.concatenate(parts)
         return out, lengths
 
     def _together(self, text: str) -> np.ndarray:
         """Numbers of the pieces of a text in which some cuts may not be used."""
-        parts = text.replace(" ", "\x1f ").replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n").split(_MARK)
+        for c in _CUTS:
+            text = text.replace(c, _MARK + c)
         out: list[list[str]] = []
         last = ""
-        for p in parts:
+        for p in text.split(_MARK):
             if out and last and (not last.isalnum() if p[:1] in (",", ".") else last.isspace()):
                 out[-1].append(p)
             else:
@@ -147,13 +191,18 @@ class PieceEncoder:
         return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
 
 
-def slices(texts: list, most_chars: int = 4_000_000):
-    """Ranges of the list of about most_chars characters at most, or one text."""
-    at, chars = 0, 0
-    for k, t in enumerate(texts):
-        if k > at and chars + len(t) > most_chars:
+def texts_of(column: pa.Array) -> pa.Array:
+    """A column of texts, null ones empty."""
+    return pc.fill_null(column, "")
+
+
+def slices(texts: pa.Array, most_bytes: int = 4_000_000):
+    """Ranges of the texts of about most_bytes at most, or one text."""
+    at, size = 0, 0
+    for k, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if k > at and size + n > most_bytes:
             yield at, k
-            at, chars = k, 0
-        chars += len(t)
+            at, size = k, 0
+        size += n
     if at < len(texts):
         yield at, len(texts)

@@ -73,7 +73,7 @@ def docs(spark):
 
 def test_token_file(spark, enc):
     rows, df = docs(spark)
-    path = huffman.write_ids(df.repartition(7), PATH, segment_chars=20_000)
+    path = huffman.write_ids(df.repartition(7), PATH, segment_bytes=20_000)
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in huffman.read_ids(spark, path).collect()))
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
