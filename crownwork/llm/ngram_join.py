@@ -5,9 +5,10 @@ row, however many they are. Three steps, none of which loses a link of Jaccard s
 
 1. Bounds. A set of n n-grams shares ceil(n * percent / 100) of them with each linked one, whatever that one's size. So
    if all n-grams stand in one order, linked sets have a common one among their first n - ceil(n * percent / 100) + 1.
-   The order puts n-grams that many documents hold last (``frequent``), so that a passage or line that is in many
-   texts brings none of them together. Rows that share one of these n-grams are put together; what shares none is
-   discarded. Rows so chained are a family.
+   The order puts n-grams that many documents hold last (``levels_of``), so that a passage or line that is in many
+   texts brings none of them together. Of two sets that share a leading n-gram, bit strings of about n bits tell how
+   many n-grams differ at least, and the sizes how many may; what differs in more is discarded. Rows so chained are a
+   family. Only an n-gram that leads in more than ``crowd`` sets chains them all at once, without pairs.
 2. Product. A family's incidence matrix is multiplied by its transpose, some columns at a time, and overlap counts
    accumulate: dense products for columns that many rows hold, pairs for the others. Links follow from counts and sizes.
 3. A family too large for one task is first compared with a few of its rows, its leaders. Rows linked to one leader are
@@ -107,21 +108,54 @@ def _parts(batches, columns: int, most: int = 4_000_000):
             at = end
 
 
-def _sets(size: int, least: int = 3):
-    """A row for each document, and one for each n-gram that ``least`` documents of a batch hold."""
+def parities(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """A bit string for each set, of a power of two of at least as many bits as it has n-grams: whether an odd number of
+    them falls on each bit. As many bits of two sets differ as n-grams at most."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(counts, 64))).astype(np.int64))
+    at = np.cumsum(bits) - bits
+    own = np.repeat(np.arange(len(counts)), counts)
+    place = at[own] + (mixed(hashes + _K[2]) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    raw = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [raw[x // 8 : (x + n) // 8] for x, n in zip(at.tolist(), bits.tolist())]
+
+
+def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many bits of bit strings (rows of bytes) differ; the longer ones are folded, halves added bit by bit."""
+    while left.shape[1] != right.shape[1]:
+        if left.shape[1] < right.shape[1]:
+            left, right = right, left
+        half = left.shape[1] // 2
+        left = left[:, :half] ^ left[:, half:]
+    return np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+
+
+def _sets(size: int, least: int = 3, held: int = 4_000_000):
+    """A row for each document with its bit string, and one for each n-gram that ``least`` of the documents hold that the
+    task has seen since it last told, every ``held`` n-grams."""
+
+    def common(some):
+        gram, times = np.unique(np.concatenate(some), return_counts=True)
+        gram, times = gram[times >= least], times[times >= least]
+        nothing = [pa.nulls(len(gram), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(gram.view(np.int64)), pa.array(times)], names)
+
+    names = ["doc_id", "n", "node", "bits", "gram", "times"]
 
     def run(batches):
         forget()
+        some: list[np.ndarray] = []
         for b in _parts(batches, 2):
             hashes, counts = word_sets(b.column(1), size)
-            nothing = lambda n: pa.nulls(n, pa.int64())
             n = len(counts)
-            names = ["doc_id", "n", "node", "gram", "times"]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(node_of(hashes, counts).view(np.int64)), nothing(n), nothing(n)], names)
-            gram, times = np.unique(hashes, return_counts=True)
-            gram, times = gram[times >= least], times[times >= least]
-            n = len(gram)
-            yield pa.RecordBatch.from_arrays([nothing(n), nothing(n), nothing(n), pa.array(gram.view(np.int64)), pa.array(times)], names)
+            cols = [b.column(0), pa.array(counts), pa.array(node_of(hashes, counts).view(np.int64)), pa.array(parities(hashes, counts), pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+            some.append(hashes)
+            if sum(map(len, some)) > held:
+                yield common(some)
+                some = []
+        if some:
+            yield common(some)
 
     return run
 
@@ -135,49 +169,103 @@ def levels_of(counted: DataFrame, least: int = 8, most: int = 500_000) -> np.nda
     return level
 
 
-def _starred(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the first node of each, and the pairs of the others of a key with its first."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    firsts = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))] if len(key) else node
-    pairs = np.unique(np.stack([firsts, node], 1)[firsts != node], axis=0)
-    return key[start], node[start], pairs[:, 0], pairs[:, 1]
-
-
-def _keyed(size: int, percent: int, sent):
-    """For each n-gram that leads in some set of a batch, one node that it leads in; and the others, paired with that one."""
+def _keyed(size: int, percent: int, sent, crowd: int):
+    """The n-grams that lead in a set, with its node: key, a. Of one that leads in more than ``crowd`` sets of a batch
+    only the first node goes on (sure), and the pairs of the others with it: a, b."""
 
     def run(batches):
         forget()
         for b in _parts(batches, 1):
             hashes, counts = word_sets(b.column(0), size)
             keys, first = leading_grams(hashes, counts, percent, sent.value)
-            key, node, left, right = _starred(keys.view(np.int64), np.repeat(node_of(hashes, counts).view(np.int64), first))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64())], ["key", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(left), pa.array(right)], ["key", "a", "b"])
+            key, node = keys.view(np.int64), np.repeat(node_of(hashes, counts).view(np.int64), first)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
+            key, node = key[new], node[new]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(key)))
+            first, full = np.repeat(starts, times), np.repeat(times > crowd, times)
+            send = ~full | (first == np.arange(len(key)))
+            pairs = np.unique(np.stack([node[first], node], 1)[~send], axis=0)
+            n, m = int(send.sum()), len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(key[send]), pa.array(node[send]), pa.nulls(n, pa.int64()), pa.array(full[send])], ["key", "a", "b", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(m, bool))], ["key", "a", "b", "sure"])
 
     return run
 
 
-def _chained(batches):
-    """Rows ordered by key and a: pairs as they are, and each row's node with the first of its key, each pair once as
-    far as the task sees."""
-    last_key, first = None, 0
-    for b in batches:
-        paired = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
-        ready = b.filter(pa.array(paired))
-        if ready.num_rows:
-            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], ["a", "b"])
-        key, node = b.column(0).to_numpy()[~paired], b.column(1).to_numpy()[~paired]
-        if not len(key):
-            continue
-        start = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        where = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
-        firsts = np.where(where >= 0, node[where], first)
-        last_key, first = key[-1], firsts[-1]
-        pairs = np.unique(np.stack([firsts, node], 1)[firsts != node], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+def _paired(crowd: int):
+    """Rows ordered by key, sure ones first: the pairs of the nodes of a key, and of more than ``crowd`` nodes, or where a
+    batch had more, those of each with the first one (sure)."""
+
+    def told(pairs, sure):
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1)), pa.array(np.full(len(pairs), sure))], ["a", "b", "sure"])
+
+    def solved(key, node, sure, full):
+        """full: (key, first node) of a key that is known to be crowded."""
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        times = np.diff(np.append(starts, len(key)))
+        heads = node[starts].copy()
+        crowded = (times > crowd) | sure[starts]
+        if full and key[0] == full[0]:
+            heads[0], crowded[0] = full[1], True
+        many = np.repeat(crowded, times)
+        yield told(np.stack([np.repeat(heads, times), node], 1)[many], True)
+        for size in np.unique(times[~crowded & (times > 1)]).tolist():
+            rows = node[starts[~crowded & (times == size)][:, None] + np.arange(size)]
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 500_000 // len(i))
+            for at in range(0, len(rows), step):
+                yield told(np.stack([rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()], 1), False)
+
+    def run(batches):
+        key, node, sure, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), None
+        for b in batches:
+            paired = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
+            ready = b.filter(pa.array(paired))
+            if ready.num_rows:
+                yield pa.RecordBatch.from_arrays([pc.min_element_wise(ready.column(1), ready.column(2)), pc.max_element_wise(ready.column(1), ready.column(2)), ready.column(3)], ["a", "b", "sure"])
+            more = [b.column(k).to_numpy(zero_copy_only=False)[~paired] for k in (0, 1, 3)]
+            key, node, sure = (np.concatenate(x) for x in zip((key, node, sure), more))
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if last:
+                yield from solved(key[:last], node[:last], sure[:last], full)
+                key, node, sure, full = key[last:], node[last:], sure[last:], None
+            if len(key) > crowd:  # known to be crowded: its first node is enough
+                first = full[1] if full else node[0]
+                yield told(np.stack([np.full(len(node), first), node], 1), True)
+                full = (key[0], first)
+                key, node, sure = key[:1], node[:1], sure[:1]
+        if len(key):
+            yield from solved(key, node, sure, full)
+
+    return run
+
+
+def _possible(percent: int):
+    """The pairs whose sizes and bit strings let them be linked."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            left, right = b.column(3).to_pylist(), b.column(5).to_pylist()
+            lengths = np.array([(len(x), len(y)) for x, y in zip(left, right)])
+            good = np.maximum(n, m) * percent <= 100 * np.minimum(n, m)
+            for x, y in np.unique(lengths[good], axis=0).tolist():
+                own = np.flatnonzero(good & (lengths[:, 0] == x) & (lengths[:, 1] == y))
+                one = np.frombuffer(b"".join(left[k] for k in own), np.uint8).reshape(-1, x)
+                two = np.frombuffer(b"".join(right[k] for k in own), np.uint8).reshape(-1, y)
+                good[own] = differing(one, two) * (100 + percent) <= (n[own] + m[own]) * (100 - percent)
+            kept = b.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["a", "b"])
+
+    return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int = 24, columns: int = 2048) -> np.ndarray:
@@ -330,24 +418,31 @@ def _block_links(percent: int):
     return run
 
 
-def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int = 1500, family_grams: int = 3_000_000, leaders: int = 8, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int = 1500, family_grams: int = 3_000_000, leaders: int = 8, crowd: int = 32, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id of docs(doc_id, text): two documents are linked when the Jaccard similarity of
     their sets of word n-grams is percent / 100 or more.
 
     component_id: the least doc_id that links lead to, its own included. A text of fewer than ``size`` words has one
     n-gram; one without words, or null, none and no links. Rows of equal doc_id are rows of their own; if their texts
     differ, they aren't linked by the id alone. A row without doc_id takes no part: its component_id is null.
-    family_docs, family_grams: beyond them a family is dealt out to many tasks; the result is the same."""
+    family_docs, family_grams: beyond them a family is dealt out to many tasks; crowd: beyond so many sets, an n-gram
+    that leads in them chains them without a look at pairs. None of them changes the result."""
     spark = docs.sparkSession
     own = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    found = stored(own.mapInArrow(_sets(size), "doc_id bigint, n bigint, node bigint, gram bigint, times bigint"))
+    found = stored(own.mapInArrow(_sets(size), "doc_id bigint, n bigint, node bigint, bits binary, gram bigint, times bigint"))
     rows = found.where("n is not null").select("doc_id", "n", "node")
-    nodes = stored(rows.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
+    known = found.where("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    known = stored(known)
+    nodes = known.select("node", "first", "n")
     sent = spark.sparkContext.broadcast(levels_of(found.where("gram is not null").select("gram", "times")))  # a byte a slot
-    keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent), "key bigint, a bigint, b bigint")
-    chained = stored(keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_chained, "a bigint, b bigint").distinct())
+    keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent, crowd), "key bigint, a bigint, b bigint, sure boolean")
+    paired = keyed.repartition("key").sortWithinPartitions("key", F.desc("sure"), "a").mapInArrow(_paired(crowd), "a bigint, b bigint, sure boolean")
+    pairs = stored(paired.groupBy("a", "b").agg(F.max("sure").alias("sure")))
     sent.destroy()
-    families = components(chained)
+    sides = [known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
+    open_pairs = pairs.where("not sure").select("a", "b").join(small_hint(sides[0], broadcast_bytes), "a").join(small_hint(sides[1], broadcast_bytes), "b")
+    possible = open_pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible(percent), "a bigint, b bigint")
+    families = components(possible.unionByName(pairs.where("sure").select("a", "b")))
     members = stored(families.join(nodes, "node").select("node", F.col("root").alias("family"), F.col("first").alias("doc_id"), "n"))
     sizes = stored(members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")))
     large = (F.col("docs") > family_docs) | (F.col("grams") > family_grams)

@@ -50,7 +50,7 @@ def made(seed, groups=12, words=160):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"family_docs": 4}), (3, {"family_docs": 4, "leaders": 1, "broadcast_bytes": 0}), (4, {"family_grams": 100})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"family_docs": 4}), (3, {"family_docs": 4, "leaders": 1, "broadcast_bytes": 0}), (4, {"family_grams": 100}), (5, {"crowd": 1}), (6, {"crowd": 3, "broadcast_bytes": 0})])
 def test_classes_against_brute_force(spark, seed, options):
     rows = made(seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 n", "2 node", "3 family", "4 first", "5 key").repartition(5)
@@ -129,6 +129,18 @@ def test_leading_grams_lose_no_link(percent):
             assert set(keys[: sizes[0]]) & set(keys[sizes[0] :])
 
 
+def test_bit_strings_bound_the_difference():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.sort(rng.choice(pool, rng.integers(1, 900), replace=False)) for _ in range(60)]
+    bits = ngram_join.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+    raw = [np.frombuffer(x, np.uint8)[None] for x in bits]
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert ngram_join.differing(raw[k], raw[j])[0] <= len(np.setxor1d(a, b))
+    assert all(len(x) * 8 >= len(a) for x, a in zip(bits, sets))
+
+
 def test_sets_of_words():
     texts = ["", None, " \t\n", " a b  c\x0bD e ", "A b C d E", "x", "É a", "é a", "p q", "a b c"]
     hashes, counts = ngram_join.word_sets(texts, 3)
