@@ -2,8 +2,13 @@
 
 Each of ``curves`` Hilbert curves orders the vectors by their projection to ``dims`` directions of its own, shifted by an
 offset of its own. Every ordering is dealt out by key ranges and cut into blocks of ``block`` rows. A query is compared
-with the vectors of its block and of the neighbouring ones on either side, as many as cover ``share`` of all rows; what
-the curves find is merged and ranked by the inner product of the original vectors, in double precision.
+with the vectors of its block and of the neighbouring ones on either side; what the curves find is merged and ranked by
+the inner product of the original vectors, in double precision.
+
+How many blocks a window has on either side is measured: ``probes`` queries at most are held against all vectors, one
+product with a few rows, and the window is the smallest that holds ``recall`` of what they have nearest on some curve.
+So vectors in clusters get windows of few rows however many vectors there are, and vectors without near neighbours,
+which no index can tell apart, get wide ones.
 
 Greatest inner product is nearest distance once vectors get one more component that brings all to the same length
 (data: sqrt(M^2 - |x|^2), queries: 0), so vectors of any length are found.
@@ -113,6 +118,36 @@ def _placed(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(np.full(len(curve), part, np.int32)), pa.array(local)], ["curve", "kind", "gid", "part", "local"])
 
 
+def greatest(queries: np.ndarray, data: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k greatest inner products of each query with rows of data, ties by ``least``.
+
+    A product in blocks gives the k-th greatest; all rows that reach it, but for rounding, are scored anew, each by
+    the same order of addition, so that equal vectors have equal scores wherever they stand."""
+    near, n = queries @ data.T, min(k, len(data))
+    bar = np.partition(near, len(data) - n, axis=1)[:, len(data) - n]
+    slack = 1e-9 * np.linalg.norm(queries, axis=1) * np.linalg.norm(data, axis=1).max()
+    row, col = np.nonzero(near >= (bar - slack)[:, None])
+    score = np.concatenate([(queries[row[at : at + 100_000]] * data[col[at : at + 100_000]]).sum(1) for at in range(0, len(row), 100_000)])
+    order = np.lexsort((least[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, np.arange(len(queries)))
+    own = np.arange(len(row)) - first[row] < n
+    return row[own], col[own], score[own]
+
+
+def _exact(gids: np.ndarray, queries: np.ndarray, k: int):
+    """The k greatest inner products of a few queries with the vectors of each batch."""
+
+    def run(batches):
+        for b in batches:
+            x = _matrix(b.column(2))
+            if len(x):
+                row, col, score = greatest(queries, x, b.column(1).to_numpy(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(gids[row]), b.column(0).take(pa.array(col)), b.column(1).take(pa.array(col)), pa.array(score)], ["qgid", "gid", "least", "score"])
+
+    return run
+
+
 def _best(k: int):
     """The k nearest vectors of a block for each of its queries."""
 
@@ -121,17 +156,11 @@ def _best(k: int):
         x = _matrix(t.column("embedding"))
         data, asked = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
         out: list = [[], [], [], []]
-        n = min(k, len(data))
-        for at in range(0, len(asked) if n else 0, 512):
+        for at in range(0, len(asked) if len(data) else 0, 512):
             some = asked[at : at + 512]
-            near = x[some] @ x[data].T
-            take = data[np.argpartition(-near, min(n + 4, len(data)) - 1, axis=1)[:, : n + 4]]
-            score = (x[some][:, None, :] * x[take]).sum(2)  # the same order of addition for equal vectors, wherever they stand
-            first = np.lexsort((least[take], -score), axis=1)[:, :n]
-            out[0].append(np.repeat(gid[some], n))
-            out[1].append(np.take_along_axis(gid[take], first, 1).ravel())
-            out[2].append(np.take_along_axis(least[take], first, 1).ravel())
-            out[3].append(np.take_along_axis(score, first, 1).ravel())
+            row, col, score = greatest(x[some], x[data], least[data], k)
+            for c, v in zip(out, (gid[some][row], gid[data][col], least[data][col], score)):
+                c.append(v)
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
         kinds = (np.int64, np.int64, np.int64, np.float64)
         return pa.table({c: pa.array(x.astype(kind)) for c, x, kind in zip(("qgid", "gid", "least", "score"), cols, kinds)})
@@ -139,8 +168,28 @@ def _best(k: int):
     return run
 
 
+def _reach(groups: DataFrame, ranked: DataFrame, k: int, probes: int, recall: float) -> int:
+    """The blocks on either side within which some curve has ``recall`` of what a few queries have nearest."""
+    some = groups.where("asked").orderBy(F.xxhash64("gid", F.lit(5)), "gid").limit(probes).select("gid", "embedding").toPandas()
+    if not len(some):
+        return 0
+    exact = groups.select("gid", "least", "embedding").mapInArrow(_exact(some["gid"].to_numpy(), np.array(some["embedding"].tolist(), np.float64), k), "qgid bigint, gid bigint, least bigint, score double")
+    top = F.row_number().over(Window.partitionBy("qgid").orderBy(F.desc("score"), "least"))
+    pairs = stored(exact.withColumn("r", top).where(F.col("r") <= k).select("qgid", "gid"))  # probes * k rows
+    at = ranked.join(F.broadcast(pairs), "gid").where("kind = 0").select("qgid", "gid", "curve", "own")
+    asked = ranked.where("kind = 1").join(F.broadcast(pairs.select("qgid").distinct()), F.col("gid") == F.col("qgid")).select("qgid", "curve", F.col("own").alias("q_own"))
+    gaps = at.join(asked, ["qgid", "curve"]).groupBy("qgid", "gid").agg(F.min(F.abs(F.col("own") - F.col("q_own"))).alias("gap"))
+    counts = sorted((r["gap"], r["n"]) for r in gaps.groupBy("gap").agg(F.count("*").alias("n")).collect())  # a row a distance
+    total, seen = sum(c for _, c in counts), 0
+    for gap, c in counts:
+        seen += c
+        if seen >= recall * total:
+            return int(gap)
+    return 0
+
+
 def nearest(
-    vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 12, dims: int = 8, bits: int = 6, block: int = 2048, share: float = 0.03, sample: int = 10_000, seed: int = 1
+    vectors: DataFrame, k: int = 20, every: int = 20, curves: int = 12, dims: int = 8, bits: int = 6, block: int = 1024, recall: float = 0.95, probes: int = 256, sample: int = 10_000, seed: int = 1
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every``, the k nearest other rows found.
 
@@ -168,9 +217,10 @@ def nearest(
     placed = stored(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_placed, "curve int, kind int, gid bigint, part int, local bigint"))
     totals = placed.groupBy("curve", "part").agg(F.sum((F.col("kind") == 0).cast("bigint")).alias("n"))  # curves * partitions rows
     before = totals.select("curve", "part", (F.sum("n").over(Window.partitionBy("curve").orderBy("part")) - F.col("n")).alias("before"))
-    last, reach = (n - 1) // block, max(1, int(np.ceil(share * n / block)))
+    last = (n - 1) // block
     own = F.least(F.floor((F.col("before") + F.col("local")) / block), F.lit(last)).cast("bigint")
-    ranked = placed.join(before, ["curve", "part"]).select("curve", "kind", "gid", own.alias("own"))
+    ranked = stored(placed.join(F.broadcast(before), ["curve", "part"]).select("curve", "kind", "gid", own.alias("own")))
+    reach = _reach(groups, ranked, k + 1, probes, recall) if last else 0
     blocks = F.when(F.col("kind") == 0, F.array("own")).otherwise(F.sequence(F.greatest(F.col("own") - reach, F.lit(0)), F.least(F.col("own") + reach, F.lit(last))))
     dealt = ranked.select("curve", "kind", "gid", F.explode(blocks).alias("block")).join(groups.select("gid", "least", "embedding"), "gid")
     found = dealt.groupBy("curve", "block").applyInArrow(_best(k + 1), "qgid bigint, gid bigint, least bigint, score double")

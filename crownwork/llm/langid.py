@@ -12,6 +12,8 @@ A text none of whose letters was seen in training gets the language with most tr
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import kept as in_worker
-from .common import small_batches
-from .words import WordRows
+from .common import small_batches, stored
+from .words import WordRows, words_of
 
 
 def held_out(doc_id):
@@ -66,6 +68,17 @@ class Scorer:
             yield [(self.languages[b], float(min(1, s))) if n else ("und", 0.0) for b, s, n in zip(best, score, counts)]
 
 
+def _counted(batches):
+    """The words of a batch by language, cut as for a prediction, with their numbers."""
+    for b in batches:
+        counts: dict[str, Counter] = {}
+        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts.setdefault(lang, Counter()).update(words_of(text.lower()))
+        rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items()]
+        kinds = (pa.string(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", "w", "n"])
+
+
 def fit(docs: DataFrame, per_language: int = 5000, most_words: int = 150_000, longest: int = 5, least: int = 2) -> dict:
     """A model from docs(doc_id, text, lang): rows with text and lang. ``least``: counts below it are left out."""
     known = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
@@ -76,7 +89,8 @@ def fit(docs: DataFrame, per_language: int = 5000, most_words: int = 150_000, lo
         return model
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1, per_language / sizes[lang]) * (1 << 30)))])
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
-    words = some.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = small_batches(some.select("lang", F.col("text").cast("string").alias("text"))).mapInArrow(_counted, "lang string, w string, n bigint")
+    words = stored(counted.groupBy("lang", "w").agg(F.sum("n").alias("n")))
     marked = F.concat(F.lit("^"), "w", F.lit("$"))
     each = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda j: F.substring(marked, j, n))))
     grams = words.select("lang", F.explode(each).alias("w"), "n").groupBy("lang", "w").agg(F.sum("n").alias("n"))

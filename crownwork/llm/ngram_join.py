@@ -50,8 +50,8 @@ def word_sets(texts: pa.Array | list[str | None], size: int) -> tuple[np.ndarray
     texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     bounds, words = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) if w else 0 for w in words.dictionary.to_pylist()], np.uint64)
-    named = np.array([bool(w) for w in words.dictionary.to_pylist()], bool)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    named = pc.binary_length(words.dictionary).to_numpy() > 0
     at = words.indices.to_numpy()
     real = named[at] if len(at) else np.zeros(0, bool)
     ends = np.concatenate([[0], np.cumsum(real)])[bounds - bounds[0]]  # white space at either end gives words of no length
@@ -62,7 +62,8 @@ def word_sets(texts: pa.Array | list[str | None], size: int) -> tuple[np.ndarray
     out, counts = [], np.zeros(len(texts), np.int64)
     for k, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
         if hi - lo >= size:
-            out.append(np.unique(whole[lo : hi - size + 1]))
+            grams = np.sort(whole[lo : hi - size + 1])
+            out.append(grams[np.append(True, grams[1:] != grams[:-1])])
         elif hi > lo:
             one = np.full(1, hi - lo, np.uint64)
             for h in flat[lo:hi]:
@@ -91,13 +92,15 @@ def leading_grams(hashes: np.ndarray, counts: np.ndarray, percent: int, level: n
     """The first n-grams of each set, on end, of which linked sets share one, and how many each has. level: by a hash's
     first bits, how many documents hold it, in powers of two."""
     first = counts - (counts * percent + 99) // 100 + (counts > 0)
-    own = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((mixed(hashes), level[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)], own))
-    rank = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return hashes[order][rank < first[own]], first
+    rank = level[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mixed(hashes) >> np.uint64(6)
+    ends, out = np.cumsum(counts), []
+    for n, end, k in zip(counts.tolist(), ends.tolist(), first.tolist()):
+        own = hashes[end - n : end]
+        out.append(own[np.argpartition(rank[end - n : end], k - 1)[:k]] if k < n else own)
+    return (np.concatenate(out) if out else hashes[:0]), first
 
 
-def _parts(batches, columns: int, most: int = 4_000_000):
+def _parts(batches, columns: int, most: int = 2_000_000):
     """The rows of the batches in slices of about ``most`` bytes of text (the last column)."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(columns - 1)), 0).to_numpy(zero_copy_only=False))
@@ -130,7 +133,7 @@ def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
 
 
-def _sets(size: int, least: int = 3, held: int = 4_000_000):
+def _sets(size: int, least: int = 3, held: int = 2_000_000):
     """A row for each document with its bit string, and one for each n-gram that ``least`` of the documents hold that the
     task has seen since it last told, every ``held`` n-grams."""
 
@@ -165,7 +168,7 @@ def levels_of(counted: DataFrame, least: int = 8, most: int = 500_000) -> np.nda
     every = counted.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
     top = every.orderBy(F.desc("times"), "gram").limit(most).toPandas()
     level = np.zeros(1 << _SLOTS, np.uint8)
-    np.maximum.at(level, (top["gram"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SLOTS)).astype(np.int64), np.log2(np.maximum(top["times"].to_numpy(np.int64), 1)).astype(np.uint8))
+    np.maximum.at(level, (top["gram"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - _SLOTS)).astype(np.int64), np.minimum(np.log2(np.maximum(top["times"].to_numpy(np.int64), 1)), 60).astype(np.uint8))
     return level
 
 
@@ -268,7 +271,7 @@ def _possible(percent: int):
     return run
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int = 24, columns: int = 2048) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int = 24, columns: int = 512) -> np.ndarray:
     """Sizes of the intersections of sorted sets: the product of their incidence matrices."""
     n, m = len(left), len(right)
     sizes = [len(x) for x in (*left, *right)]
@@ -283,7 +286,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense_from: int =
     lengths = np.diff(np.append(starts, len(r)))
     for size in np.unique(lengths[lengths > 1]).tolist():  # columns of equally many rows at once
         own, (i, j) = starts[lengths == size], np.triu_indices(size, 1)
-        step = max(1, 2_000_000 // len(i))
+        step = max(1, 500_000 // len(i))
         for at in range(0, len(own), step):
             block = r[own[at : at + step][:, None] + np.arange(size)]  # the rows of a column rise, so left ones come first
             x, y = block[:, i].ravel(), block[:, j].ravel()
@@ -460,7 +463,7 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
         main = stored(patterns.groupBy("family").applyInArrow(_largest, "family bigint, main array<bigint>"))
         near = near.join(small_hint(main, broadcast_bytes), "family", "left").withColumn("rest", ~F.coalesce(F.arrays_overlap("leaders", "main"), F.lit(False)))
         counts = near.groupBy("family").agg(F.count("*").alias("all"), F.count_if("rest").alias("rest")).where("rest > 0")
-        cuts = counts.select("family", F.ceil(F.col("rest") / 1024).cast("int").alias("left_cuts"), F.ceil(F.col("all") / 4096).cast("int").alias("right_cuts"))
+        cuts = counts.select("family", F.ceil(F.col("rest") / 512).cast("int").alias("left_cuts"), F.ceil(F.col("all") / 2048).cast("int").alias("right_cuts"))
         both = near.drop("main").join(small_hint(cuts, broadcast_bytes), "family")
         cut = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), F.col(n)).cast("int")
         upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

@@ -196,7 +196,7 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 
 
-def slices(texts: pa.Array, most_bytes: int = 4_000_000):
+def slices(texts: pa.Array, most_bytes: int = 2_000_000):
     """Ranges of the texts of about most_bytes at most, or one text."""
     at, size = 0, 0
     for k, n in enumerate(pc.binary_length(texts).to_pylist()):

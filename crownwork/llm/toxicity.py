@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import kept as in_worker
 from .common import small_batches, stored
-from .words import WORD, WordRows
+from .words import WordRows, words_of
 
 SHORT = 20  # words added to each text's number of words, so that one word of a short text doesn't outweigh all else
 
@@ -35,7 +35,7 @@ def _featured(batches):
     for b in batches:
         texts, found, counts, n = b.column(1).to_pylist(), [], [], []
         for t in texts:
-            words = Counter(WORD.findall(t.lower()))
+            words = Counter(words_of(t.lower()))
             both: Counter = Counter()
             for w, k in words.items():
                 for f in features(w):

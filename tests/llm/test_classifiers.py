@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from crownwork.llm import langid, queries, toxicity
+from crownwork.llm.words import words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,15 +36,31 @@ def test_language_scores_by_definition(spark):
     assert scorer.rows.table.dtype == np.float32
 
 
+def test_words_are_letters_with_their_marks():
+    import regex
+
+    texts = ["½ ² ³ x² Ⅷ ①", "हिन्दी में", "naïve cafe\u0301 \u0301x", "中文 русский", "a1b_c-d", "\U00010400\U00010428 x", "", "ªº", "x\u200dy"]
+    for t in texts:
+        assert words_of(t) == regex.findall(r"\p{L}[\p{L}\p{M}]*", t), t
+    assert words_of(None) == []
+
+
+def test_ties_of_languages(spark):
+    rows = [(1, "aa", "fr"), (3, "bb", "en"), (4, "aa bb", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), least=1)).collect()}
+    assert got[4] == "en"  # as many training texts, as likely: the first by name
+
+
 def test_language_edge_cases(spark):
-    rows = [(1, "the the cat", "en"), (3, "le le chat", "fr"), (4, None, "fr"), (5, "", None), (6, "123 !?", "en"), (7, "中文", None), (7, "中文", None), (None, "the", None), (9, "the " * 200_000, "fr")]
+    rows = [(1, "the the cat", "en"), (3, "le le chat", "fr"), (4, None, "fr"), (5, "", None), (6, "123 !?", "en"), (7, "中文", None), (7, "中文", None), (None, "the", None), (9, "the " * 200_000, "fr"), (10, "½ ² ³ Ⅷ ①", None), (11, "हिन्दी में है", "hi"), (15, "हिन्दी", None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").selectExpr("*", "1 held_out", "2 score", "3 kept")
     got = langid.identified(df).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}
-    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (4, 5, 6))
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (4, 5, 6, 10))
+    assert by[15]["lang_pred"] == "hi"
     assert all(r["held_out"] == (zlib.crc32(str("" if r["doc_id"] is None else r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got)
-    assert by[7]["lang_pred"] in ("en", "fr")
+    assert by[7]["lang_pred"] in ("en", "fr", "hi")
     assert langid.identified(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in langid.identified(df.withColumn("lang", df["lang"].substr(9, 1).cast("string")).selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
