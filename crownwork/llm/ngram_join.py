@@ -6,9 +6,11 @@ row, however many they are. Three steps, none of which loses a link of Jaccard s
 1. Bounds. A set of n n-grams shares ceil(n * percent / 100) of them with each linked one, whatever that one's size. So
    if all n-grams stand in one order, linked sets have a common one among their first n - ceil(n * percent / 100) + 1.
    The order puts n-grams that many documents hold last (``levels_of``), so that a passage or line that is in many
-   texts brings none of them together. Of two sets that share a leading n-gram, bit strings of about n bits tell how
-   many n-grams differ at least, and the sizes how many may; what differs in more is discarded. Rows so chained are a
-   family. Only an n-gram that leads in more than ``crowd`` sets chains them all at once, without pairs.
+   texts brings none of them together. Of two sets that share a leading n-gram, bit strings of some bits for each n-gram
+   tell how many n-grams differ at least, and the sizes how many may; what differs in more is discarded. Of an n-gram
+   that leads in more than ``crowd`` sets no pairs are made: sets of a part of them are put to leaders whose bits
+   differ little, and leaders are chained if their bits differ in no more than three such steps allow (a linked pair's
+   leaders do). Rows so chained are a family.
 2. Product. A family's incidence matrix is multiplied by its transpose, some columns at a time, and overlap counts
    accumulate: dense products for columns that many rows hold, pairs for the others. Links follow from counts and sizes.
 3. A family too large for one task is first compared with a few of its rows, its leaders. Rows linked to one leader are
@@ -112,9 +114,9 @@ def _parts(batches, columns: int, most: int = 2_000_000):
 
 
 def parities(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """A bit string for each set, of a power of two of at least as many bits as it has n-grams: whether an odd number of
-    them falls on each bit. As many bits of two sets differ as n-grams at most."""
-    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(counts, 64))).astype(np.int64))
+    """A bit string for each set, of a power of two of at least four bits for each n-gram: whether an odd number of them
+    falls on each bit. As many bits of two sets differ as n-grams at most."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(4 * counts, 64))).astype(np.int64))
     at = np.cumsum(bits) - bits
     own = np.repeat(np.arange(len(counts)), counts)
     place = at[own] + (mixed(hashes + _K[2]) & (bits[own] - 1).astype(np.uint64)).astype(np.int64)
@@ -123,17 +125,50 @@ def parities(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
     return [raw[x // 8 : (x + n) // 8] for x, n in zip(at.tolist(), bits.tolist())]
 
 
-def differing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """How many bits of bit strings (rows of bytes) differ; the longer ones are folded, halves added bit by bit."""
-    while left.shape[1] != right.shape[1]:
-        if left.shape[1] < right.shape[1]:
-            left, right = right, left
-        half = left.shape[1] // 2
-        left = left[:, :half] ^ left[:, half:]
-    return np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
-
-
-def _sets(size: int, least: int = 3, held: int = 2_000_000):
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bit strings (rows of bytes) brought to ``size`` bytes, halves added bit by bit: those of fewer bits for the same sets."""
+    while bits.shape[1] > size:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def differing(left: np.ndarray, right: np.ndarray, folds: int = 0) -> np.ndarray:
+    """How many bits of bit strings (rows of bytes) differ, at the shorter one's length, or that halved ``folds`` times (64
+    bits at least)."""
+    size = max(min(left.shape[1], right.shape[1]) >> folds, 8)
+    return np.bitwise_count(folded(left, size) ^ folded(right, size)).sum(1, dtype=np.int64)
+
+
+def near(n: np.ndarray, bits: list[bytes], i: int, others: np.ndarray, percent: int, steps: int = 1) -> np.ndarray:
+    """Which of the others may be linked to set i, by sizes and bits. steps 3: which may lead a set that is linked to one
+    that i leads; the sets between may have shorter bit strings, so it goes by those."""
+    reach, room, folds = 100 / percent, (100 - percent) / (100 + percent), 0
+    if steps == 3:
+        reach, room, folds = reach**3, room * (1 + 200 / percent), int(np.ceil(np.log2(reach)))
+    own = others[(np.maximum(n[others], n[i]) <= reach * np.minimum(n[others], n[i]) + 1e-9)]
+    out = []
+    sizes = np.array([len(bits[k]) for k in own.tolist()], np.int64)
+    for size in np.unique(sizes).tolist():
+        some = own[sizes == size]
+        rows = np.frombuffer(b"".join(bits[k] for k in some.tolist()), np.uint8).reshape(-1, size)
+        mine = np.frombuffer(bits[i], np.uint8)[None]
+        out.append(some[differing(mine, rows, folds) <= room * (n[some] + n[i]) + 1e-9])
+    return np.concatenate(out) if out else own
+
+
+def led(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """The leader of each set: the first set that may be linked to it of those that no earlier one leads, or itself."""
+    lead = np.full(len(n), -1)
+    for i in range(len(n)):
+        if lead[i] < 0:
+            lead[i] = i
+            left = np.flatnonzero(lead < 0)
+            lead[near(n, bits, i, left, percent)] = i
+    return lead
+
+
+def _sets(size: int, least: int = 2, held: int = 2_000_000):
     """A row for each document with its bit string, and one for each n-gram that ``least`` of the documents hold that the
     task has seen since it last told, every ``held`` n-grams."""
 
@@ -172,79 +207,117 @@ def levels_of(counted: DataFrame, least: int = 8, most: int = 500_000) -> np.nda
     return level
 
 
+#: Kinds of rows about an n-gram: a pair of sets, to be looked at; a pair to be chained; a set of a crowd; a leader in one.
+OPEN, SURE, CROWDED, LEADER = range(4)
+
+
 def _keyed(size: int, percent: int, sent, crowd: int):
     """The n-grams that lead in a set, with its node: key, a. Of one that leads in more than ``crowd`` sets of a batch
-    only the first node goes on (sure), and the pairs of the others with it: a, b."""
+    only leaders go on, and the pairs of the others with them: a, b."""
 
     def run(batches):
         forget()
         for b in _parts(batches, 1):
             hashes, counts = word_sets(b.column(0), size)
             keys, first = leading_grams(hashes, counts, percent, sent.value)
-            key, node = keys.view(np.int64), np.repeat(node_of(hashes, counts).view(np.int64), first)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
-            key, node = key[new], node[new]
+            nodes = node_of(hashes, counts).view(np.int64)
+            nodes, row = np.unique(nodes, return_index=True)  # equal sets are one
+            held = np.zeros(len(counts), bool)
+            held[row] = True
+            key, own = keys.view(np.int64)[np.repeat(held, first)], np.repeat(np.searchsorted(nodes, node_of(hashes, counts).view(np.int64)[held]), first[held])
+            order = np.argsort(key, kind="stable")
+            key, own = key[order], own[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             times = np.diff(np.append(starts, len(key)))
-            first, full = np.repeat(starts, times), np.repeat(times > crowd, times)
-            send = ~full | (first == np.arange(len(key)))
-            pairs = np.unique(np.stack([node[first], node], 1)[~send], axis=0)
-            n, m = int(send.sum()), len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(key[send]), pa.array(node[send]), pa.nulls(n, pa.int64()), pa.array(full[send])], ["key", "a", "b", "sure"])
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(m, bool))], ["key", "a", "b", "sure"])
+            kind = np.full(len(key), OPEN)
+            pairs = np.zeros((0, 2), np.int64)
+            if (times > crowd).any():
+                n, bits = counts[row], [None] * len(nodes)
+                every = parities(hashes, counts)
+                bits = [every[k] for k in row.tolist()]
+                for at, m in zip(starts[times > crowd].tolist(), times[times > crowd].tolist()):
+                    some = own[at : at + m]
+                    lead = led(n[some], [bits[k] for k in some.tolist()], percent)
+                    kind[at : at + m] = np.where(lead == np.arange(m), LEADER, -1)
+                    pairs = np.unique(np.concatenate([pairs, np.stack([nodes[some[lead]], nodes[some]], 1)[lead != np.arange(m)]]), axis=0)
+            send, m = kind >= 0, len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(key[send]), pa.array(nodes[own[send]]), pa.nulls(int(send.sum()), pa.int64()), pa.array(kind[send].astype(np.int32))], ["key", "a", "b", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(m, SURE, np.int32))], ["key", "a", "b", "kind"])
 
     return run
 
 
 def _paired(crowd: int):
-    """Rows ordered by key, sure ones first: the pairs of the nodes of a key, and of more than ``crowd`` nodes, or where a
-    batch had more, those of each with the first one (sure)."""
+    """Rows ordered by key, leaders first: the pairs of the nodes of a key (a, b). Of more than ``crowd`` nodes, or where a
+    batch had more, each with the key (a, b: the key)."""
 
-    def told(pairs, sure):
-        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1)), pa.array(np.full(len(pairs), sure))], ["a", "b", "sure"])
+    def told(a, b, kind):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(a)))], ["a", "b", "kind"])
 
-    def solved(key, node, sure, full):
-        """full: (key, first node) of a key that is known to be crowded."""
+    def solved(key, node, kind, full):
+        """full: a key that is known to be crowded."""
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         times = np.diff(np.append(starts, len(key)))
-        heads = node[starts].copy()
-        crowded = (times > crowd) | sure[starts]
-        if full and key[0] == full[0]:
-            heads[0], crowded[0] = full[1], True
+        crowded = (times > crowd) | (kind[starts] == LEADER) | (key[starts] == full if full is not None else False)
         many = np.repeat(crowded, times)
-        yield told(np.stack([np.repeat(heads, times), node], 1)[many], True)
+        yield told(node[many], key[many], np.where(kind[many] == LEADER, LEADER, CROWDED))
         for size in np.unique(times[~crowded & (times > 1)]).tolist():
             rows = node[starts[~crowded & (times == size)][:, None] + np.arange(size)]
             i, j = np.triu_indices(size, 1)
             step = max(1, 500_000 // len(i))
             for at in range(0, len(rows), step):
-                yield told(np.stack([rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()], 1), False)
+                pairs = np.stack([rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()], 1)
+                pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+                yield told(pairs[:, 0], pairs[:, 1], OPEN)
 
     def run(batches):
-        key, node, sure, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), None
+        key, node, kind, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for b in batches:
-            paired = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
-            ready = b.filter(pa.array(paired))
-            if ready.num_rows:
-                yield pa.RecordBatch.from_arrays([pc.min_element_wise(ready.column(1), ready.column(2)), pc.max_element_wise(ready.column(1), ready.column(2)), ready.column(3)], ["a", "b", "sure"])
-            more = [b.column(k).to_numpy(zero_copy_only=False)[~paired] for k in (0, 1, 3)]
-            key, node, sure = (np.concatenate(x) for x in zip((key, node, sure), more))
+            ready = b.column(3).to_numpy() == SURE
+            some = b.filter(pa.array(ready))
+            if some.num_rows:
+                yield told(some.column(1).to_numpy(), some.column(2).to_numpy(), SURE)
+            more = [b.column(k).to_numpy()[~ready] for k in (0, 1, 3)] if not ready.all() else [key[:0]] * 3
+            key, node, kind = (np.concatenate(x) for x in zip((key, node, kind), more))
             if not len(key):
                 continue
             last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if last:
-                yield from solved(key[:last], node[:last], sure[:last], full)
-                key, node, sure, full = key[last:], node[last:], sure[last:], None
-            if len(key) > crowd:  # known to be crowded: its first node is enough
-                first = full[1] if full else node[0]
-                yield told(np.stack([np.full(len(node), first), node], 1), True)
-                full = (key[0], first)
-                key, node, sure = key[:1], node[:1], sure[:1]
+                yield from solved(key[:last], node[:last], kind[:last], full)
+                key, node, kind, full = key[last:], node[last:], kind[last:], full if full == key[-1] else None
+            if len(key) > crowd or full is not None:  # known to be crowded
+                full = int(key[0])
+                yield from solved(key, node, kind, full)
+                key, node, kind = key[:0], node[:0], kind[:0]
         if len(key):
-            yield from solved(key, node, sure, full)
+            yield from solved(key, node, kind, full)
+
+    return run
+
+
+def _leading_sets(percent: int):
+    """Of a part of a crowd (key, a, n, bits): the pairs of sets with their leaders, and the leaders (b: the key)."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, n, bits = t.column("a").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()
+        lead = led(n, bits, percent)
+        own = lead == np.arange(len(lead))
+        key = np.full(int(own.sum()), t.column("key")[0].as_py(), np.int64)
+        kind = np.repeat(np.array([SURE, LEADER], np.int32), [int((~own).sum()), int(own.sum())])
+        return pa.table({"a": np.concatenate([node[lead[~own]], node[own]]), "b": np.concatenate([node[~own], key]), "kind": kind})
+
+    return run
+
+
+def _leaders_chained(percent: int):
+    """The pairs of leaders of a crowd (a, n, bits) that may lead linked sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, n, bits = t.column("a").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()
+        found = [(i, near(n, bits, i, np.arange(i + 1, len(n)), percent, 3)) for i in range(len(n))]
+        a = np.repeat(node, [len(x) for _, x in found])
+        b = node[np.concatenate([x for _, x in found])] if found else node
+        return pa.table({"a": a, "b": b})
 
     return run
 
@@ -429,7 +502,7 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
     n-gram; one without words, or null, none and no links. Rows of equal doc_id are rows of their own; if their texts
     differ, they aren't linked by the id alone. A row without doc_id takes no part: its component_id is null.
     family_docs, family_grams: beyond them a family is dealt out to many tasks; crowd: beyond so many sets, an n-gram
-    that leads in them chains them without a look at pairs. None of them changes the result."""
+    that leads in them is looked at by leaders instead of pairs. None of them changes the result."""
     spark = docs.sparkSession
     own = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     found = stored(own.mapInArrow(_sets(size), "doc_id bigint, n bigint, node bigint, bits binary, gram bigint, times bigint"))
@@ -438,14 +511,27 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
     known = stored(known)
     nodes = known.select("node", "first", "n")
     sent = spark.sparkContext.broadcast(levels_of(found.where("gram is not null").select("gram", "times")))  # a byte a slot
-    keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent, crowd), "key bigint, a bigint, b bigint, sure boolean")
-    paired = keyed.repartition("key").sortWithinPartitions("key", F.desc("sure"), "a").mapInArrow(_paired(crowd), "a bigint, b bigint, sure boolean")
-    pairs = stored(paired.groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent, crowd), "key bigint, a bigint, b bigint, kind int")
+    paired = keyed.repartition("key").sortWithinPartitions("key", F.desc("kind"), "a").mapInArrow(_paired(crowd), "a bigint, b bigint, kind int")
+    pairs = stored(paired.distinct())
     sent.destroy()
-    sides = [known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
-    open_pairs = pairs.where("not sure").select("a", "b").join(small_hint(sides[0], broadcast_bytes), "a").join(small_hint(sides[1], broadcast_bytes), "b")
-    possible = open_pairs.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible(percent), "a bigint, b bigint")
-    families = components(possible.unionByName(pairs.where("sure").select("a", "b")))
+    sides = [known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab"]
+    open_pairs = pairs.where(F.col("kind") == OPEN).select("a", "b").join(small_hint(sides[0], broadcast_bytes), "a").join(small_hint(sides[1], broadcast_bytes), "b")
+    fitting = open_pairs.where(F.greatest("n_a", "n_b") * percent <= F.least("n_a", "n_b") * 100)
+    for c in "ab":
+        fitting = fitting.join(known.select(F.col("node").alias(c), F.col("bits").alias(f"bits_{c}")), c)
+    chained = fitting.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_possible(percent), "a bigint, b bigint").unionByName(pairs.where(F.col("kind") == SURE).select("a", "b"))
+    crowds = pairs.where(F.col("kind") >= CROWDED).select("a", F.col("b").alias("key"), "kind")
+    if not crowds.isEmpty():
+        # a crowd is dealt out in parts of about 1000 sets; each part gives its leaders
+        parts = crowds.where(F.col("kind") == CROWDED).groupBy("key").agg((F.floor(F.count("*") / 1000) + 1).alias("parts"))
+        apart = crowds.where(F.col("kind") == CROWDED).join(small_hint(parts, broadcast_bytes), "key").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")))
+        bits = known.select(F.col("node").alias("a"), "n", "bits")
+        led_sets = stored(apart.join(bits, "a").select("key", "part", "a", "n", "bits").groupBy("key", "part").applyInArrow(_leading_sets(percent), "a bigint, b bigint, kind int"))
+        leading = led_sets.where(F.col("kind") == LEADER).select("a", F.col("b").alias("key")).unionByName(crowds.where(F.col("kind") == LEADER).select("a", "key")).distinct()
+        across = leading.join(bits, "a").select("key", "a", "n", "bits").groupBy("key").applyInArrow(_leaders_chained(percent), "a bigint, b bigint")
+        chained = chained.unionByName(led_sets.where(F.col("kind") == SURE).select("a", "b")).unionByName(across)
+    families = components(chained)
     members = stored(families.join(nodes, "node").select("node", F.col("root").alias("family"), F.col("first").alias("doc_id"), "n"))
     sizes = stored(members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")))
     large = (F.col("docs") > family_docs) | (F.col("grams") > family_grams)

@@ -138,7 +138,30 @@ def test_bit_strings_bound_the_difference():
     for k, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert ngram_join.differing(raw[k], raw[j])[0] <= len(np.setxor1d(a, b))
-    assert all(len(x) * 8 >= len(a) for x, a in zip(bits, sets))
+    assert all(len(x) * 8 >= 4 * len(a) for x, a in zip(bits, sets))
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_leaders_of_linked_sets_are_chained(percent):
+    rng = np.random.default_rng(3)
+    for n in (60, 500, 900):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets = []
+        for _ in range(80):  # sizes on both sides of a power of two, more and less alike
+            own = rng.choice(base, int(n * rng.uniform(0.75, 1)), replace=False)
+            sets.append(np.unique(np.append(own, rng.integers(0, 2**63, int(n * rng.uniform(0, 0.2))).astype(np.uint64))))
+        size, bits = np.array([len(x) for x in sets]), ngram_join.parities(np.concatenate(sets), np.array([len(x) for x in sets]))
+        lead = ngram_join.led(size, bits, percent)
+        links = 0
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+                    links += 1
+                    assert lead[i] == lead[j] or lead[j] in ngram_join.near(size, bits, lead[i], np.array([lead[j]]), percent, 3)
+        assert links
+        far = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for _ in range(40)]
+        bits = ngram_join.parities(np.concatenate(far), np.array([len(x) for x in far]))
+        assert sum(len(ngram_join.near(np.array([len(x) for x in far]), bits, i, np.arange(i + 1, 40), percent, 3)) for i in range(40)) == 0
 
 
 def test_sets_of_words():
