@@ -145,13 +145,16 @@ def clear_enough(boxes: DataFrame, px: DataFrame, key: str = "det_id", least_sid
     return wide.join(share.select(key), key, "left_semi")
 
 
-def rotation_copies(boxes: DataFrame, images: DataFrame, copies: int = 1, seed: int = 1) -> DataFrame:
+def rotation_copies(boxes: DataFrame, images: DataFrame, copies: int = 1, seed: int = 1, px: DataFrame | None = None, least_side: int = 10) -> DataFrame:
     """``copies`` turned copies of each image's boxes: an angle for each image by a hash of (seed, image, copy), boxes and
-    azimuth turned alike, and a new image name with the angle. images: image_id, width, height, azimuth, domain."""
+    azimuth turned alike, and a new image name with the angle. images: image_id, width, height, azimuth, domain. px: where
+    given, boxes go that are narrower than ``least_side`` or, before they were turned, not ``clear_enough``."""
     angles = images.select("*", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
     angles = angles.withColumn("angle", ((F.col("image_id") * 7919 + F.col("copy") * 104729 + seed) % 360).cast("double"))
-    both = boxes.join(angles, "image_id")
+    both = (boxes if px is None else clear_enough(boxes, px, least_side=0)).join(angles, "image_id")
     turned = rotated(both, F.col("angle"), F.col("width"), F.col("height"))
+    if px is not None:
+        turned = turned.where((F.col("xmax") - F.col("xmin") >= least_side) & (F.col("ymax") - F.col("ymin") >= least_side))
     return turned.withColumns({"azimuth": turned_azimuth(F.col("azimuth"), F.col("angle")), "image_name": F.concat_ws("_rot", "image_id", F.col("angle").cast("int"))})
 
 

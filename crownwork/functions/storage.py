@@ -6,24 +6,32 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, as in tests, under a temporary folder."""
+    """A new path under spark.checkpoint.dir. Where that is unset, under a temporary folder if all runs on this machine, as
+    in tests; on a cluster executors don't share one, so the setting is asked for."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder and read again: cuts the lineage, and a lost executor costs nothing."""
+    spark, path = df.sparkSession, path or shared_path(df.sparkSession)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """df, to be broadcast if it has at most most_rows rows; beyond that the join shuffles."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote for tables that nothing reads any more, such as those of an earlier round."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 
 
 def runs(px: DataFrame) -> DataFrame:
@@ -18,18 +18,26 @@ def runs(px: DataFrame) -> DataFrame:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """node, root of edges(a, b), whose numbers are hashes: each round nodes join their least neighbour."""
+    """node, root for the nodes of edges(a bigint, b bigint); equal roots are one component.
+
+    Each round every node joins its least neighbour, the edges are taken between what the nodes joined, and each round's
+    tables are written; those of the round before go. Node numbers should be hashes: then a round at least halves the
+    nodes that still have edges, long chains too. Nodes whose edges all lead to themselves are left out."""
     left = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
+    labels, last = None, None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         moved = left.join(to.select("a", F.col("p").alias("pa")), "a").join(to.select(F.col("a").alias("b"), F.col("p").alias("pb")), "b")
-        left = stored(moved.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        before, left = left, stored(moved.where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        discard(before)
         if labels is None:
-            labels = to.select(F.col("a").alias("node"), F.col("p").alias("root"))
+            labels, last = to.select(F.col("a").alias("node"), F.col("p").alias("root")), to
         else:
             labels = stored(labels.join(to.select(F.col("a").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+            discard(last, to)
+            last = labels
+    discard(left)
     return edges.sparkSession.createDataFrame([], "node bigint, root bigint") if labels is None else labels
 
 

@@ -13,15 +13,21 @@ def _f1(p: Column, r: Column) -> Column:
     return 2 * p * r / (p + r + 1e-9)
 
 
-def overlap_metrics(scored: DataFrame, truth: DataFrame, by: list[str], threshold: float = 0.4) -> DataFrame:
+def overlap_metrics(scored: DataFrame, truth: DataFrame, by: list[str], threshold: float = 0.4, evaluated: DataFrame | None = None) -> DataFrame:
     """By group: n_pred, n_tp (value >= threshold), n_gt, precision, recall, f1, mean_overlap over all predictions.
 
     scored: one row for each prediction with ``value``; truth: one row for each ground truth. Several predictions may
-    count for one ground truth, so recall can be over 1. Groups with predictions only have recall 0."""
+    count for one ground truth, so recall can be over 1. evaluated: the groups to report, such as the tiles with a
+    prediction file, be it empty; without it, all that have predictions or truth. A group without predictions has zeros."""
     counts = scored.groupBy(*by).agg(F.count("*").alias("n_pred"), F.count_if(F.col("value") >= threshold).alias("n_tp"), F.avg("value").alias("mean_overlap"))
     gt = truth.groupBy(*by).agg(F.count("*").alias("n_gt"))
-    both = counts.join(gt, by, "left") if by else counts.crossJoin(gt)  # a row each
-    both = both.withColumn("n_gt", F.coalesce("n_gt", F.lit(0)))
+    if not by:
+        both = counts.crossJoin(gt)  # a row each
+    elif evaluated is None:
+        both = counts.join(gt, by, "full")
+    else:
+        both = evaluated.select(*by).distinct().join(counts, by, "left").join(gt, by, "left")
+    both = both.fillna(0, ["n_pred", "n_tp", "n_gt"]).fillna(0.0, ["mean_overlap"])
     both = both.withColumns({"precision": ratio(F.col("n_tp"), F.col("n_pred")), "recall": ratio(F.col("n_tp"), F.col("n_gt"))})
     return both.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
@@ -53,10 +59,11 @@ def running_sums(df: DataFrame, by: list[str], order: list, values: dict[str, st
     return summed.select(*df.columns, *[(F.col(f"_own_{c}") + F.col(f"_{c}")).alias(n) for c, n in values.items()])
 
 
-def max_of_rest(df: DataFrame, by: list[str], order: list, value: str, name: str) -> DataFrame:
-    """The greatest value of the row and all after it, by group in a total order."""
-    part = _dealt(df, by, order)
-    own = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+def max_of_rest(df: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """The greatest value of the row and all after it, by group in the order of a column without ties: from the last row
+    on, so that each row adds one to the maximum so far."""
+    part = _dealt(df, by, [F.asc(order)])
+    own = Window.partitionBy(*by, "_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*by).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
     tops = part.groupBy(*by, "_part").agg(F.max(value).alias("_top"))
     rest = tops.select(*by, "_part", F.max("_top").over(after).alias("_rest"))
@@ -71,7 +78,7 @@ def pr_curve(labelled: DataFrame, n_gt: DataFrame, by: list[str]) -> DataFrame:
     ranked = running_sums(labelled.withColumn("one", F.lit(1)), by, order, {"tp": "ctp", "one": "rank"})
     points = ranked.join(n_gt, by).where("n_gt > 0")
     points = points.select(*by, "pred_id", "score", "rank", ratio(F.col("ctp"), F.col("n_gt")).alias("recall"), ratio(F.col("ctp"), F.col("rank")).alias("own"))
-    return max_of_rest(points, by, [F.asc("rank")], "own", "precision").drop("own")
+    return max_of_rest(points, by, "rank", "own", "precision").drop("own")
 
 
 def average_precision(points: DataFrame, by: list[str]) -> DataFrame:

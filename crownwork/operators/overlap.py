@@ -35,12 +35,15 @@ def pair_measures(pairs: DataFrame) -> DataFrame:
     return pairs.select("*", ratio(F.col("inter"), a + b - F.col("inter")).alias("iou"), ratio(F.col("inter"), a).alias("l_share"), ratio(F.col("inter"), b).alias("r_share"))
 
 
-def span_overlaps(left: DataFrame, right: DataFrame, by: str = "image_id") -> DataFrame:
-    """l_id, r_id, inter of masks as spans (obj_id, image_id, y, x0, x1; half open): rows meet by image and y."""
-    a = left.select(F.col("obj_id").alias("l_id"), by, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = right.select(F.col("obj_id").alias("r_id"), by, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    common = F.least("a1", "b1") - F.greatest("a0", "b0")
-    return a.join(b, [by, "y"]).where(common > 0).groupBy("l_id", "r_id").agg(F.sum(common).alias("inter"))
+def span_overlaps(left: DataFrame, right: DataFrame, by: str = "image_id", cell: int = 64) -> DataFrame:
+    """l_id, r_id, inter of masks as spans (obj_id, image_id, y, x0, x1; half open): rows meet by image, y and cell of
+    ``cell`` pixels; a pair counts in the cell where its common part begins."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) - 1) / cell))).alias("c")
+    a = left.where("x1 > x0").select(F.col("obj_id").alias("l_id"), by, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), cells("x0", "x1"))
+    b = right.where("x1 > x0").select(F.col("obj_id").alias("r_id"), by, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), cells("x0", "x1"))
+    first = F.greatest("a0", "b0")
+    common = F.least("a1", "b1") - first
+    return a.join(b, [by, "y", "c"]).where((common > 0) & (F.floor(first / cell) == F.col("c"))).groupBy("l_id", "r_id").agg(F.sum(common).alias("inter"))
 
 
 def span_areas(spans: DataFrame) -> DataFrame:

@@ -49,6 +49,46 @@ def scored(tiles: DataFrame, load: Callable[[], Scorer], least: float = 0.0, don
     return todo.select("image_id", "x0", "y0", "w", "h", "data").mapInPandas(run, SCORED)
 
 
+#: From a crop's values to the sine and cosine of its shadow's azimuth.
+AzimuthScorer = Callable[[np.ndarray], tuple[float, float]]
+
+
+def brightness_slope_scorer() -> AzimuthScorer:
+    """Points from the bright to the dark half of a crop: for tests and examples."""
+
+    def score(crop: np.ndarray):
+        y, x = np.mgrid[: crop.shape[0], : crop.shape[1]]
+        dark = crop.max() - crop
+        total = float(dark.sum())
+        if not total:
+            return 0.0, 0.0
+        return float((x * dark).sum() / total - x.mean()), float(y.mean() - (y * dark).sum() / total)
+
+    return score
+
+
+def scored_azimuths(crops: DataFrame, load: Callable[[], AzimuthScorer]) -> DataFrame:
+    """image_id, crop_id, azimuth (degrees from north, clockwise) of crops(image_id, crop_id, h, w, data array), by a scorer
+    that ``load`` makes once in each task: the rows that ``functions.circular.consensus`` takes. A scorer's vector need
+    not have length 1; a crop whose vector is 0, or that fails, has no azimuth."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = load()
+
+        def azimuth(data, h, w):
+            try:
+                s, c = scorer(np.asarray(data, dtype=float).reshape(int(h), int(w)))
+            except Exception:  # noqa: BLE001  the scorer is foreign code
+                return None
+            return float(np.degrees(np.arctan2(s, c)) % 360) if s or c else None
+
+        for pdf in batches:
+            found = [azimuth(*row) for row in zip(pdf["data"], pdf["h"], pdf["w"])]
+            yield pd.DataFrame({"image_id": pdf["image_id"], "crop_id": pdf["crop_id"], "azimuth": pd.Series(found, dtype="float64", index=pdf.index)})
+
+    return crops.select("image_id", "crop_id", "h", "w", "data").mapInPandas(run, "image_id bigint, crop_id bigint, azimuth double")
+
+
 def progress(scored_rows: DataFrame) -> DataFrame:
     """By image: boxes found and tiles failed."""
     return scored_rows.groupBy("image_id").agg(F.count_if(F.col("error").isNull()).alias("boxes"), F.count("error").alias("failed"))

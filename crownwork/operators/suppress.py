@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area
-from ..functions.storage import stored
+from ..functions.storage import discard, stored
 from .overlap import mask_measures, overlap_join
 
 
@@ -20,10 +20,11 @@ def survivors(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFra
             return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
         lows = left.select(F.col("low").alias("high")).distinct()
         now = stored(left.join(lows, "high", "left_anti").select(F.col("low").alias("id")).distinct())
-        dropped = now if dropped is None else stored(dropped.unionByName(now))
+        earlier, dropped = dropped, now if dropped is None else stored(dropped.unionByName(now))
         gone = now.withColumn("gone", F.lit(True))
         rest = left.join(gone.withColumnRenamed("id", "low"), "low", "left_anti").join(gone.withColumnRenamed("id", "high"), "high", "left_anti")
-        left = stored(rest.select("high", "low"))
+        before, left = left, stored(rest.select("high", "low"))
+        discard(before, earlier, now if earlier is not None else None)
     raise RuntimeError("suppression didn't end")
 
 

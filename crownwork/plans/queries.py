@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,8 @@ def c13_mask_bounds(span):
     return O.span_areas(span)
 
 
+#: Tiles with image_id % 9 = 4 have an empty prediction file; those with image_id % 10 = 7 have none.
+EMPTY, ABSENT = "image_id % 9 = 4", "image_id % 10 = 7"
 BEST = f"WITH {PAIRS}, best AS (SELECT d.det_id, d.image_id, coalesce(max(CASE WHEN category=2 THEN {IOU} END),0) AS t, coalesce(max(CASE WHEN category<>2 THEN {IOP} END),0) AS c FROM det_box d LEFT JOIN pairs ON pred_id=det_id GROUP BY 1,2)"
 
 
@@ -120,35 +124,47 @@ def f3_best_overlap(det, gt):
     return best_of(det, gt).select("pred_id", *r6("best_tree", "best_canopy"))
 
 
-G1 = BEST + """, m AS (SELECT image_id, count(*) AS n_pred, count_if(t>=0.4) AS n_tp, avg(t) AS mean_overlap FROM best GROUP BY image_id),
-g AS (SELECT image_id, count(*) AS n_gt FROM gt_box WHERE category=2 GROUP BY image_id),
-w AS (SELECT m.image_id, n_pred, n_tp, coalesce(n_gt,0) AS n_gt, mean_overlap, n_tp/n_pred AS p, CASE WHEN coalesce(n_gt,0)=0 THEN 0 ELSE n_tp/n_gt END AS r FROM m LEFT JOIN g USING(image_id))"""
+G1 = BEST + f""", judged AS (SELECT * FROM best WHERE NOT ({EMPTY}) AND NOT ({ABSENT})), m AS (SELECT image_id, count(*) AS n_pred, count_if(t>=0.4) AS n_tp, avg(t) AS mean_overlap FROM judged GROUP BY image_id),
+g AS (SELECT image_id, count(*) AS n_gt FROM gt_box WHERE category=2 GROUP BY image_id), e AS (SELECT image_id FROM tile_meta WHERE NOT ({ABSENT})),
+w AS (SELECT e.image_id, coalesce(n_pred,0) AS n_pred, coalesce(n_tp,0) AS n_tp, coalesce(n_gt,0) AS n_gt, coalesce(mean_overlap,0) AS mean_overlap, CASE WHEN coalesce(n_pred,0)=0 THEN 0 ELSE n_tp/n_pred END AS p, CASE WHEN coalesce(n_gt,0)=0 THEN 0 ELSE coalesce(n_tp,0)/n_gt END AS r FROM e LEFT JOIN m USING(image_id) LEFT JOIN g USING(image_id))"""
+
+
+def tile_metrics(det, gt, meta):
+    scored = best_of(det.where(f"not ({EMPTY}) and not ({ABSENT})"), gt).withColumn("value", F.col("best_tree"))
+    return G.overlap_metrics(scored, gt.where("category = 2"), ["image_id"], evaluated=meta.where(f"not ({ABSENT})"))
 
 
-@query("det_box", "gt_box", oracle=G1 + "SELECT image_id, n_pred, n_tp, n_gt, round(mean_overlap,6) AS mean_overlap, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r+1e-9),6) AS f1 FROM w")
-def g1_overlap_metrics(det, gt):
-    m = G.overlap_metrics(best_of(det, gt).withColumn("value", F.col("best_tree")), gt.where("category = 2"), ["image_id"])
-    return m.select("image_id", "n_pred", "n_tp", "n_gt", *r6("mean_overlap", "precision", "recall", "f1"))
+@query("det_box", "gt_box", "tile_meta", oracle=G1 + "SELECT image_id, n_pred, n_tp, n_gt, round(mean_overlap,6) AS mean_overlap, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r+1e-9),6) AS f1 FROM w")
+def g1_overlap_metrics(det, gt, meta):
+    return tile_metrics(det, gt, meta).select("image_id", "n_pred", "n_tp", "n_gt", *r6("mean_overlap", "precision", "recall", "f1"))
 
 
-@query("det_box", "gt_box", oracle=G1 + ", s AS (SELECT sum(n_tp)/sum(n_pred) AS p, sum(n_tp)/(SELECT count(*) FROM gt_box WHERE category=2) AS r, CAST(sum(n_tp) AS BIGINT) AS n_tp, (SELECT avg(t) FROM best) AS o FROM m) SELECT n_tp, round(o,6) AS mean_overlap, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r+1e-9),6) AS f1 FROM s")
+@query("det_box", "gt_box", oracle=BEST + ", s AS (SELECT count_if(t>=0.4)/count(*) AS p, count_if(t>=0.4)/(SELECT count(*) FROM gt_box WHERE category=2) AS r, count_if(t>=0.4) AS n_tp, avg(t) AS o FROM best) SELECT n_tp, round(o,6) AS mean_overlap, round(p,6) AS precision, round(r,6) AS recall, round(2*p*r/(p+r+1e-9),6) AS f1 FROM s")
 def g2_micro(det, gt):
     m = G.overlap_metrics(best_of(det, gt).withColumn("value", F.col("best_tree")), gt.where("category = 2"), [])
     return m.select("n_tp", *r6("mean_overlap", "precision", "recall", "f1"))
 
 
-@query("det_box", "gt_box", oracle=G1 + "SELECT CAST(sum(n_tp) AS BIGINT) AS n_tp, round(avg(mean_overlap),6) AS mean_overlap, round(avg(p),6) AS precision, round(avg(r),6) AS recall, round(avg(2*p*r/(p+r+1e-9)),6) AS f1 FROM w")
-def g3_macro(det, gt):
-    m = G.overlap_metrics(best_of(det, gt).withColumn("value", F.col("best_tree")), gt.where("category = 2"), ["image_id"])
-    return m.agg(F.sum("n_tp").alias("n_tp"), *[F.round(F.avg(c), 6).alias(c) for c in ("mean_overlap", "precision", "recall", "f1")])
+@query("det_box", "gt_box", "tile_meta", oracle=G1 + "SELECT CAST(sum(n_tp) AS BIGINT) AS n_tp, round(avg(mean_overlap),6) AS mean_overlap, round(avg(p),6) AS precision, round(avg(r),6) AS recall, round(avg(2*p*r/(p+r+1e-9)),6) AS f1 FROM w")
+def g3_macro(det, gt, meta):
+    return tile_metrics(det, gt, meta).agg(F.sum("n_tp").alias("n_tp"), *[F.round(F.avg(c), 6).alias(c) for c in ("mean_overlap", "precision", "recall", "f1")])
 
 
-GREEDY = f"""WITH RECURSIVE {PAIRS}, cand AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {IOU} DESC, pred_id, gt_id) AS r FROM pairs WHERE 5*inter >= 2*(pa+ga-inter)),
+GREEDY_ALL = f"""WITH RECURSIVE {PAIRS}, cand AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {IOU} DESC, pred_id, gt_id) AS r FROM pairs),
 scan AS (SELECT image_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS ps, CAST([] AS BIGINT[]) AS gs FROM (SELECT DISTINCT image_id FROM cand)
  UNION ALL SELECT s.image_id, c.r, CASE WHEN list_contains(s.ps,c.pred_id) OR list_contains(s.gs,c.gt_id) THEN s.ps ELSE list_append(s.ps,c.pred_id) END,
   CASE WHEN list_contains(s.ps,c.pred_id) OR list_contains(s.gs,c.gt_id) THEN s.gs ELSE list_append(s.gs,c.gt_id) END
  FROM scan s JOIN cand c ON c.image_id=s.image_id AND c.r=s.r+1),
 done AS (SELECT image_id, arg_max(ps, r) AS ps, arg_max(gs, r) AS gs FROM scan GROUP BY image_id), matched AS (SELECT image_id, unnest(ps) AS pred_id, unnest(gs) AS gt_id FROM done)"""
+GREEDY = GREEDY_ALL.replace(" FROM pairs)", " FROM pairs WHERE 5*inter >= 2*(pa+ga-inter))")
+LABELLED = ", labels AS (SELECT m.pred_id, m.gt_id, 5*inter > 2*(pa+ga-inter) AS tp FROM matched m JOIN pairs USING(pred_id, gt_id)), hits AS (SELECT m.* FROM matched m JOIN labels USING(pred_id) WHERE tp)"
+
+
+def strict(det, gt):
+    """One-to-one pairs of whatever overlap, and whether their IoU is over 0.4."""
+    pairs = pairs_of(det, gt)
+    exact = pairs.select("pred_id", "gt_id", (5 * F.col("inter") > 2 * (F.col("pa") + F.col("ga") - F.col("inter"))).alias("tp"))
+    return M.one_to_one(pairs.withColumn("value", F.col("iou"))).join(exact, ["pred_id", "gt_id"])
 
 
 def greedy(det, gt):
@@ -171,9 +187,15 @@ def g4_one_to_one_metrics(det, gt):
     return G.counted(det, gt, matched, ["image_id"]).select("image_id", "tp", "fp", "fn", *r6("precision", "recall"))
 
 
-@query("det_box", "gt_box", oracle=GREEDY + COUNTED + " SELECT round(avg(tp/n_gt),6) AS recall, round(avg(CASE WHEN n_pred>0 THEN tp/n_pred END),6) AS precision FROM u WHERE n_gt>0")
+@query("det_box", "gt_box", oracle=GREEDY_ALL + LABELLED + " SELECT d.det_id AS pred_id, coalesce(tp, false) AS tp FROM det_box d LEFT JOIN labels l ON l.pred_id=d.det_id")
+def f10_strict_label(det, gt):
+    own = det.select(F.col("det_id").alias("pred_id"))
+    return own.join(strict(det, gt), "pred_id", "left").select("pred_id", F.coalesce("tp", F.lit(False)).alias("tp"))
+
+
+@query("det_box", "gt_box", oracle=GREEDY_ALL + LABELLED + COUNTED.replace("FROM matched", "FROM hits") + " SELECT round(avg(tp/n_gt),6) AS recall, round(avg(CASE WHEN n_pred>0 THEN tp/n_pred END),6) AS precision FROM u WHERE n_gt>0")
 def g9_imagewise(det, gt):
-    matched = greedy(det, gt).join(det.select(F.col("det_id").alias("pred_id"), "image_id"), "pred_id")
+    matched = strict(det, gt).where("tp").join(det.select(F.col("det_id").alias("pred_id"), "image_id"), "pred_id")
     return G.imagewise(det, gt, matched).select(*r6("recall", "precision"))
 
 
@@ -187,9 +209,9 @@ scan AS (SELECT model, image_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS
 done AS (SELECT model, image_id, arg_max(ps, r) AS ps, arg_max(gs, r) AS gs FROM scan GROUP BY 1,2), matched AS (SELECT model, unnest(ps) AS pred_id, unnest(gs) AS gt_id FROM done)"""
 
 
-def ordered(det, gt):
+def ordered(det, gt, hit="5 * inter >= 2 * pa", measure="iop"):
     """One matching for each model: its predictions and a copy of the ground truth."""
-    pairs = pairs_of(det, gt).where("5 * inter >= 2 * pa").withColumn("value", F.col("iop"))
+    pairs = pairs_of(det, gt).where(hit).withColumn("value", F.col(measure))
     own = F.struct("model", "gt_id")
     found = M.in_score_order(pairs.withColumn("gt_id", own))
     return found.select("pred_id", "gt_id.model", "gt_id.gt_id")
@@ -200,8 +222,8 @@ def f5_score_order_matching(det, gt):
     return ordered(det, gt).select("model", "pred_id", "gt_id")
 
 
-def curve(det, gt, by=("model",), extra=None):
-    hit = ordered(det, gt).select(F.col("pred_id").alias("det_id"), F.lit(1).alias("tp"))
+def curve(det, gt, by=("model",), extra=None, **how):
+    hit = ordered(det, gt, **how).select(F.col("pred_id").alias("det_id"), F.lit(1).alias("tp"))
     rows = det.join(hit, "det_id", "left").select(F.col("det_id").alias("pred_id"), "image_id", "model", F.col("score_m").alias("score"), F.coalesce("tp", F.lit(0)).alias("tp"))
     if extra is None:
         n = det.select("model").distinct().crossJoin(gt.agg(F.count("*").alias("n_gt")))  # models and one number
@@ -243,6 +265,17 @@ def g8_slices(det, gt, meta):
     return G.average_precision(curve(det, gt, by, meta), list(by)).select(*by, *r6("ap"))
 
 
+DOMAIN = "(SELECT image_id, CASE WHEN contains(lower(biome_name),'1') THEN 'WON' ELSE 'BRU' END AS biome_group FROM tile_meta)"
+DOMAIN_POINTS = SLICE_POINTS.replace(f"{IOP} AS v FROM pairs WHERE 5*inter >= 2*pa", f"{IOU} AS v FROM pairs WHERE 5*inter >= 2*(pa+ga-inter)").replace("JOIN tile_meta USING", f"JOIN {DOMAIN} dm USING")
+
+
+@query("det_box", "gt_box", "tile_meta", oracle=DOMAIN_POINTS + ", s AS (SELECT model, biome_group, k, coalesce(max(CASE WHEN recall*100+1e-9>=k THEN precision END),0) AS p FROM pts CROSS JOIN range(0,101) t(k) GROUP BY 1,2,3) SELECT model, biome_group AS domain, round(sum(p)/101,6) AS ap FROM s GROUP BY 1,2")
+def g10_domain_map(det, gt, meta):
+    own = J.domain_of(meta, "biome_name", "1").select("image_id", F.col("domain").alias("biome_group"))
+    points = curve(det, gt, ("model", "biome_group"), own, hit="5 * inter >= 2 * (pa + ga - inter)", measure="iou")
+    return G.interpolated_precision(points, ["model", "biome_group"]).select("model", F.col("biome_group").alias("domain"), *r6("ap"))
+
+
 @query("det_box", "gt_box", oracle=ALL_POINTS + ", s AS (SELECT model, k, coalesce(max(precision),0) AS p FROM (SELECT DISTINCT model FROM pts) m CROSS JOIN range(0,101) t(k) LEFT JOIN pts USING(model) WHERE pts.recall*100+1e-9>=k OR pts.recall IS NULL GROUP BY 1,2) SELECT model, round(sum(p)/101,6) AS ap FROM s GROUP BY model")
 def g10_interpolated_ap(det, gt):
     return G.interpolated_precision(curve(det, gt), ["model"]).select("model", *r6("ap"))
@@ -267,9 +300,9 @@ def c2_allow_list(det, meta):
     return det.join(meta.where("image_id % 7 = 3").select("image_id"), "image_id", "left_semi").select("det_id")
 
 
-@query("tile_meta", oracle="SELECT image_id, biome_name FROM tile_meta WHERE biome_name IN ('BRAZIL','KENYA','PERU')")
+@query("tile_meta", oracle="SELECT image_id, biome_name FROM tile_meta WHERE biome_name IN ('NATION_3','NATION_7','NATION_11')")
 def c3_biomes(meta):
-    return meta.where(F.col("biome_name").isin("BRAZIL", "KENYA", "PERU")).select("image_id", "biome_name")
+    return meta.where(F.col("biome_name").isin("NATION_3", "NATION_7", "NATION_11")).select("image_id", "biome_name")
 
 
 @query("det_box", "tile_meta", oracle="SELECT det_id FROM det_box WHERE image_id NOT IN (SELECT image_id FROM tile_meta WHERE image_id%5=0)")
@@ -320,10 +353,9 @@ def c14_xywh(det):
     return B.to_xywh(det).select("det_id", "x", "y", "w", "h")
 
 
-@query("tile_meta", oracle="SELECT image_id, CASE WHEN contains(lower(biome_name),'an') THEN 'WON' ELSE 'BRU' END AS domain, CASE WHEN contains(lower(biome_name),'an') THEN 215 ELSE 118 END AS azimuth FROM tile_meta")
+@query("tile_meta", oracle="SELECT image_id, CASE WHEN contains(lower(biome_name),'1') THEN 'WON' ELSE 'BRU' END AS domain, CASE WHEN contains(lower(biome_name),'1') THEN 215 ELSE 118 END AS azimuth FROM tile_meta")
 def c15_domain(meta):
-    won = F.lower("biome_name").contains("an")
-    return meta.select("image_id", F.when(won, "WON").otherwise("BRU").alias("domain"), F.when(won, 215).otherwise(118).alias("azimuth"))
+    return J.domain_of(meta, "biome_name", "1").select("image_id", "domain", "azimuth")
 
 
 @query("tile_meta", "region", oracle="SELECT image_id, biome_group, CASE biome_group WHEN 'ASIA' THEN 150 WHEN 'AFRICA' THEN 140 ELSE 71 END AS ceiling FROM tile_meta")
@@ -477,9 +509,9 @@ def e10_shifted_max(px):
     return J.shifted_max(px, _OFFS, "luma", "top").select("y", "x", "top")
 
 
-@query("tile_meta", "nation", oracle="SELECT image_id, CASE WHEN biome_name IN ('BRAZIL','PERU') THEN 'rain' ELSE 'Other' END AS grp FROM tile_meta")
+@query("tile_meta", "nation", oracle="SELECT image_id, CASE WHEN biome_name IN ('NATION_2','NATION_16') THEN 'rain' ELSE 'Other' END AS grp FROM tile_meta")
 def e11_groups(meta, nation):
-    table = nation.where(F.col("n_name").isin("BRAZIL", "PERU")).select(F.col("n_name").alias("biome_name"), F.lit("rain").alias("grp"))
+    table = nation.where(F.col("n_name").isin("NATION_2", "NATION_16")).select(F.col("n_name").alias("biome_name"), F.lit("rain").alias("grp"))
     return J.looked_up(meta, table, "biome_name", "grp", "Other").select("image_id", "grp")
 
 
@@ -507,10 +539,10 @@ def g13_naive(az):
     return C.naive_summary(az, "image_id", "azimuth").select("image_id", *r6("mean", "std"), "least", "greatest")
 
 
-@query("azimuths", oracle="SELECT image_id%2 AS domain, round(median(azimuth),6) AS azimuth, round(greatest(quantile_cont(azimuth,0.995),30),6) AS norm FROM (SELECT *, dense_rank() OVER (PARTITION BY image_id%2 ORDER BY image_id) AS t FROM azimuths) WHERE t<=20 GROUP BY 1")
+@query("azimuths", oracle="SELECT image_id%2 AS domain, round(median(azimuth),6) AS azimuth, round(greatest(quantile_cont(azimuth,0.995),30),6) AS norm FROM (SELECT *, dense_rank() OVER (PARTITION BY image_id%2 ORDER BY image_id) AS t FROM azimuths) WHERE t<=60 GROUP BY 1")
 def g14_norms(az):
     w = Window.partitionBy("domain").orderBy("image_id")
-    some = az.withColumn("domain", F.col("image_id") % 2).withColumn("t", F.dense_rank().over(w)).where("t <= 20")
+    some = az.withColumn("domain", F.col("image_id") % 2).withColumn("t", F.dense_rank().over(w)).where("t <= 60")
     return some.groupBy("domain").agg(F.round(F.median("azimuth"), 6).alias("azimuth"), F.round(F.greatest(F.percentile("azimuth", 0.995), F.lit(30.0)), 6).alias("norm"))
 
 
@@ -596,10 +628,10 @@ def j3_complement(det, gt):
     return det.join(gt.select(F.col("gt_id").alias("det_id")), "det_id", "left_anti").select("det_id")
 
 
-def _split_sql(share: float, by: str | None, least: int) -> str:
+def _split_sql(share: float, by: str | None, least: int, first: str = "train", second: str = "val") -> str:
     part = f"PARTITION BY {by}" if by else ""
     return f"""WITH k AS (SELECT DISTINCT {by + ',' if by else ''} image_id FROM (SELECT *, det_id%2 AS half FROM det_box) JOIN tile_meta USING(image_id)), r AS (SELECT *, row_number() OVER ({part} ORDER BY (image_id*7919+733103)%10007, image_id) AS r, count(*) OVER ({part}) AS n FROM k)
-    SELECT image_id, CASE WHEN r<=greatest(floor(n*{share}),{least}) THEN 'train' ELSE 'val' END AS fold FROM r"""
+    SELECT image_id, CASE WHEN r<=greatest(floor(n*{share}),{least}) THEN '{first}' ELSE '{second}' END AS fold FROM r"""
 
 
 @query("det_box", "tile_meta", oracle=_split_sql(0.8, None, 0))
@@ -636,24 +668,70 @@ def l4_valid(px):
 
 @query("px", oracle=f"SELECT p.y, p.x, round(avg(q.luma),6) AS m FROM px p CROSS JOIN {_offs(R.square(5))} JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2")
 def l5_local_mean(px):
-    return R.local_mean(px, "luma", R.square(5), "m").select("y", "x", *r6("m"))
+    return R.local_mean(px, "luma", R.box(5), "m").select("y", "x", *r6("m"))
+
+
+def _patches(text: str) -> str:
+    """SQL over px, over the scene of patches instead."""
+    return re.sub(r"\bpx\b", "patch", text)
+
+
+def _dilate(mask: str, offsets, out: str) -> str:
+    return f"{out} AS (SELECT DISTINCT y, x FROM (SELECT m.y-dy AS y, m.x-dx AS x FROM {mask} m CROSS JOIN {_offs(offsets)}) JOIN px USING(y,x))"
+
+
+def _erode(mask: str, offsets, out: str) -> str:
+    rest = f"{out}_r AS (SELECT y, x FROM px WHERE (y,x) NOT IN (SELECT (y,x) FROM {mask}))"
+    return f"{rest}, {_dilate(out + '_r', offsets, out + '_d')}, {out} AS (SELECT y, x FROM {mask} WHERE (y,x) NOT IN (SELECT (y,x) FROM {out}_d))"
+
+
+def _close(mask: str, offsets, out: str) -> str:
+    return f"{_dilate(mask, offsets, out + '_1')}, {_erode(out + '_1', offsets, out)}"
+
+
+def _tidy(mask: str, size: int, out: str) -> str:
+    o = R.square(size)
+    return f"{_erode(mask, o, out + '_e')}, {_dilate(out + '_e', o, out + '_o')}, {_close(out + '_o', o, out)}"
+
+
+def _mean(source: str, value: str, weights, out: str) -> str:
+    """CTEs for the weighted mean of a column of source(y, x, ...) as out(y, x, m), rows first."""
+    g = "(VALUES " + ", ".join(f"({k - len(weights) // 2}, {w:.17e})" for k, w in enumerate(weights)) + ") g(d, w)"
+    return f"{out}_h AS (SELECT s.y AS y, s.x-d AS x, sum({value}*w) AS v, sum(w) AS n FROM {source} s CROSS JOIN {g} GROUP BY 1,2), {out} AS (SELECT h.y-d AS y, h.x AS x, sum(v*w)/sum(n*w) AS m FROM {out}_h h CROSS JOIN {g} GROUP BY 1,2)"
 
 
-@query("px", oracle=f"WITH m AS (SELECT y,x FROM px WHERE luma<140), e AS (SELECT p.y, p.x FROM m p CROSS JOIN {_offs(R.ellipse(3))} LEFT JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2 HAVING count_if(q.luma>=140)=0), d AS (SELECT DISTINCT e.y-dy AS y, e.x-dx AS x FROM e CROSS JOIN {_offs(R.ellipse(3))}) SELECT y, x FROM d JOIN px USING(y,x)")
+@query("patch", oracle=_patches("WITH m AS (SELECT y,x FROM px WHERE luma<140), " + _erode("m", R.square(5), "e") + ", " + _dilate("e", R.square(5), "o") + " SELECT y, x FROM o"))
 def l6_open(px):
-    return R.opened(px.where("luma < 140"), R.ellipse(3), px).select("y", "x")
+    return R.opened(px.where("luma < 140"), R.square(5), px).select("y", "x")
 
 
-_RAY = R.ray(215.0, 8, 35, 8)
+@query("px", oracle="WITH m AS (SELECT y,x FROM px WHERE luma<40), " + _close("m", R.square(5), "c") + " SELECT y, x FROM c")
+def l6_close(px):
+    return R.closed(px.where("luma < 40"), R.square(5), px).select("y", "x")
 
 
-@query("px", oracle=f"""WITH v AS (SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.ellipse(7))} LEFT JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2 HAVING count_if(q.luma IS NOT NULL AND NOT (q.luma>15 AND q.luma<250))=0), lit AS (SELECT px.* FROM px JOIN v USING(y,x)),
-s AS (SELECT p.y, p.x, max(q.luma) AS s FROM px p CROSS JOIN {_offs(_RAY[0])} JOIN lit q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2), a AS (SELECT p.y, p.x, max(q.luma) AS a FROM px p CROSS JOIN {_offs(_RAY[1])} JOIN lit q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2)
-SELECT px.y, px.x, round(CASE WHEN v.y IS NULL THEN 0 ELSE greatest(greatest(coalesce(s,luma)-luma,0)-0.4*greatest(coalesce(a,luma)-luma,0),0) END,6) AS dg FROM px LEFT JOIN s USING(y,x) LEFT JOIN a USING(y,x) LEFT JOIN v ON v.y=px.y AND v.x=px.x""")
+_LIT = f"v AS (SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.ellipse(7))} LEFT JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2 HAVING count_if(q.luma IS NOT NULL AND NOT (q.luma>15 AND q.luma<250))=0), lit AS (SELECT px.* FROM px JOIN v USING(y,x))"
+
+
+def _gradient(azimuth: float, near: int, far: int, steps: int, name: str) -> str:
+    """CTEs for the directional gradient as name(y, x, dg)."""
+    sun, anti = R.ray(azimuth, near, far, steps)
+    best = lambda offsets, c: f"{name}_{c} AS (SELECT p.y, p.x, max(q.luma) AS {c} FROM px p CROSS JOIN {_offs(offsets)} JOIN lit q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2)"
+    dg = "CASE WHEN v.y IS NULL THEN 0 ELSE greatest(greatest(coalesce(s,luma)-luma,0)-CAST(0.4 AS DOUBLE)*greatest(coalesce(a,luma)-luma,0),0) END"
+    return f"{best(sun, 's')}, {best(anti, 'a')}, {name} AS (SELECT px.y, px.x, {dg} AS dg FROM px LEFT JOIN {name}_s USING(y,x) LEFT JOIN {name}_a USING(y,x) LEFT JOIN v ON v.y=px.y AND v.x=px.x)"
+
+
+@query("px", oracle=f"WITH {_LIT}, {_gradient(215.0, 8, 35, 8, 'g')} SELECT y, x, round(dg,6) AS dg FROM g")
 def l7_gradient(px):
     return R.directional_gradient(px, 215.0, 8, 35, 8).select("y", "x", *r6("dg"))
 
 
+@query("px", oracle=f"WITH {_LIT}, {_gradient(215.0, 35, 150, 12, 'g')}, {_mean('g', 'dg', R.gaussian(4.0), 'b')} SELECT px.y, px.x, round(m,6) AS dg FROM px JOIN b USING(y,x)")
+def l7_long_gradient(px):
+    long = R.directional_gradient(px, 215.0, 35, 150, 12)
+    return R.local_mean(long.select(*R.KEY, "dg"), "dg", R.gaussian(4.0), "m").select("y", "x", F.round("m", 6).alias("dg"))
+
+
 LABELS = """WITH RECURSIVE m AS (SELECT y, x FROM px WHERE luma < 60), e AS (SELECT a.y*1000+a.x AS a, b.y*1000+b.x AS b FROM m a JOIN m b ON abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1 AND (a.y<>b.y OR a.x<>b.x)),
 reach AS (SELECT y*1000+x AS n, y*1000+x AS l FROM m UNION SELECT e.b, r.l FROM reach r JOIN e ON e.a=r.n), lab AS (SELECT n, min(l) AS l FROM reach GROUP BY n), comp AS (SELECT l, count(*) AS area, min(n%1000) AS xmin, min(n//1000) AS ymin, max(n%1000) AS xmax, max(n//1000) AS ymax FROM lab GROUP BY l)"""
 
@@ -669,12 +747,16 @@ def l9_specks(px):
     return CC.without_specks(px.where("luma < 60"), 6).select("y", "x")
 
 
-@query("px", oracle=f"SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.square(15))} JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY p.y, p.x, p.luma HAVING p.luma < 0.7*(sum(q.luma*1.0::DOUBLE)/sum(1.0::DOUBLE))")
+def _darker(share: float, size: int) -> str:
+    return f"WITH {_mean('px', 'luma', R.blur(size), 'b')}, k AS (SELECT px.y, px.x FROM px JOIN b USING(y,x) WHERE luma < {share}*m), {_tidy('k', 5, 't')} SELECT y, x FROM t"
+
+
+@query("patch", oracle=_patches(_darker(0.7, 51)))
 def l12_adaptive(px):
-    return R.darker_than_surroundings(px, 0.7, 15).select("y", "x")
+    return R.darker_than_surroundings(px, 0.7, 51).select("y", "x")
 
 
-@query("px", oracle="SELECT y, x FROM px WHERE luma < (SELECT quantile_cont(luma, 0.2) FROM px)")
+@query("patch", oracle=_patches("WITH RECURSIVE k AS (SELECT y, x FROM px WHERE luma < (SELECT quantile_cont(luma, 0.2) FROM px)), " + _tidy("k", 5, "t") + ", " + LABELS[len("WITH RECURSIVE "):].replace("m AS (SELECT y, x FROM px WHERE luma < 60)", "m AS (SELECT y, x FROM t)") + " SELECT n//1000 AS y, n%1000 AS x FROM lab JOIN comp USING(l) WHERE area>=51"))
 def l18_darkest(px):
     return R.darkest(px, 0.2).select("y", "x")
 
@@ -685,14 +767,20 @@ def l19_otsu(px):
     return R.otsu(px).select(F.col("threshold").cast("bigint").alias("threshold"))
 
 
-@query("px", oracle=f"SELECT y, x FROM px WHERE luma<100 AND NOT EXISTS (SELECT 1 FROM px q JOIN {_offs(R.ellipse(3))} ON true WHERE q.luma>240 AND q.y=px.y+dy AND q.x=px.x+dx)")
+@query("px", oracle="WITH a AS (SELECT y, x FROM px WHERE luma<100), o AS (SELECT y, x FROM px WHERE luma>240), " + _dilate("o", R.square(3), "d") + ", k AS (SELECT y, x FROM a WHERE (y,x) NOT IN (SELECT (y,x) FROM d)), " + _close("k", R.square(3), "c") + " SELECT y, x FROM c")
 def l20_subtract(px):
-    return R.subtracted(px.where("luma < 100"), px.where("luma > 240"), R.ellipse(3)).select("y", "x")
+    return R.subtracted(px.where("luma < 100"), px.where("luma > 240"), 3, px).select("y", "x")
+
 
+@query("px", oracle="SELECT y, x FROM px WHERE luma<100 AND NOT luma*7%256>200")
+def l20_canopy_first(px):
+    return R.without_canopy(px.where("luma < 100"), px.where("luma * 7 % 256 > 200")).select("y", "x")
 
-@query("px", oracle="SELECT y, x, round((1-(0.299*(luma/255.0)+0.587*0.5+0.114*0.25))+(0.25-luma/255.0),6) AS s FROM px")
+
+@query("px", oracle=f"WITH s AS (SELECT y, x, (1-(CAST(0.299 AS DOUBLE)*(luma/255.0)+CAST(0.587 AS DOUBLE)*0.5+CAST(0.114 AS DOUBLE)*0.25))+(0.25-luma/255.0) AS s FROM px), {_mean('s', 's.s', R.gaussian(3.0, 7), 'b')} SELECT px.y, px.x, round(m,6) AS s FROM px JOIN b USING(y,x)")
 def l21_likeness(px):
-    return px.select("y", "x", F.round(R.shadow_likeness(F.col("luma") / 255.0, F.lit(0.5), F.lit(0.25)), 6).alias("s"))
+    rgb = px.select(*R.KEY, (F.col("luma") / 255.0).alias("r"), F.lit(0.5).alias("g"), F.lit(0.25).alias("b"))
+    return R.likeness_map(rgb, "s").select("y", "x", *r6("s"))
 
 
 @query("px", oracle=LABELS.replace("luma < 60", "luma > 180") + " SELECT concat(CAST(l//1000 AS VARCHAR), '_', CAST(l%1000 AS VARCHAR)) AS label, area, round(s,6) AS score, xmin, ymin, xmax, ymax FROM comp JOIN (SELECT l, avg(luma) AS s FROM lab JOIN px ON px.y*1000+px.x=n GROUP BY l) USING(l) WHERE area>=5")
@@ -711,14 +799,24 @@ def l24_contrast(px):
     return R.contrast(px, 1.5).select("y", "x", *r6("luma"))
 
 
-@query("px")
+def coloured(px: DataFrame) -> DataFrame:
+    return px.select(*R.KEY, "luma", F.col("luma").alias("r"), (F.col("luma") * 7 % 256).alias("g"), (F.col("luma") * 13 % 256).alias("b"))
+
+
+@query("px", oracle="""WITH c AS (SELECT y, x, luma AS r, luma*7%256 AS g, luma*13%256 AS b FROM px), t AS (SELECT *, greatest(r,g,b) AS top, least(r,g,b) AS low FROM c), k AS (SELECT *, CASE WHEN top=low THEN 1 ELSE least(CAST(1.2 AS DOUBLE), CAST(top AS DOUBLE)/(top-low)) END AS more FROM t)
+SELECT y, x, round(top-(top-r)*more,6)+0 AS r, round(top-(top-g)*more,6)+0 AS g, round(top-(top-b)*more,6)+0 AS b FROM k""")
+def l24_saturation(px):
+    return R.saturated(coloured(px)).select("y", "x", *r6("r", "g", "b"))
+
+
+@query("patch")
 def l10_shadow_map(px):
-    return R.shadow_map(px, 215.0, least=20).select("y", "x", *r6("p"))
+    return R.shadow_map(px, 215.0).select("y", "x", *r6("p"))
 
 
-@query("px")
+@query("patch")
 def l31_methods(px):
-    return R.compared(px, ("gradient", "percentile", "otsu")).select("method", *r6("coverage"))
+    return R.compared(coloured(px)).select("method", *r6("coverage"))
 
 
 # --- further filters, look-ups and masks
@@ -794,43 +892,59 @@ def e8_annotated(det, gt):
     return det.join(gt.where("category = 2").select("image_id"), "image_id", "left_semi").select("det_id")
 
 
-@query("det_box", "tile_meta", oracle=_split_sql(0.2, None, 1))
+@query("det_box", "tile_meta", oracle=_split_sql(0.2, None, 1, "val", "train"))
 def k4_validation_first(det, meta):
-    return J.split(det.join(meta, "image_id"), "image_id", 0.2, least=1).select("image_id", "fold").distinct()
+    return J.split(det.join(meta, "image_id"), "image_id", 0.2, least=1, names=("val", "train")).select("image_id", "fold").distinct()
+
+
+@query("det_box")
+def k5_row_split(det):
+    return J.split_rows(det, 0.8, "det_id").select("det_id", "fold")
+
+
+@query("det_box", "verdicts", oracle="SELECT det_id FROM det_box WHERE EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100) AND EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100+1) AND EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100+2)")
+def d9_prompts(det, v):
+    files = v.select(F.concat(F.lit("/tiles/"), "row_id").alias("path"))
+    place = lambda k: F.concat(F.lit("/tiles/"), (F.col("image_id") * 100 + k).cast("string"))
+    return J.prompts(det, files, place(0), place(1), place(2)).select("det_id")
 
 
-@query("px", oracle=f"SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.square(9))} JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY p.y, p.x, p.luma HAVING p.luma < 0.6*(sum(q.luma*1.0::DOUBLE)/sum(1.0::DOUBLE))")
+@query("patch", oracle=_patches(_darker(0.6, 31)))
 def l16_gradient_method(px):
-    return R.darker_than_surroundings(px, 0.6, 9).select("y", "x")
+    return R.darker_than_surroundings(px, 0.6, 31).select("y", "x")
 
 
 def rings(det: DataFrame) -> DataFrame:
     corner = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
-    return det.where("det_id % 50 = 1").select(F.col("det_id").alias("obj_id"), "image_id", ring.alias("ring"))
+    return det.select(F.col("det_id").alias("obj_id"), "image_id", ring.alias("ring"))
 
 
-@query("det_box", oracle="SELECT det_id AS obj_id, unnest(range(ymin, ymax)) AS y, xmin AS x0, xmax AS x1 FROM det_box WHERE det_id%50=1")
+@query("det_box", oracle="SELECT det_id AS obj_id, unnest(range(ymin, ymax)) AS y, xmin AS x0, xmax AS x1 FROM det_box")
 def l27_ring_spans(det):
     return SP.ring_spans(rings(det)).select("obj_id", "y", "x0", "x1")
 
 
-@query("det_box", oracle=f"SELECT det_id AS obj_id, CAST({AREA} AS DOUBLE) AS area FROM det_box WHERE det_id%50=1")
+@query("det_box", oracle=f"SELECT det_id AS obj_id, CAST({AREA} AS DOUBLE) AS area, round((xmin+xmax)/2,6) AS cx, round((ymin+ymax)/2,6) AS cy FROM det_box")
 def l29_ring_area(det):
-    return rings(det).select("obj_id", SP.ring_area().alias("area"))
+    centre = SP.ring_centroid()
+    return rings(det).select("obj_id", SP.ring_area().alias("area"), F.round(centre["x"], 6).alias("cx"), F.round(centre["y"], 6).alias("cy"))
 
 
-@query("det_box")
+@query("det_box", oracle=f"SELECT det_id AS obj_id, CAST({AREA} AS DOUBLE) AS area, CAST(5 AS INTEGER) AS points FROM det_box WHERE {AREA}>=50")
 def l28_outlines(det):
     return SP.outlines(SP.ring_spans(rings(det))).select("obj_id", "area", F.size("ring").alias("points"))
 
 
-PARTS = "WITH b AS (SELECT det_id AS box_id, image_id, xmin, ymin, xmax, ymax FROM det_box WHERE det_id%40=1), p AS (SELECT box_id, obj_id, sum(greatest(least(x1,xmax)-greatest(x0,xmin),0)) AS inter FROM b JOIN span USING(image_id) WHERE y>=ymin AND y<ymax GROUP BY 1,2), a AS (SELECT obj_id, sum(x1-x0) AS area FROM span GROUP BY 1)"
+PARTS = "WITH b AS (SELECT det_id AS box_id, image_id, xmin, ymin, xmax, ymax FROM det_box), p AS (SELECT box_id, obj_id, sum(greatest(least(x1,xmax)-greatest(x0,xmin),0)) AS inter FROM b JOIN span USING(image_id) WHERE y>=ymin AND y<ymax GROUP BY 1,2), a AS (SELECT obj_id, sum(x1-x0) AS area FROM span GROUP BY 1)"
 
 
 def parts(det: DataFrame, span: DataFrame) -> tuple[DataFrame, DataFrame]:
-    boxes = det.where("det_id % 40 = 1").select(F.col("det_id").alias("box_id"), "image_id", *B.SIDES)
-    return span.join(boxes.select("box_id", "image_id"), "image_id").select("box_id", "obj_id", "y", "x0", "x1"), boxes.drop("image_id")
+    """The spans of each object for every box that its bounds meet, and the boxes."""
+    boxes = det.select(F.col("det_id").alias("box_id"), "image_id", *B.SIDES)
+    bounds = span.groupBy("image_id", "obj_id").agg(F.min("x0").alias("xmin"), F.min("y").alias("ymin"), F.max("x1").alias("xmax"), (F.max("y") + 1).alias("ymax"))
+    meets = O.overlap_join(boxes, bounds).select(F.col("l_box_id").alias("box_id"), F.col("r_obj_id").alias("obj_id"))
+    return span.join(meets, "obj_id").select("box_id", "obj_id", "y", "x0", "x1"), boxes.drop("image_id")
 
 
 @query("det_box", "span", oracle=PARTS + " SELECT box_id, candidate FROM (SELECT box_id, obj_id AS candidate, row_number() OVER (PARTITION BY box_id ORDER BY inter DESC, obj_id) AS r FROM p WHERE inter>0) WHERE r=1")
@@ -851,25 +965,25 @@ def f8_best_part(det, span):
     return SP.best_part(spans.withColumnRenamed("obj_id", "label"), boxes).select("box_id", "label", *r6("iou"))
 
 
-@query("px", oracle=f"SELECT y, x FROM px s WHERE luma<80 AND NOT luma>245 AND EXISTS (SELECT 1 FROM px q JOIN {_offs(R.ellipse(7))} ON true WHERE q.luma>245 AND q.y=s.y+dy AND q.x=s.x+dx)")
+@query("px", oracle=f"SELECT y, x FROM px s WHERE luma<80 AND NOT luma>245 AND EXISTS (SELECT 1 FROM px q JOIN {_offs(R.ellipse(21))} ON true WHERE q.luma>245 AND q.y=s.y+dy AND q.x=s.x+dx)")
 def f9_near_trees(px):
-    return SP.near_objects(px.where("luma < 80"), px.where("luma > 245"), 3).select("y", "x")
+    return SP.near_objects(px.where("luma < 80"), px.where("luma > 245"), 10).select("y", "x")
 
 
-@query("px", oracle="SELECT n.y, n.x, luma FROM (SELECT y.k AS y, x.k AS x FROM range(0,40) y(k) CROSS JOIN range(0,30) x(k)) n JOIN px ON px.y=n.y*100//40 AND px.x=n.x*100//30")
+@query("px", oracle="WITH h AS (SELECT max(y)+1 AS h, (max(y)+1)*2//5 AS nh FROM px), n AS (SELECT h, nh, y.k AS y, x.k AS x FROM h CROSS JOIN range(0,100000) y(k) CROSS JOIN range(0,30) x(k) WHERE y.k<nh) SELECT n.y, n.x, luma FROM n JOIN px ON px.y=n.y*h//nh AND px.x=n.x*100//30")
 def l30_resize(px):
-    return R.nearest_resized(px, 100, 100, 40, 30).select("y", "x", "luma")
+    sizes = px.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.lit(100).alias("width"), F.floor((F.max("y") + 1) * 2 / 5).alias("new_height"), F.lit(30).alias("new_width"))
+    return R.nearest_resized(px, sizes).select("y", "x", "luma")
 
 
-@query("px")
+@query("px", oracle=f"WITH {_LIT}, " + ", ".join(_gradient(float(a), 8, 35, 8, f"g{a}") for a in range(0, 360, 45)) + " SELECT y, x, round(avg(dg),6) AS iso FROM (" + " UNION ALL ".join(f"SELECT * FROM g{a}" for a in range(0, 360, 45)) + ") GROUP BY 1,2")
 def l11_isotropic(px):
     return R.isotropic_map(px).select("y", "x", *r6("iso"))
 
 
-@query("px")
+@query("patch")
 def l17_combined(px):
-    rgb = px.select(*R.KEY, "luma", F.col("luma").alias("r"), (F.col("luma") * 7 % 256).alias("g"), (F.col("luma") * 13 % 256).alias("b"))
-    return R.voted([R.chromatic_shadow(rgb, 9, least=1), R.lab_shadow(rgb, least=1), R.darkest(px, 0.2)], 2)
+    return R.combined_shadow(coloured(px)).select("y", "x")
 
 
 def queries() -> dict:

@@ -41,9 +41,11 @@ def read_box_csv(spark: SparkSession, path: str, optional: str = "shadow_angle d
 
 
 def read_azimuth_csv(spark: SparkSession, path: str) -> DataFrame:
-    """filename, shadow_azimuth of lines that aren't skipped; of a repeated file the last line."""
+    """filename, shadow_azimuth of lines that aren't skipped (a blank mark is none); of a repeated file the last line."""
     lines = spark.read.option("header", True).schema("filename string, shadow_azimuth double, skipped string").csv(path)
-    lines = lines.where(F.lower("skipped") != "true").withColumn("at", F.monotonically_increasing_id())
+    # a file's later blocks hold later lines, and a block's rows are numbered in order
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = lines.select("*", at.alias("at")).where(F.coalesce(F.lower("skipped"), F.lit("")) != "true")
     return lines.groupBy("filename").agg(F.max_by("shadow_azimuth", "at").alias("shadow_azimuth"))
 
 
@@ -56,23 +58,37 @@ def read_voc_boxes(spark: SparkSession, path: str, name: str | None = None) -> D
     return out if name is None else out.where(F.col("name") == name)
 
 
-FEATURES = "features array<struct<properties: struct<tree_id: bigint, deepforest_score: double, score: double, Confidence: double, area_pixels: bigint, bbox: array<double>>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>, crs string"
+FEATURES = "features array<struct<properties: string, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>, crs string"
 
 
 def read_predictions_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each feature: file, properties, score (the first there is, else 1.0) and ring. Files without
-    features give no rows."""
+    """One row for each feature: file, properties, score (the first there is of deepforest_score, score,
+    Confidence and confidence, else 1.0) and ring. Files without features give no rows."""
     raw = spark.read.option("multiLine", True).schema(FEATURES).json(path).select(F.col("_metadata.file_name").alias("file"), F.explode("features").alias("f"))
-    p = "f.properties."
+    own = lambda name: F.get_json_object("f.properties", f"$.{name}")
+    score = F.coalesce(*[own(c).try_cast("double") for c in ("deepforest_score", "score", "Confidence", "confidence")], F.lit(1.0))
     ring = F.transform(F.col("f.geometry.coordinates")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
-    return raw.select("file", F.col(p + "tree_id").alias("tree_id"), F.coalesce(p + "deepforest_score", p + "score", p + "Confidence", F.lit(1.0)).alias("score"), F.col(p + "bbox").alias("bbox"), ring.alias("ring"))
+    return raw.select("file", own("tree_id").try_cast("bigint").alias("tree_id"), score.alias("score"), F.from_json(own("bbox"), "array<double>").alias("bbox"), ring.alias("ring"))
 
 
 def read_detection_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of Prediction_*.json; a missing score is 0."""
-    kind = "score double, category_id int, segmentation struct<counts: string, size: array<int>>"
+    """Rows of Prediction_*.json: file, score (a missing one is 0), category_id and the columns of ``segmented``."""
+    kind = "score double, category_id int, segmentation string"
     raw = spark.read.option("multiLine", True).option("pathGlobFilter", "Prediction_*.json").schema(kind).json(path)
-    return raw.select(F.col("_metadata.file_name").alias("file"), F.coalesce("score", F.lit(0.0)).alias("score"), "category_id", "segmentation")
+    return segmented(raw.select(F.col("_metadata.file_name").alias("file"), F.coalesce("score", F.lit(0.0)).alias("score"), "category_id", "segmentation"))
+
+
+def segmented(df: DataFrame, column: str = "segmentation") -> DataFrame:
+    """df with a segmentation's JSON read as kind (``rings``, ``runs``, ``packed`` or ``unknown``), rings (points as x, y on
+    end), runs (run lengths down the columns), packed (the same as a compressed string) and size (height, width)."""
+    counts = F.get_json_object(column, "$.counts")
+    rings = F.from_json(column, "array<array<double>>")
+    listed, ringed = counts.startswith("["), F.col(column).startswith("[") & (F.size(rings) > 0) & F.coalesce(F.size(rings[0]) >= 6, F.lit(False))
+    size = F.from_json(F.get_json_object(column, "$.size"), "array<int>")
+    kind = F.when(ringed, "rings").when(listed & (F.size(size) == 2), "runs").when(counts.isNotNull() & (F.size(size) == 2), "packed").otherwise("unknown")
+    out = df.withColumns({"kind": kind, "rings": rings, "runs": F.when(listed, F.from_json(counts, "array<int>")), "packed": F.when(~listed, counts), "size": size})
+    own = {"rings": "rings", "runs": "runs", "packed": "packed"}
+    return out.withColumns({c: F.when(F.col("kind") == k, F.col(c)) for c, k in own.items()} | {"size": F.when(F.col("kind").isin("runs", "packed"), F.col("size"))}).drop(column)
 
 
 def list_images(spark: SparkSession, path: str, endings: tuple[str, ...] = ("tif", "tiff", "png", "jpg", "jpeg")) -> DataFrame:

@@ -26,7 +26,8 @@ def write_geojson(detections: DataFrame, path: str, crs: str = "EPSG:4326", line
         rows.select("image_id", F.to_json("feature").alias("value")).write.partitionBy("image_id").text(path)
         return
     every = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("tree_id", "feature"))).alias("f"))
-    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("f", lambda x: x["feature"]).alias("features"), F.lit(crs).alias("crs"))
+    named = F.struct(F.lit("name").alias("type"), F.struct(F.lit(crs).alias("name")).alias("properties"))
+    doc = F.struct(F.lit("FeatureCollection").alias("type"), F.transform("f", lambda x: x["feature"]).alias("features"), named.alias("crs"))
     every.select("image_id", F.to_json(doc).alias("value")).write.partitionBy("image_id").text(path)
 
 

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def ingest_tiles(stream: DataFrame, biomes: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Tiles of the wanted biomes, each image_id once; the checkpoint remembers which have been seen."""
-    return stream.where(F.col("biome_name").isin(*biomes)).withWatermark(time, late).dropDuplicatesWithinWatermark(["image_id"])
+def ingest_tiles(stream: DataFrame, biomes: list[str], path: str, checkpoint: str) -> DataStreamWriter:
+    """Appends the tiles of the wanted biomes to Parquet at path, each image_id once, however long ago it was first seen.
 
+    A batch is written to a folder of its own, which takes the place of what an interrupted try left there."""
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    def add(batch: DataFrame, number: int) -> None:
+        new = batch.where(F.col("biome_name").isin(*biomes)).dropDuplicates(["image_id"])
+        spark, own = batch.sparkSession, f"{path}/batch={number}"
+        known = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])).parquet(path) if number else None
+        if known is not None:
+            new = new.join(known.where(F.col("batch") != number).select("image_id"), "image_id", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(own)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
 def live_metrics(stream: DataFrame, threshold: float = 0.4) -> DataFrame:

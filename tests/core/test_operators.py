@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crownwork.functions import boxes as B
 from crownwork.functions import boxes as B
 from crownwork.functions import circular
 from crownwork.operators import components, joins, match, metrics, scoring, spans, suppress, tiling
@@ -162,7 +163,13 @@ def test_files_round_trip(spark, tmp_path):
     det = spark.createDataFrame([(1, 7, 0.5, 0, 0, 4, 3, [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 3.0}])], "image_id bigint, det_id bigint, score double, xmin bigint, ymin bigint, xmax bigint, ymax bigint, ring array<struct<x double, y double>>")
     writers.write_geojson(det, str(tmp_path / "g"))
     back = readers.read_predictions_geojson(spark, str(tmp_path / "g" / "*")).first()
-    assert back["tree_id"] == 1 and back["score"] == 0.5 and len(back["ring"]) == 2
+    assert back["tree_id"] == 1 and back["score"] == 0.5 and len(back["ring"]) == 2 and back["bbox"] == [0, 0, 4, 3]
+    written = json.loads(next((tmp_path / "g").glob("*/*.txt")).read_text())
+    assert written["crs"] == {"type": "name", "properties": {"name": "EPSG:4326"}}
+    (tmp_path / "low").mkdir()
+    of = lambda **p: {"type": "Feature", "properties": p, "geometry": None}
+    (tmp_path / "low" / "p.geojson").write_text(json.dumps({"features": [of(confidence=0.3), of(Confidence=0.4), of(score="0.5"), of(tree_id=7)]}))
+    assert [r["score"] for r in readers.read_predictions_geojson(spark, str(tmp_path / "low")).collect()] == [0.3, 0.4, 0.5, 1.0]
     writers.write_box_csv(spark.createDataFrame([("a.tif", 1, 2, 3, 4, "Tree")], readers.BOX), str(tmp_path / "c"))
     row = readers.read_box_csv(spark, str(tmp_path / "c")).first()
     assert row["xmax"] == 3 and row["domain"] is None
@@ -175,8 +182,8 @@ def test_files_round_trip(spark, tmp_path):
     boxes = readers.annotation_boxes(meta).collect()
     assert {r["image_id"] for r in meta.collect()} == {"x", "unknown", "z"}
     assert sorted((r["image_id"], r["category"], r["xmin"], r["xmax"]) for r in boxes) == [("unknown", 1, 1, 9), ("unknown", 2, 1, 4), ("x", 1, 1, 9), ("x", 2, 1, 4)]
-    (tmp_path / "a.csv").write_text("filename,shadow_azimuth,skipped\nf,10,false\ng,20,TRUE\nf,30,false\n")
-    assert [tuple(r) for r in readers.read_azimuth_csv(spark, str(tmp_path / "a.csv")).collect()] == [("f", 30.0)]
+    (tmp_path / "a.csv").write_text("filename,shadow_azimuth,skipped\nf,10,false\ng,20,TRUE\nf,30,false\nh,40,\n")
+    assert sorted(tuple(r) for r in readers.read_azimuth_csv(spark, str(tmp_path / "a.csv")).collect()) == [("f", 30.0), ("h", 40.0)]
     (tmp_path / "v.xml").write_text("<annotation><object><name>tree</name><bndbox><xmin>1.9</xmin><ymin>2</ymin><xmax>3</xmax><ymax>4</ymax></bndbox></object></annotation>")
     assert readers.read_voc_boxes(spark, str(tmp_path / "v.xml"), "tree").first()["xmin"] == 1
     assert readers.list_images(spark, str(tmp_path), ("xml",)).count() == 1
@@ -188,7 +195,10 @@ def test_streams_equal_batches(spark, tmp_path):
     df.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
-        ingest.append_to(ingest.ingest_tiles(stream, ["A"]), str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        ingest.ingest_tiles(stream, ["A"], str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([(1, "A", 1_900_000_000), (500, "A", 1_900_000_000)], "image_id bigint, biome_name string, s bigint").selectExpr("image_id", "biome_name", "timestamp_seconds(s) ts").select(*df.columns).write.mode("append").parquet(str(tmp_path / "in"))
+    rows.append((500, "A", 1_900_000_000))  # tile 1 comes again, years later
+    ingest.ingest_tiles(stream, ["A"], str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     got = sorted(r["image_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted({r[0] for r in rows if r[1] == "A"})
     values = spark.range(60).selectExpr("id % 7 tile_id", "id % 10 / 10.0 value").selectExpr("tile_id", "cast(value as double) value")
@@ -198,3 +208,94 @@ def test_streams_equal_batches(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted((r["tile_id"], r["n_pred"], r["n_tp"]) for r in df.collect())
     assert key(spark.sql("select * from live")) == key(ingest.live_metrics(values))
+
+
+def test_segmentations_of_all_kinds(spark, tmp_path):
+    square = [[1, 1, 4, 1, 4, 3, 1, 3]]
+    found = [{"score": 0.9, "category_id": 2, "segmentation": square}, {"category_id": 1, "segmentation": {"counts": [0, 2, 3, 4], "size": [3, 3]}}, {"segmentation": {"counts": "0234", "size": [3, 3]}}, {"segmentation": "junk"}, {"segmentation": None}]
+    (tmp_path / "Prediction_1.json").write_text(json.dumps(found))
+    rows = readers.read_detection_json(spark, str(tmp_path)).withColumns({"obj_id": F.monotonically_increasing_id(), "image_id": F.lit(1)})
+    by = {r["obj_id"]: r for r in rows.collect()}
+    assert [by[k]["kind"] for k in range(5)] == ["rings", "runs", "packed", "unknown", "unknown"] and [by[k]["score"] for k in range(3)] == [0.9, 0.0, 0.0]
+    px = {}
+    for r in spans.spans_of(rows).collect():
+        px.setdefault(r["obj_id"], set()).update((r["y"], x) for x in range(r["x0"], r["x1"]))
+    filled = lambda counts: {(k % 3, k // 3) for k, v in enumerate(v for j, n in enumerate(counts) for v in [j % 2] * n) if v}
+    assert px == {0: {(y, x) for y in (1, 2) for x in (1, 2, 3)}, 1: filled([0, 2, 3, 4]), 2: filled([0, 2, 3, 6])}
+    assert {r["kind"]: r["n"] for r in spans.kinds(rows).collect()} == {"rings": 1, "runs": 1, "packed": 1, "unknown": 2}
+
+
+def test_tiles_without_predictions_count(spark):
+    scored = spark.createDataFrame([(1, 0.9), (1, 0.1), (9, 0.5)], "image_id bigint, value double")
+    truth = spark.createDataFrame([(1,), (2,), (2,), (3,)], "image_id bigint")
+    tiles = spark.createDataFrame([(1,), (2,), (4,)], "image_id bigint")
+    keys = ("n_pred", "n_tp", "n_gt", "precision", "recall", "mean_overlap")
+    got = {r["image_id"]: tuple(r[k] for k in keys) for r in metrics.overlap_metrics(scored, truth, ["image_id"], evaluated=tiles).collect()}
+    assert got == {1: (2, 1, 1, 0.5, 1.0, 0.5), 2: (0, 0, 2, 0.0, 0.0, 0.0), 4: (0, 0, 0, 0.0, 0.0, 0.0)}
+    assert {r["image_id"] for r in metrics.overlap_metrics(scored, truth, ["image_id"]).collect()} == {1, 2, 3, 9}
+
+
+def test_max_of_rest_of_one_large_group(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("1 g", "id rank", "cast((id * 7919) % 10007 as double) v")
+    got = {r["rank"]: r["top"] for r in metrics.max_of_rest(df, ["g"], "rank", "v", "top").collect()}
+    top, want = 0.0, {}
+    for k in reversed(range(n)):
+        top = max(top, float(k * 7919 % 10007))
+        want[k] = top
+    assert got == want
+
+
+def test_row_split_prompts_and_domains(spark):
+    df = spark.range(1000).selectExpr("id", "id % 10 image_id")
+    out = joins.split_rows(df, 0.8, "id")
+    assert out.count() == 1000 and out.where("fold = 'train'").count() == 800 and out.repartition(7).where("fold = 'val'").select("id").distinct().count() == 200
+    files = spark.createDataFrame([("/i/0",), ("/m/0",), ("/n/0",), ("/i/1",), ("/m/1",)], "path string")
+    at = lambda d: F.concat(F.lit(f"/{d}/"), F.col("image_id"))
+    assert {r["image_id"] for r in joins.prompts(df, files, at("i"), at("m"), at("n")).collect()} == {0}
+    paths = spark.createDataFrame([("/x/WON_1.tif",), ("/x/bru.tif",), (None,)], "p string")
+    assert [(r["domain"], r["azimuth"]) for r in joins.domain_of(paths, "p").collect()] == [("WON", 215), ("BRU", 118), ("BRU", 118)]
+    assert joins.with_optional(paths, {"p": "string", "q": "double"}).columns == ["p", "q"]
+    assert sorted({tuple(r) for r in df.select(*joins.random_flips(df, 3, "id")).collect()}) == [(False, False), (False, True), (True, False), (True, True)]
+
+
+def test_azimuths_of_crops(spark):
+    light = [[255.0 - 10 * x for x in range(8)] for _ in range(8)]  # dark to the east
+    rows = [(1, 1, 8, 8, [v for r in light for v in r]), (1, 2, 8, 8, [1.0] * 64), (1, 3, 8, 8, [1.0])]
+    crops = spark.createDataFrame(rows, "image_id bigint, crop_id bigint, h int, w int, data array<double>")
+    got = {r["crop_id"]: r["azimuth"] for r in scoring.scored_azimuths(crops, scoring.brightness_slope_scorer).collect()}
+    assert abs(got[1] - 90) < 1e-6 and got[2] is None and got[3] is None
+    known = scoring.scored_azimuths(crops, scoring.brightness_slope_scorer).where("azimuth is not null")
+    assert abs(circular.consensus(known, "image_id", "azimuth").first()["azimuth"] - 90) < 1e-6
+
+
+def test_outline_is_simplified(spark):
+    rows = [(1, 1, y, 5, 60 + (y % 2)) for y in range(40)]  # a right side of teeth of one pixel
+    df = spark.createDataFrame(rows, "obj_id bigint, image_id bigint, y bigint, x0 bigint, x1 bigint")
+    plain, simple = spans.outlines(df, most=0.0).first(), spans.outlines(df).first()
+    assert len(plain["ring"]) > 40 and len(simple["ring"]) <= 7 and plain["area"] == simple["area"] == sum(r[4] - r[3] for r in rows)
+    ring = spark.createDataFrame([(1, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)])], "obj_id bigint, ring array<struct<x double, y double>>")
+    assert tuple(ring.select(spans.ring_centroid().alias("c")).first()["c"]) == (2.0, 1.0)
+
+
+def test_clear_boxes_and_rotated_copies(spark):
+    px = spark.range(400).selectExpr("1L image_id", "id div 20 y", "id % 20 x", "if(id % 20 < 10, 0, 9) luma")
+    rows = [(1, 1, 0, 0, 0, 10, 20), (1, 2, 0, 5, 0, 19, 20), (1, 3, 0, 10, 0, 19, 20)]
+    boxes = spark.createDataFrame(rows, BOXES)
+    assert [r["det_id"] for r in B.clear_enough(boxes, px).collect()] == [2]
+    images = spark.createDataFrame([(1, 20, 20, 90.0, "WON")], "image_id bigint, width int, height int, azimuth double, domain string")
+    turned = B.rotation_copies(boxes, images, copies=2, seed=3)
+    assert turned.count() <= 6 and all(abs((90.0 - r["angle"]) % 360 - r["azimuth"]) < 1e-9 and r["image_name"] == f"1_rot{int(r['angle'])}" and 0 <= r["xmin"] < r["xmax"] <= 20 for r in turned.collect())
+    assert B.rotation_copies(boxes, images, px=px).where("not (xmax - xmin >= 10 and ymax - ymin >= 10)").count() == 0
+
+
+def test_written_metadata(spark, tmp_path):
+    tiles = spark.createDataFrame([("a", 3, "x"), ("b", 4, None)], "image_id string, width int, biome_name string")
+    writers.write_tile_meta(tiles, str(tmp_path / "t"))
+    assert {json.loads(p.read_text())["width"] for p in (tmp_path / "t").glob("*/*.txt")} == {3, 4}
+    m = spark.createDataFrame([("m0", 0.5), ("m1", 0.6)], "model string, ap double")
+    writers.write_summary(m, spark.createDataFrame([("m0", 0.7)], "model string, f1 double"), str(tmp_path / "s"))
+    assert {r["model"]: r["optimum"] and r["optimum"]["f1"] for r in spark.read.json(str(tmp_path / "s")).collect()} == {"m0": 0.7, "m1": None}
+    tiles.write.parquet(str(tmp_path / "c"))
+    assert readers.catalogue(spark, str(tmp_path / "c"), "image_id").columns == ["image_id"]
+    assert readers.picked_sites([tiles, tiles], "image_id", "a", 1).count() == 1
