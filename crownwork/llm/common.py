@@ -3,36 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard, shared_path, stored  # noqa: F401  for the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in spark.checkpoint.dir; where none is named (tests on one
-    machine), in a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows of df, written to the shared folder and read again: cuts the lineage, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _KEPT: dict = {}
 
 

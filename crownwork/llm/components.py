@@ -2,31 +2,4 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, root for the nodes of edges(a bigint, b bigint); equal roots are one component.
-
-    Each round every node joins its least neighbour, the edges are taken between what the nodes joined, and each round's
-    tables are written. Node numbers should be hashes: then a round at least halves the nodes that still have edges, long
-    chains too. Nodes whose edges all lead to themselves are left out."""
-    left = stored(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        joined = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
-        first, second = joined.select("a", F.col("p").alias("pa")), joined.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        ends = left.join(first, "a").join(second, "b").where("pa != pb")
-        left = stored(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        if labels is None:
-            labels = joined.select(F.col("a").alias("node"), F.col("p").alias("root"))
-        else:
-            on = joined.select(F.col("a").alias("root"), "p")
-            labels = stored(labels.join(on, "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-    if labels is None:
-        return edges.sparkSession.createDataFrame([], "node bigint, root bigint")
-    return labels
+from ..operators.components import roots as components  # noqa: F401

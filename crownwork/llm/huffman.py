@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import shared_path, small_batches
 from .tokens import encoder, slices, texts_of
 
 BLOCK = 256
@@ -179,7 +179,7 @@ def write_ids(docs: DataFrame, vocabulary: str, out: str | None = None, end_id:
 
     vocabulary: a file of the tokenizers library. limit: bits of the longest code; raised where the vocabulary needs it.
     The driver gets one count for each id of the vocabulary, whatever the size of docs."""
-    spark, out = docs.sparkSession, out or shared_dir(docs.sparkSession)
+    spark, out = docs.sparkSession, out or shared_path(docs.sparkSession)
     kept = small_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
     ordered = kept.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     ordered.mapInArrow(_stage(vocabulary, end_id, segment_bytes), STAGED).write.option("compression", "zstd").parquet(f"{out}/staged")
