@@ -4,8 +4,9 @@ A word that the training texts hold is scored by its log frequency in each langu
 character n-grams that they hold, of ``longest`` characters, else of one fewer, down to single ones. A text's language
 has the greatest sum over its words; its score is the mean, over the words, of that language's share in the word.
 
-The frequencies come from a bounded sample: about ``per_language`` texts of each language, by a hash of doc_id. Tables
-hold the ``most_words`` commonest words and as many n-grams. Ties go to the language with more training texts, then to
+The model is fitted to a bounded sample: about ``per_language`` texts of each language, by a hash of doc_id. Of what the
+sample holds, the ``most_words`` commonest words and as many n-grams are its parameters, so a worker's memory is bounded;
+other words go by n-grams. Ties go to the language with more training texts, then to
 the first by name. Texts without a letter, and null ones, are ``und`` with score 0; so are all if nothing was learned.
 A text none of whose letters was seen in training gets the language with most training texts, at an even score.
 """

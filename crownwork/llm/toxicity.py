@@ -2,7 +2,8 @@
 
 Grades are whole numbers from 0, in order of severity: P(grade <= k) = 1 / (1 + exp(w.x - t_k)) with one weight vector w
 for all thresholds t_0 < t_1 < ... Features are sparse: how many of 100 words of the text are a given word, or begin
-with given 3 to 7 characters (of words and SHORT). Those that tell grades apart (chi-square over documents, ``most_features``) are kept.
+with given 3 to 7 characters (of words and SHORT). Features are chosen in the sample: the ``most_features`` that tell its
+grades apart best (chi-square over documents), of those that at least ``least`` documents hold.
 A text's result is its expected grade, its likeliest grade and the chance that its grade is over 0.
 
 The model is fitted on the driver to a bounded sample of labelled rows: about ``sample`` of them, by a hash of doc_id,

@@ -3,7 +3,7 @@
 ``judged`` parses host and path, applies host and path rules, and lets gradient-boosted trees on lexical features
 decide where no rule fits. The trees learn from the URLs that rules decide (block: 1), about ``sample`` of them, by a
 hash of the URL; suffix statistics (the share of blocked URLs by the host's last label and last two labels, smoothed)
-come from all of them, for every suffix. Beyond ``broadcast_rows`` suffixes they are joined by a salted shuffle.
+come from all of them, for every suffix. Beyond ``broadcast_bytes`` of suffixes they are joined by a salted shuffle.
 """
 
 from __future__ import annotations
@@ -63,12 +63,13 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_shares(found: DataFrame, known: DataFrame, column: str, share: float, broadcast_rows: int, salts: int = 16) -> DataFrame:
+def with_shares(found: DataFrame, known: DataFrame, column: str, share: float, broadcast_bytes: int, salts: int = 16) -> DataFrame:
     """found with the smoothed share of blocked URLs of known by its suffix in column; share for a suffix that known lacks."""
     name = column.replace("label", "suffix")
     by = known.groupBy(column).agg(F.count("*").alias("n"), F.sum("block").alias("blocked"))
     shares = stored(by.select(column, ((F.col("blocked") + 5 * share) / (F.col("n") + 5)).alias(name)))
-    if shares.count() <= broadcast_rows:
+    size = shares.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + 24)).first()[0] or 0
+    if size <= broadcast_bytes:
         out = found.join(F.broadcast(shares), column, "left")
     else:  # a common suffix goes to ``salts`` tasks
         shares = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
@@ -77,7 +78,7 @@ def with_shares(found: DataFrame, known: DataFrame, column: str, share: float, b
     return out.fillna(share, [name])
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], sample: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 1, broadcast_rows: int = 200_000) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], sample: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 1, broadcast_bytes: int = 16 << 20) -> DataFrame:
     """page_id, host, path, rule, verdict of pages(page_id, url).
 
     verdict: the rule's, else the trees' (block at a chance of at least 1/2). Where the rules leave nothing to learn
@@ -94,7 +95,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], sample: int = 20_000,
         return found.select(*columns, F.coalesce("by_rule", F.lit("block" if n and blocked else "allow")).alias("verdict"))
     share = blocked / n
     for column in ("label_1", "label_2"):
-        found = with_shares(found, known, column, share, broadcast_rows)
+        found = with_shares(found, known, column, share, broadcast_bytes)
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     some = ready.where(F.col("block").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1, sample / n) * (1 << 30))))
     if some.select("block").distinct().count() < 2:

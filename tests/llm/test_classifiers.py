@@ -100,12 +100,14 @@ def test_expected_severity_by_definition():
 
 
 def test_toxicity_edge_cases(spark):
-    rows = [(i, "you idiot " * 3 if i % 3 == 0 else "fine words here", None) for i in range(60)] + [(70, None, None), (71, "", None), (5, "fine words here", None), (None, "x", None)]
+    rows = [(i, "you idiot " * 3 if i % 3 == 0 else "fine words here", None) for i in range(60)] + [(70, None, None), (71, "", None), (5, "fine words here", None), (None, "x", None), (72, "fine words here " * 100_000, None), (73, "you idiot " * 100_000, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic string").selectExpr("*", "1 grade", "2 n", "3 f")
     labels = spark.createDataFrame([(i, 1 if i % 6 else 0, int(i % 3 == 0)) for i in range(60)] + [(0, None, None), (3, 1, 0), (99, 1, 1)], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(toxicity.severity_labels(docs, labels))
     got = toxicity.graded(docs, model).collect()
     assert len(got) == len(rows) and all(r["toxic"] == (r["doc_id"] % 3 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 60)
+    long = {r["doc_id"]: r["toxic"] for r in got}
+    assert not long[72] and long[73]
     none = toxicity.fit(toxicity.severity_labels(docs, labels.limit(0)))
     assert {r["expected_severity"] for r in toxicity.graded(docs, none).collect()} == {0.0}
     assert toxicity.graded(docs.limit(0), model).collect() == []

@@ -109,11 +109,11 @@ def by_hand(url):
     return host, path, best
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_every_suffix_has_its_share(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_every_suffix_has_its_share(spark, broadcast_bytes):
     rows = [(n, f"https://www.site{n % 1500}.org/{n}", f"site{n % 1500}.org", float(n % 1500 % 3 == 0)) for n in range(3000)] + [(9000, "https://new.org/", "new.org", None)]
     found = spark.createDataFrame(rows, "page_id bigint, url string, label_2 string, block double")
-    got = {r["page_id"]: r["suffix_2"] for r in urls.with_shares(found, found.where("block is not null"), "label_2", 0.25, broadcast_rows).collect()}
+    got = {r["page_id"]: r["suffix_2"] for r in urls.with_shares(found, found.where("block is not null"), "label_2", 0.25, broadcast_bytes).collect()}
     assert len(got) == 3001 and got[9000] == 0.25
     assert all(math.isclose(got[n], (2 * b + 5 * 0.25) / 7) for n, _, _, b in rows[:3000])
 

@@ -117,6 +117,10 @@ def test_packing(spark, enc, width):
         assert at <= width
     total = sum(r["length"] for r in got)
     assert total / width <= len(by_bin) <= total / width * 1.1 + 1
+    seven = [np.array(plain(enc, [t or ""])[0] + [0], "<u4") for i, t in rows if i == 7]  # rows that repeat a doc_id are documents of their own
+    cut = lambda x: [0, *range(len(x) % width or min(len(x), width), len(x) + 1, width)]
+    want = [(k, a, b - a, zlib.crc32(x[a:b].tobytes())) for x in seven for k, (a, b) in enumerate(zip(cut(x), cut(x)[1:]))]
+    assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in by_doc[7]) == sorted(want)
     for i, t in rows:
         if i == 7:
             continue
