@@ -310,14 +310,21 @@ def _leading_sets(percent: int):
 
 
 def _leaders_chained(percent: int):
-    """The pairs of leaders of a crowd (a, n, bits) that may lead linked sets."""
+    """A spanning forest of the pairs of leaders of a crowd (a, n, bits) that may lead linked sets."""
 
     def run(t: pa.Table) -> pa.Table:
         node, n, bits = t.column("a").to_numpy(), t.column("n").to_numpy(), t.column("bits").to_pylist()
-        found = [(i, near(n, bits, i, np.arange(i + 1, len(n)), percent, 3)) for i in range(len(n))]
-        a = np.repeat(node, [len(x) for _, x in found])
-        b = node[np.concatenate([x for _, x in found])] if found else node
-        return pa.table({"a": a, "b": b})
+        left, todo, a, b = np.arange(len(n)), [], [node[:0]], [node[:0]]
+        while todo or len(left):
+            if not todo:
+                todo, left = [int(left[0])], left[1:]
+            i = todo.pop()
+            found = near(n, bits, i, left, percent, 3)
+            a.append(np.full(len(found), node[i]))
+            b.append(node[found])
+            left = np.setdiff1d(left, found, assume_unique=True)
+            todo += found.tolist()
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
