@@ -123,6 +123,23 @@ def to_world(x: Column, y: Column, bounds: tuple[Column, Column, Column, Column]
     return west + x * (east - west) / width, north - y * (north - south) / height
 
 
+def ring_to_world(ring: Column, bounds: tuple[Column, Column, Column, Column], width: Column, height: Column) -> Column:
+    """A ring of points (x, y) in pixels in world coordinates."""
+
+    def moved(p):
+        x, y = to_world(p["x"], p["y"], bounds, width, height)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(ring, moved)
+
+
+def georeferenced(meta: DataFrame) -> DataFrame:
+    """Rows of meta(crs, west, south, east, north, width, height) that name a reference system and whose pixels aren't
+    the world's units from the origin."""
+    identity = (F.col("west") == 0) & (F.col("north") == 0) & (F.col("east") == F.col("width")) & (F.col("south") == -F.col("height"))
+    return meta.where(F.col("crs").isNotNull() & (F.trim("crs") != "") & ~F.coalesce(identity, F.lit(True)))
+
+
 def azimuth_vector(df: DataFrame, azimuth: str) -> DataFrame:
     return df.select("*", F.sin(F.radians(azimuth)).alias("shadow_x"), F.cos(F.radians(azimuth)).alias("shadow_y"))
 

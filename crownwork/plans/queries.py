@@ -405,6 +405,15 @@ def c23_rotate(det):
     return B.rotated(det, (F.col("det_id") % 360).cast("double"), F.lit(1800), F.lit(1800)).select("det_id", *[F.round(c, 4).alias(c) for c in B.SIDES])
 
 
+_TURN = "(image_id*7919+104729+1)%360"
+
+
+@query("det_box", "tile_meta", oracle=f"WITH r AS (SELECT *, {_TURN} AS a, radians({_TURN}) AS t FROM det_box), b AS (SELECT det_id, a, ((image_id%360-a)%360+360)%360 AS azimuth, greatest(least(least({_RX}),1800),0) AS xmin, greatest(least(least({_RY}),1800),0) AS ymin, greatest(least(greatest({_RX}),1800),0) AS xmax, greatest(least(greatest({_RY}),1800),0) AS ymax FROM r) SELECT det_id, CAST(a AS DOUBLE) AS angle, CAST(azimuth AS DOUBLE) AS azimuth, {', '.join(f'round({c},4) AS {c}' for c in B.SIDES)} FROM b WHERE xmax>xmin AND ymax>ymin")
+def c34_rotation_copies(det, meta):
+    images = meta.select("image_id", F.lit(1800).alias("width"), F.lit(1800).alias("height"), (F.col("image_id") % 360).cast("double").alias("azimuth"), F.lit("WON").alias("domain"))
+    return B.rotation_copies(det.select("det_id", "image_id", *B.SIDES), images).select("det_id", "angle", "azimuth", *[F.round(c, 4).alias(c) for c in B.SIDES])
+
+
 @query("azimuths", oracle="SELECT crop_id, round(sin(radians(azimuth)),6) AS shadow_x, round(cos(radians(azimuth)),6) AS shadow_y, ((azimuth-crop_id%90)%360+360)%360 AS turned FROM azimuths")
 def c25_vectors(az):
     return B.azimuth_vector(az, "azimuth").select("crop_id", *r6("shadow_x", "shadow_y"), B.turned_azimuth(F.col("azimuth"), F.col("crop_id") % 90).alias("turned"))
@@ -852,9 +861,37 @@ def c30_dropped(det, v):
     return det.withColumn("k", k.cast("bigint")).join(out, ["image_id", "k"], "left_anti").select("det_id")
 
 
-@query("tile_meta", oracle="SELECT image_id FROM tile_meta WHERE west<>0 OR south<>0")
+@query("tile_meta", oracle="SELECT image_id FROM tile_meta WHERE image_id%3<>0 AND NOT image_id%5=1")
 def c33_georeferenced(meta):
-    return meta.where("west <> 0 or south <> 0").select("image_id")
+    """Every third tile names no system, and one in five has the identity for a transform."""
+    same = F.col("image_id") % 5 == 1
+    side = lambda own, other: F.when(same, own).otherwise(other)
+    placed = meta.withColumns({"crs": F.when(F.col("image_id") % 3 != 0, F.lit("EPSG:4326")), "west": side(F.lit(0.0), F.col("west") + 1), "east": side(F.col("width"), F.col("west") + 200)})
+    return B.georeferenced(placed.withColumns({"north": side(F.lit(0.0), F.lit(200.0)), "south": side(-F.col("height"), F.lit(0.0))})).select("image_id")
+
+
+@query("det_box", "tile_meta", oracle="SELECT det_id, round(west+xmin*200.0/width,6) AS x0, round(south+200-ymax*200.0/height,6) AS y2, 4 AS points FROM det_box JOIN tile_meta USING(image_id)")
+def c26_world_rings(det, meta):
+    both = det.join(meta, "image_id")
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(point("xmin", "ymin"), point("xmax", "ymin"), point("xmax", "ymax"), point("xmin", "ymax"))
+    world = B.ring_to_world(ring, (F.col("west"), F.col("south"), F.col("west") + 200, F.col("south") + 200), F.col("width"), F.col("height"))
+    return both.select("det_id", world.alias("r")).select("det_id", F.round(F.col("r")[0]["x"], 6).alias("x0"), F.round(F.col("r")[2]["y"], 6).alias("y2"), F.size("r").alias("points"))
+
+
+def on_raster(det: DataFrame) -> DataFrame:
+    """Small boxes, some of them narrow, on the raster of pixels."""
+    at = det.select("det_id", F.lit(0).alias("image_id"), (F.col("xmin") % 60).alias("xmin"), (F.col("ymin") % 8).alias("ymin"), (F.col("det_id") % 30 + 4).alias("w"))
+    return at.select("det_id", "image_id", "xmin", "ymin", (F.col("xmin") + F.col("w")).alias("xmax"), (F.col("ymin") + 12).alias("ymax"))
+
+
+_ON = "WITH b AS (SELECT det_id, xmin%60 AS x0, ymin%8 AS y0, xmin%60+det_id%30+4 AS x1, ymin%8+12 AS y1 FROM det_box WHERE det_id%30+4>=10), "
+
+
+@query("det_box", "px", oracle=_ON + "s AS (SELECT det_id, avg(CASE WHEN luma>=150 THEN 1.0 ELSE 0.0 END) AS s FROM b JOIN px ON x>=x0 AND x<x1 AND y>=y0 AND y<y1 GROUP BY 1) SELECT det_id FROM s WHERE s>=0.4")
+def c24_clear_boxes(det, px):
+    lit = px.withColumn("luma", F.when(F.col("luma") >= 150, F.col("luma")).otherwise(0))
+    return B.clear_enough(on_raster(det), lit).select("det_id")
 
 
 @query("tile_meta", oracle="SELECT image_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, west+i*40-30 AS x0, south+j*40-30 AS y0, west+i*40+70 AS x1, south+j*40+70 AS y1 FROM tile_meta CROSS JOIN range(0,5) a(i) CROSS JOIN range(0,3) b(j)")
