@@ -104,6 +104,11 @@ def pairs_of(words: Column) -> Column:
     return F.filter(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda g: g.isNotNull())
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for a row: filters on it aren't moved below it, where they'd compute it anew."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8) -> DataFrame:
     """doc_id, license, line, dice: the best part for each license of a document of docs(doc_id, text) whose coefficient
     is at least ``least``. line: 0 for the whole text, else the line (from 1), or that in which the run begins; of equally
@@ -117,10 +122,10 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, lea
     texts = lambda values: F.array(*[F.lit(v) for v in values])
     every, telling = texts(sorted({g for _, grams, _ in known for g in grams})), texts(sorted({w for _, grams, _ in known for w in telling_words(grams, least)}))
     own = docs.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    worded = own.withColumn("words", words_of(F.col("text"))).where(F.arrays_overlap("words", telling))
-    cut = worded.select("doc_id", "text", pairs_of(F.col("words")).alias("grams")).withColumn("held", F.array_intersect("grams", every))
+    worded = with_once(own, "words", words_of(F.col("text"))).where(F.arrays_overlap("words", telling))
+    cut = with_once(with_once(worded, "grams", pairs_of(F.col("words"))).drop("words"), "held", F.array_intersect("grams", every))
     enough = [F.when(F.size(F.array_intersect("held", texts(grams))) >= needed(len(grams), least), F.lit(k)) for k, (_, grams, _) in enumerate(known)]
-    fitting = cut.withColumn("fits", F.array_compact(F.array(*enough))).where(F.size("fits") > 0).drop("held").select("*", F.explode("fits").alias("k")).drop("fits")
+    fitting = cut.select("doc_id", "text", "grams", F.explode(F.array(*enough)).alias("k")).where("k is not null")
     of = F.array(*[F.struct(F.lit(name).alias("license"), texts(grams).alias("grams"), F.lit(needed(len(grams), least)).alias("need"), F.array(*[F.lit(n) for n in lengths]).alias("spans")) for name, grams, lengths in known])
     both = fitting.select("doc_id", "text", "grams", of[F.col("k")].alias("t"))
     m, reach = F.size("t.grams"), (2 - least) / least
@@ -134,13 +139,13 @@ def scanned(docs: DataFrame, templates: list[tuple[str, str]] | None = None, lea
     dense = lambda a, i: F.when(F.get("starts", i + F.col("t.need") - 1) < a + F.array_max("t.spans"), a)
     runs = F.transform(F.array_compact(F.transform("starts", dense)), lambda a: F.array_max(F.transform("t.spans", lambda n: F.struct(dice(F.slice("grams", a, n)).alias("dice"), (-a).alias("at")))))
     lines = F.transform(F.split("text", "\n"), lambda part, i: F.struct(dice(pairs_of(words_of(part))).alias("dice"), (-i - 1).alias("at")))
-    found = both.withColumn("starts", starts).withColumns({"run": F.array_max(runs), "line": F.array_max(lines), "whole": dice(F.col("grams"))}).drop("grams", "starts")
+    found = with_once(with_once(both, "starts", starts), "run", F.array_max(runs)).withColumns({"line": F.array_max(lines), "whole": dice(F.col("grams"))}).drop("grams", "starts")
     counts = F.transform(F.split("text", "\n"), lambda part: F.size(F.filter(words_of(part), lambda w: w != "")))
     step = lambda a, n: F.when(a["seen"] + n < -F.col("run.at"), F.struct((a["seen"] + n).alias("seen"), (a["line"] + 1).alias("line"))).otherwise(a)
     at = F.aggregate(counts, F.struct(F.lit(0).alias("seen"), F.lit(1).alias("line")), step)["line"]
     part = lambda value, line: F.struct(F.coalesce(value, F.lit(0.0)).alias("dice"), line.alias("line"))
     parts = F.array(part("whole", F.lit(0)), part("line.dice", F.col("line.at")), part("run.dice", -at))
-    hits = found.select("doc_id", F.col("t.license").alias("license"), F.array_max(parts).alias("hit")).where(F.col("hit.dice") >= least)
+    hits = with_once(found.select("doc_id", F.col("t.license").alias("license"), "text", "run", "line", "whole"), "hit", F.array_max(parts)).select("doc_id", "license", "hit").where(F.col("hit.dice") >= least)
     best = hits.groupBy("doc_id", "license").agg(F.max("hit").alias("b"))
     return best.select("doc_id", "license", (-F.col("b.line")).alias("line"), F.round("b.dice", 6).alias("dice"))
 
