@@ -296,7 +296,7 @@ def _united(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, broadcast_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """ord and th (a document's key), kept (a struct of all columns but text) and text; and the spans by ord and th:
     first bytes and ends, on end.
 
@@ -314,11 +314,8 @@ def repeated_spans(docs: DataFrame, length: int = 100, broadcast_bytes: int = 64
     order = ("ord", "th", "lo")
     fresh = runs.where("not again").select("ord", "th", "lo", "n", "name", "run")
     verdicts = stored(fresh.repartition("name").sortWithinPartitions(*order).mapInArrow(_scanned, VERDICTS))
-    parts = verdicts.where("not whole")
-    partial = parts.groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "n", "name")).alias("runs"))
-    # 20 bytes a run and 24 a document
-    hint = F.broadcast if 44 * parts.count() <= broadcast_bytes else (lambda df: df)
-    held_runs = texts.join(hint(partial), ["ord", "th"]).select("ord", "th", "text", "runs").mapInArrow(_contexts(length), "name bigint, ord bigint, th int, lo bigint, held binary")
+    partial = verdicts.where("not whole").groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "n", "name")).alias("runs"))
+    held_runs = texts.join(partial, ["ord", "th"]).select("ord", "th", "text", "runs").mapInArrow(_contexts(length), "name bigint, ord bigint, th int, lo bigint, held binary")
     compared = held_runs.repartition("name").sortWithinPartitions(*order).mapInArrow(_compared(length), "ord bigint, th int, lo bigint, n int")
     columns = ("ord", "th", "lo", "n")
     strings = runs.where("again").select(*columns).unionByName(verdicts.where("whole").select(*columns)).unionByName(compared)
@@ -347,12 +344,12 @@ def _cut(digest: bool):
     return run
 
 
-def deduplicated(docs: DataFrame, length: int = 100, digest: bool = False, broadcast_bytes: int = 64 << 20) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 100, digest: bool = False, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs(doc_id, text, ...) as column ``kept`` (a struct of all columns but text), with n_bytes,
     n_removed, n_spans and ``left``: the text without repeated strings (digest: the SHA-256 of its bytes).
 
     A null text is an empty one. A cut may fall inside a character; ``left`` is then without that character's rest."""
-    keyed, spans = repeated_spans(docs, length, broadcast_bytes)
-    joined = keyed.join(small_hint(spans, broadcast_bytes // 2), ["ord", "th"], "left").select("kept", "text", "spans")
+    keyed, spans = repeated_spans(docs, length)
+    joined = keyed.join(small_hint(spans, broadcast_bytes), ["ord", "th"], "left").select("kept", "text", "spans")
     numbers = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
     return joined.mapInArrow(_cut(digest), T.StructType([joined.schema["kept"], *numbers, T.StructField("left", T.StringType())]))
