@@ -90,6 +90,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(docs, digest=True).selectExpr("kept.doc_id", "n_bytes", "n_removed", "n_spans", "left kept_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors among all rows: anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    from .hard_negatives import mined, shifted_labels
+
+    return mined(shifted_labels(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
@@ -102,10 +109,11 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_ngram_join": op9_ngram_join,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses
+    from . import hard_negatives, licenses
 
-    return {"op2_license_scan": licenses.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql()}
