@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def small_batches(df: DataFrame, most_bytes: str = "4m") -> DataFrame:
     return df
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, most: str = "4m"):
+    """Within it, jobs send about ``most`` bytes to a Python worker at once; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ascii_lower(col):
     """A-Z only, as both engines and Python can do it alike."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

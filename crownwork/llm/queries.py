@@ -90,6 +90,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(docs, digest=True).selectExpr("kept.doc_id", "n_bytes", "n_removed", "n_spans", "left kept_sha256")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of all documents by fingerprints that differ in two bits at most: doc_id, fingerprint, component_id."""
+    from .simhash import classed
+
+    return classed(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of all anchors among all rows: anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
     from .hard_negatives import mined, shifted_labels
@@ -109,6 +116,7 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter,
         "op9_ngram_join": op9_ngram_join,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_simhash": op11_simhash,
         "op12_hard_negatives": op12_hard_negatives,
     }
 
