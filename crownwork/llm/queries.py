@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -104,6 +107,19 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined(shifted_labels(table(spark, sf_dir, "embeddings")))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    from .conversations import damaged, repaired
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
+    every = rows.select(F.col("conv_id").alias("its")).distinct()
+    found = repaired(damaged(rows), digest=True)
+    joined = every.join(found, F.col("its").eqNullSafe(F.col("conv_id")), "left")
+    none = hashlib.sha256().hexdigest()
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(F.col("its").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired", F.lit(none)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
     return {
         "op1_token_ids": op1_token_ids,
@@ -118,10 +134,11 @@ def queries() -> dict:
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_simhash": op11_simhash,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import hard_negatives, licenses
+    from . import conversations, hard_negatives, licenses
 
-    return {"op2_license_scan": licenses.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql()}
+    return {"op2_license_scan": licenses.oracle_sql(), "op12_hard_negatives": hard_negatives.oracle_sql(), "op13_conversation_repair": conversations.oracle_sql()}
