@@ -143,7 +143,7 @@ def _encoded(column) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-ROWS = "ord bigint, th int, lo bigint, n int, name bigint, run bigint, again boolean"
+ROWS = "ord bigint, th bigint, lo bigint, n int, name bigint, run bigint, again boolean"
 
 
 def _named(length: int, most: int = 1_000_000):
@@ -151,7 +151,7 @@ def _named(length: int, most: int = 1_000_000):
         forget()
         seen, held_rows = Levels(), 0
         for b in batches:
-            order, th, raws = b.column(0).to_numpy(), b.column(1).to_numpy(), _encoded(b.column(2))
+            order, th, raws = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), _encoded(b.column(2))
             pieces = [(k, at, p) for k, r in enumerate(raws) for at, p in _parts(r, length)]
             for lo, hi in _slices([p for _, _, p in pieces]):
                 some = pieces[lo:hi]
@@ -181,7 +181,7 @@ def _named(length: int, most: int = 1_000_000):
     return run
 
 
-VERDICTS = "ord bigint, th int, lo bigint, n int, name bigint, whole boolean"
+VERDICTS = "ord bigint, th bigint, lo bigint, n int, name bigint, whole boolean"
 
 
 def _scanned(batches):
@@ -238,7 +238,7 @@ def _contexts(length: int):
                 for r in runs:
                     for c, x in zip(out, (r["name"], o, t, r["lo"], raw[r["lo"] : r["lo"] + r["n"] - 1 + length])):
                         c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["name", "ord", "th", "lo", "held"])
 
     return run
@@ -296,31 +296,41 @@ def _united(length: int):
     return run
 
 
+def _identity(text, seed: int):
+    return F.xxhash64(F.lit(seed), text)
+
+
 def repeated_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """ord and th (a document's key), kept (a struct of all columns but text) and text; and the spans by ord and th:
     first bytes and ends, on end.
 
     ord: doc_id, null the least. Rows of equal doc_id stand in the order of th, a hash of the text; those of equal
-    doc_id and text are one document."""
+    doc_id and text are one document. Where two texts of a doc_id share a hash, all are hashed anew with another seed;
+    that is seen by a second hash, so texts are told apart by 128 bits."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    order, th = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))), F.pmod(F.xxhash64(text), F.lit((1 << 31) - 1)).cast("int")
+    order = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     others = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
+    most, clash, seed = 0, True, -1
+    while clash:
+        seed += 1
+        th = _identity(text, seed)
+        of = docs.select(order.alias("ord"), th.alias("th"), F.xxhash64(F.lit(-1), text).alias("other")).groupBy("ord", "th")
+        most, clash = of.agg(F.count("*").alias("n"), (F.min("other") != F.max("other")).alias("clash")).agg(F.max("n"), F.max("clash")).first()
     keyed = small_batches(docs.select(order.alias("ord"), th.alias("th"), others.alias("kept"), F.col("text").cast("string").alias("text")))
     # rows of equal doc_id and text would be seen as repeats of themselves
     texts = keyed.select("ord", "th", "text")
-    repeats = texts.groupBy("ord", "th").count().where("count > 1").limit(1).count()
-    texts = texts.dropDuplicates(["ord", "th"]) if repeats else texts
+    texts = texts.dropDuplicates(["ord", "th"]) if (most or 0) > 1 else texts
     runs = stored(texts.mapInArrow(_named(length), ROWS))
     order = ("ord", "th", "lo")
     fresh = runs.where("not again").select("ord", "th", "lo", "n", "name", "run")
     verdicts = stored(fresh.repartition("name").sortWithinPartitions(*order).mapInArrow(_scanned, VERDICTS))
     partial = verdicts.where("not whole").groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "n", "name")).alias("runs"))
-    held_runs = texts.join(partial, ["ord", "th"]).select("ord", "th", "text", "runs").mapInArrow(_contexts(length), "name bigint, ord bigint, th int, lo bigint, held binary")
-    compared = held_runs.repartition("name").sortWithinPartitions(*order).mapInArrow(_compared(length), "ord bigint, th int, lo bigint, n int")
+    held_runs = texts.join(partial, ["ord", "th"]).select("ord", "th", "text", "runs").mapInArrow(_contexts(length), "name bigint, ord bigint, th bigint, lo bigint, held binary")
+    compared = held_runs.repartition("name").sortWithinPartitions(*order).mapInArrow(_compared(length), "ord bigint, th bigint, lo bigint, n int")
     columns = ("ord", "th", "lo", "n")
     strings = runs.where("again").select(*columns).unionByName(verdicts.where("whole").select(*columns)).unionByName(compared)
     by_doc = strings.groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    return keyed, stored(by_doc.mapInArrow(_united(length), "ord bigint, th int, spans array<bigint>"))
+    return keyed, stored(by_doc.mapInArrow(_united(length), "ord bigint, th bigint, spans array<bigint>"))
 
 
 def _cut(digest: bool):

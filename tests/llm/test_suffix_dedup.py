@@ -98,3 +98,38 @@ def test_common_runs_go_on_once(spark):
     rising = spark.createDataFrame(sorted(rows) * 1, "doc_id bigint, text string").coalesce(1)
     named = rising.selectExpr("doc_id ord", "0 th", "text").mapInArrow(suffix_dedup._named(100), suffix_dedup.ROWS)
     assert named.where("not again").groupBy("name", "run").count().where("count > 1").isEmpty()
+
+
+def test_texts_of_one_id_whose_hashes_agree(spark, monkeypatch):
+    """(null, a), (null, b) and (1, a), (1, b) of equal hash: both stay documents of their own."""
+    from pyspark.sql import functions as F
+
+    whole, seeds = suffix_dedup._identity, []
+
+    def poor(text, seed):
+        seeds.append(seed)
+        return F.pmod(whole(text, seed), F.lit((2, 3)[seed])) if seed < 2 else whole(text, seed)
+
+    monkeypatch.setattr(suffix_dedup, "_identity", poor)
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(277)) for _ in range(2))
+    extra = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(6)]
+    for first in (None, 1):
+        df = spark.createDataFrame([(first, x) for x in (a, b, *extra)] + [(5, b), (6, a)], "doc_id bigint, text string")
+        got = suffix_dedup.deduplicated(df).where("kept.doc_id >= 5").selectExpr("kept.doc_id", "n_removed").collect()
+        assert sorted(map(tuple, got)) == [(5, 277), (6, 277)]
+    assert max(seeds) == 2
+
+
+def test_many_rows_without_id_and_a_seam(spark):
+    """Rows without doc_id come first, in the order of a hash; a text of 300 kB is looked at in parts, with repeats over
+    the seam."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    own = [text(120) for _ in range(4000)]
+    seam, tail = text(600), text(150)
+    long = text((1 << 18) - 300) + seam + text(40_000) + tail
+    rows = [(None, t) for t in own] + [(1, long), (2, "x" + seam), (3, tail), (4, own[7] + "!" + own[8])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.deduplicated(df).selectExpr("kept.doc_id", "n_bytes", "n_removed").where("doc_id is not null").collect()}
+    assert got == {1: (len(long), 0), 2: (601, 600), 3: (150, 150), 4: (241, 240)}
