@@ -43,13 +43,22 @@ def roots(edges: DataFrame) -> DataFrame:
 
 def labelled(px: DataFrame) -> DataFrame:
     """Row runs of the pixels with ``label``: 8-neighbour components, named by their first run (least y, then x0)."""
-    spans = stored(runs(px))
+    return label_spans(runs(px).drop("run_id"))
+
+
+def label_spans(runs_: DataFrame, cut: bool = False) -> DataFrame:
+    """Row runs (image_id, y, x0, x1) with ``label``, as labelled. cut: runs of a row may touch, as those cut at the edges of
+    tiles do."""
+    spans = stored(runs_.withColumn("run_id", F.xxhash64("image_id", "y", "x0")))
     below = spans.select("image_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run_id").alias("b"))
     # runs of neighbouring rows that touch, corners too, meet in cells of 64 pixels
-    cut = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 64), F.floor(hi / 64)))
-    one = spans.select("image_id", "y", "x0", "x1", F.col("run_id").alias("a"), cut(F.col("x0") - 1, F.col("x1")).alias("c"))
-    two = below.select("image_id", "y", "b0", "b1", "b", cut(F.col("b0"), F.col("b1") - 1).alias("c"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / 64), F.floor(hi / 64)))
+    one = spans.select("image_id", "y", "x0", "x1", F.col("run_id").alias("a"), cells(F.col("x0") - 1, F.col("x1")).alias("c"))
+    two = below.select("image_id", "y", "b0", "b1", "b", cells(F.col("b0"), F.col("b1") - 1).alias("c"))
     edges = one.join(two, ["image_id", "y", "c"]).where("b0 <= x1 and x0 <= b1").select("a", "b")
+    if cut:
+        beside = spans.select("image_id", "y", F.col("x1").alias("x0"), F.col("run_id").alias("a"))
+        edges = edges.unionByName(beside.join(spans.select("image_id", "y", "x0", F.col("run_id").alias("b")), ["image_id", "y", "x0"]).select("a", "b"))
     found = spans.join(roots(edges).withColumnRenamed("node", "run_id"), "run_id", "left").withColumn("root", F.coalesce("root", "run_id"))
     first = found.groupBy("image_id", "root").agg(F.min(F.struct("y", "x0")).alias("f"))
     return found.join(first, ["image_id", "root"]).select("image_id", "y", "x0", "x1", F.concat_ws("_", F.col("f.y"), F.col("f.x0")).alias("label"))

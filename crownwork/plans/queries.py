@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from ..operators import overlap as O
 from ..operators import raster as R
 from ..operators import spans as SP
 from ..operators import suppress as S
+from ..operators import tiles as TL
 from ..operators import tiling as T
 from .scenes import scene, sql
 
@@ -818,7 +820,29 @@ def l24_saturation(px):
     return R.saturated(coloured(px)).select("y", "x", *r6("r", "g", "b"))
 
 
-@query("patch")
+def _shadow(azimuth: float = 215.0, least: int = 150, image: str = "0") -> str:
+    """SQL for the shadow map of px as y, x, p; image: what tells images apart."""
+    sx, sy = f"{math.sin(math.radians(azimuth)):.17e}", f"{-math.cos(math.radians(azimuth)):.17e}"
+    near = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
+    name = lambda dx, dy: f"n{dx + 1}{dy + 1}"
+    seen = ", ".join(f"max(q.luma) FILTER (dx={dx} AND dy={dy}) AS {name(dx, dy)}" for dx, dy in near)
+    at = lambda dx, dy: f"coalesce({name(dx, dy)}, {name(-dx, dy)}, {name(dx, -dy)}, {name(-dx, -dy)}, luma)"
+    slope = lambda f: " + ".join(f"{w}*({f(1, d)} - {f(-1, d)})" for d, w in ((-1, 1), (0, 2), (1, 1)))
+    labels = LABELS[len("WITH RECURSIVE ") :].replace("m AS (SELECT y, x FROM px WHERE luma < 60)", "m AS (SELECT y, x FROM chance WHERE p > 0)")
+    return f"""WITH RECURSIVE {_LIT}, {_gradient(azimuth, 8, 35, 8, 'g1')}, {_mean('g1', 'dg', R.gaussian(2.0), 'b1')}, {_gradient(azimuth, 35, 150, 12, 'g2')}, {_mean('g2', 'dg', R.gaussian(4.0), 'b2')},
+around AS (SELECT p.y, p.x, p.luma, {seen} FROM px p CROSS JOIN {_offs(near)} LEFT JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2,3),
+slopes AS (SELECT y, x, {slope(at)} AS gx, {slope(lambda a, b: at(b, a))} AS gy FROM around),
+sides AS (SELECT y, x, abs(gx*CAST({sx} AS DOUBLE)+gy*CAST({sy} AS DOUBLE)) AS along, abs(gx*CAST(-({sy}) AS DOUBLE)+gy*CAST({sx} AS DOUBLE)) AS across FROM slopes),
+{_mean('sides', 's.along', R.gaussian(2.0, 5), 'ma')}, {_mean('sides', 's.across', R.gaussian(2.0, 5), 'mc')},
+dgs AS (SELECT px.y, px.x, px.luma, v.y IS NOT NULL AS ok, CASE WHEN v.y IS NULL THEN 0 ELSE 0.5*b1.m+0.5*b2.m END AS dg, greatest(least(CAST(1.5 AS DOUBLE)-mc.m/(ma.m+CAST(0.001 AS DOUBLE))*0.5, 1), 0) AS side
+ FROM px JOIN b1 USING(y,x) JOIN b2 USING(y,x) JOIN ma USING(y,x) JOIN mc USING(y,x) LEFT JOIN v ON v.y=px.y AND v.x=px.x),
+tops AS (SELECT {image.format('y')} AS i, greatest(max(dg), 30) AS top FROM dgs GROUP BY 1),
+chance AS (SELECT y, x, CASE WHEN ok AND p >= 0.2 THEN p ELSE 0 END AS p FROM (SELECT *, 1/(1+exp(-12*(least(dg/top, 1)*greatest(least((71-luma)/20.0, 1), 0)*side - CAST(0.35 AS DOUBLE)))) AS p FROM dgs JOIN tops ON i={image.format('y')})),
+{labels}, kept AS (SELECT n//1000 AS y, n%1000 AS x FROM lab JOIN comp USING(l) WHERE area>={least})
+SELECT chance.y, chance.x, round(CASE WHEN kept.y IS NULL THEN 0 ELSE p END, 6) AS p FROM chance LEFT JOIN kept ON kept.y=chance.y AND kept.x=chance.x"""
+
+
+@query("patch", oracle=_patches(_shadow()))
 def l10_shadow_map(px):
     return R.shadow_map(px, 215.0).select("y", "x", *r6("p"))
 
@@ -1023,6 +1047,49 @@ def l17_combined(px):
     return R.combined_shadow(coloured(px)).select("y", "x")
 
 
+# --- the same filters over tiles that exchange borders, on images of unequal size
+
+#: Small, so that the little images of the scene have many tiles.
+TILE = 64
+
+
+def _scans(text: str, columns: str = "") -> str:
+    """SQL over px, over the images of the scene instead: they lie in one plane, further apart than any filter sees."""
+    body = re.sub(r"\bpx\b", "plane", text)
+    return f"SELECT CAST(y//100000 AS BIGINT) AS image_id, CAST(y%100000 AS BIGINT) AS y, x{columns} FROM ({body})"
+
+
+def _ones(tiles: DataFrame, band: str) -> DataFrame:
+    return TL.pixels(tiles, (band,)).where(F.col(band) == 1).select(*R.KEY)
+
+
+@query("scans", oracle=_scans(f"SELECT p.y, p.x FROM px p CROSS JOIN {_offs(R.ellipse(7))} LEFT JOIN px q ON q.y=p.y+dy AND q.x=p.x+dx GROUP BY 1,2 HAVING count_if(q.luma IS NOT NULL AND NOT (q.luma>15 AND q.luma<250))=0"))
+def l4_valid_tiles(px):
+    return _ones(TL.valid(TL.tiled(px, size=TILE), size=TILE), "valid")
+
+
+@query("scans", oracle=_scans("WITH m AS (SELECT y,x FROM px WHERE luma<140), " + _erode("m", R.square(5), "e") + ", " + _dilate("e", R.square(5), "o") + ", " + _close("m", R.square(5), "c") + " SELECT coalesce(o.y, c.y) AS y, coalesce(o.x, c.x) AS x, o.y IS NOT NULL AS opened, c.y IS NOT NULL AS closed FROM o FULL JOIN c ON o.y=c.y AND o.x=c.x", ", opened, closed"))
+def l6_morphology_tiles(px):
+    found = TL.pixels(TL.opened_and_closed(TL.tiled(px, size=TILE), 140, 5, size=TILE), ("opened", "closed"))
+    return found.where("opened = 1 or closed = 1").select(*R.KEY, (F.col("opened") == 1).alias("opened"), (F.col("closed") == 1).alias("closed"))
+
+
+@query("scans", oracle=_scans(f"WITH {_LIT}, {_gradient(215.0, 8, 35, 8, 'g')}, {_mean('g', 'dg', R.gaussian(2.0), 'b')} SELECT px.y, px.x, round(m,6) AS dg FROM px JOIN b USING(y,x)", ", dg"))
+def l7_gradient_tiles(px):
+    found = TL.directional_gradient(TL.tiled(px, size=TILE), 215.0, 8, 35, 8, smooth=R.gaussian(2.0), size=TILE)
+    return TL.pixels(found, ("dg",)).select(*R.KEY, *r6("dg"))
+
+
+@query("scans", oracle=_scans(_darker(0.7, 51)))
+def l12_adaptive_tiles(px):
+    return _ones(TL.darker_than_surroundings(TL.tiled(px, size=TILE), 0.7, 51, size=TILE), "dark")
+
+
+@query("scans", oracle=_scans(_shadow(image="{}//100000"), ", p"))
+def l10_shadow_map_tiles(px):
+    return TL.pixels(TL.shadow_map(TL.tiled(px, size=TILE), 215.0, size=TILE), ("p",)).select(*R.KEY, *r6("p"))
+
+
 def queries() -> dict:
     return dict(_ALL)
 

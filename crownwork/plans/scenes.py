@@ -24,6 +24,12 @@ SCENES = {
     "px": """SELECT 0 AS image_id, CAST(floor(event_id/100) AS BIGINT) AS y, event_id%100 AS x,
        (event_id*event_id*3+event_id*7+CAST(floor(value) AS BIGINT))%256 AS luma FROM events""",
     "patch": """SELECT image_id, y, x, (CAST(floor(y/11) AS BIGINT)*91+CAST(floor(x/13) AS BIGINT)*57+luma%16)%256 AS luma FROM px""",
+    "dots": """SELECT event_id, CASE WHEN event_id%6<3 THEN 0 WHEN event_id%6<5 THEN 1 ELSE 2 END AS image_id, CASE WHEN event_id%6<3 THEN 100 WHEN event_id%6<5 THEN 61 ELSE 37 END AS width,
+       CASE WHEN event_id%6<3 THEN 3*CAST(floor(event_id/6) AS BIGINT)+event_id%6 WHEN event_id%6<5 THEN 2*CAST(floor(event_id/6) AS BIGINT)+event_id%6-3 ELSE CAST(floor(event_id/6) AS BIGINT) END AS nth,
+       (event_id*event_id*3+event_id*7+CAST(floor(value) AS BIGINT))%16 AS noise FROM events""",
+    "scans": """SELECT image_id, y, x, (CAST(floor(y/11) AS BIGINT)*91+CAST(floor(x/13) AS BIGINT)*57+image_id*40+noise)%256 AS luma
+       FROM (SELECT image_id, CAST(floor(nth/width) AS BIGINT) AS y, nth%width AS x, noise FROM dots)""",
+    "plane": "SELECT image_id*100000+y AS y, x, luma FROM scans",
     "span": """SELECT det_id AS obj_id, image_id, ymin + k.k AS y, xmin + (k.k*7)%5 AS x0, xmax - (k.k*3)%5 AS x1
        FROM det_box JOIN (SELECT DISTINCT l_linenumber*30+CAST(l_quantity AS INT)%30-30 AS k FROM lineitem) k ON k.k < ymax-ymin WHERE det_id%20=1""",
     "azimuths": """SELECT event_id AS crop_id, user_id%50 AS image_id, CAST((event_id*37+CAST(floor(value) AS BIGINT)*11)%360 AS DOUBLE) AS azimuth FROM events""",
@@ -35,7 +41,7 @@ def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A scene by name, or one of the tables."""
     if name not in SCENES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    needs = {"det_box": ["lineitem"], "gt_box": ["det_box"], "tile_meta": ["det_box", "nation", "region"], "px": ["events"], "patch": ["px"], "span": ["det_box", "lineitem"], "azimuths": ["events"], "verdicts": ["conversations"]}[name]
+    needs = {"det_box": ["lineitem"], "gt_box": ["det_box"], "tile_meta": ["det_box", "nation", "region"], "px": ["events"], "patch": ["px"], "dots": ["events"], "scans": ["dots"], "plane": ["scans"], "span": ["det_box", "lineitem"], "azimuths": ["events"], "verdicts": ["conversations"]}[name]
     text = SCENES[name]
     for n in needs:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
