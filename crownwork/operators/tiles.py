@@ -15,12 +15,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
 from . import raster
 from .components import label_spans, measured
+from .percentiles import percentiles
 
 SIZE = 512
 PLACE = ["image_id", "ty", "tx"]
@@ -76,11 +77,12 @@ def _column(values: list, kind: str) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.asarray(v, np.float64).ravel() for v in values]) if values else np.zeros(0)))
 
 
-def on_tiles(tiles: DataFrame, kernel: Kernel, radius: int, bands: tuple[str, ...], out: dict[str, str], size: int = SIZE) -> DataFrame:
+def on_tiles(tiles: DataFrame, kernel: Kernel, radius: int, bands: tuple[str, ...], out: dict[str, str], size: int = SIZE, numbers: tuple[str, ...] = ()) -> DataFrame:
     """Tiles with what kernel makes of them: out names its results, each ``array`` (a band) or ``number``.
 
     kernel(bands, inner): the arrays of the tile with ``radius`` rows and columns around it, NaN outside the image, and
-    where the tile lies in them. A band that it gives has their shape; the tile's part is taken, without a pixel NaN."""
+    where the tile lies in them. A band that it gives has their shape; the tile's part is taken, without a pixel NaN.
+    numbers: columns of the tile that the kernel gets beside the arrays."""
     kind = tiles.schema["image_id"].dataType.simpleString()
     reach = -(-radius // size)
 
@@ -102,7 +104,8 @@ def on_tiles(tiles: DataFrame, kernel: Kernel, radius: int, bands: tuple[str, ..
                                 parts[n].append(data[n][k][top - y0[k] : low - y0[k], left - x0[k] : right - x0[k]])
             c = list(zip(*rows)) or [()] * 8
             arrays = [b.column("image_id").take(pa.array(c[0], pa.int64())), *[pa.array(v, pa.int64()) for v in c[1:7]], pa.array(c[7], pa.bool_()), *[_column(parts[n], "array") for n in bands]]
-            yield pa.RecordBatch.from_arrays(arrays, ["image_id", "ty", "tx", *_SHAPE, "own", *bands])
+            arrays += [b.column(n).take(pa.array(c[0], pa.int64())) for n in numbers]
+            yield pa.RecordBatch.from_arrays(arrays, ["image_id", "ty", "tx", *_SHAPE, "own", *bands, *numbers])
 
     def computed(t: pa.Table) -> pa.Table:
         y0, x0, h, w = _ints(t, *_SHAPE)
@@ -111,7 +114,7 @@ def on_tiles(tiles: DataFrame, kernel: Kernel, radius: int, bands: tuple[str, ..
             return pa.table({f.name: pa.array([], f.type) for f in shape})
         (k,) = own
         inner = (slice(radius, radius + h[k]), slice(radius, radius + w[k]))
-        around = {}
+        around = {n: t.column(n)[k].as_py() for n in numbers}
         for n in bands:
             a = np.full((h[k] + 2 * radius, w[k] + 2 * radius), np.nan)
             for j, part in enumerate(_arrays(t, n, h, w)):
@@ -126,7 +129,9 @@ def on_tiles(tiles: DataFrame, kernel: Kernel, radius: int, bands: tuple[str, ..
         return pa.Table.from_arrays(row, schema=shape)
 
     shape = pa.schema([("image_id", _ARROW.get(kind, pa.string())), *[(c, pa.int64()) for c in ("ty", "tx", *_SHAPE)], *[(n, pa.list_(pa.float64()) if what == "array" else pa.float64()) for n, what in out.items()]])
-    pieces = tiles.select(*PLACE, *_SHAPE, *bands).mapInArrow(sent, f"image_id {kind}, ty bigint, tx bigint, y0 bigint, x0 bigint, h bigint, w bigint, own boolean, " + ", ".join(f"`{n}` array<double>" for n in bands))
+    sides = ", ".join([*[f"`{n}` array<double>" for n in bands], *[f"`{n}` double" for n in numbers]])
+    own = tiles.select(*PLACE, *_SHAPE, *bands, *[F.col(n).cast("double").alias(n) for n in numbers])
+    pieces = own.mapInArrow(sent, f"image_id {kind}, ty bigint, tx bigint, y0 bigint, x0 bigint, h bigint, w bigint, own boolean, {sides}")
     return pieces.groupBy(*PLACE).applyInArrow(computed, _schema(kind, out))
 
 
@@ -344,6 +349,33 @@ def shadow_map(tiles: DataFrame, azimuth: float, band: str = "luma", top_luma: f
     return without_specks(found, "p", least, size) if least > 1 else found
 
 
+def domain_norms(tiles: DataFrame, images: DataFrame, by: str = "domain", band: str = "luma", most: int = 60, share: float = 0.995, least: float = 30.0, size: int = SIZE) -> DataFrame:
+    """by, azimuth, images, pixels, norm of images(image_id, by, azimuth): for each domain its median azimuth, and the
+    percentile of the short gradient along it over the valid pixels of its first ``most`` images, ``least`` at least. The
+    gradient doesn't look from one image into another. A domain with fewer than 100 valid pixels has the norm ``least``;
+    rows without image, domain or azimuth are left out."""
+    rows = images.select("image_id", by, F.col("azimuth").cast("double").alias("azimuth")).dropna()
+    middle = percentiles(rows, [by], "azimuth", [0.5]).select(by, F.col("value").alias("azimuth"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("image_id"))  # each task keeps ``most`` of a domain
+    some = rows.select(by, "image_id").distinct().withColumn("_nth", nth).where(F.col("_nth") <= most).join(middle, by)
+    chosen = stored(some.select("image_id", by, "azimuth"))
+    smooth = raster.gaussian(2.0)
+
+    def kernel(a, inner):
+        return {"dg": mean(gradient(a[band], a["azimuth"], 8, 35, 8), smooth), "valid": good(a[band])}
+
+    # an image of several domains is looked at along each one's azimuth
+    every = tiles.join(chosen.select("image_id", "azimuth").distinct(), "image_id").withColumn("image_id", F.concat_ws("@", "image_id", "azimuth"))
+    found = on_tiles(every, kernel, 35 + 1 + 3 + len(smooth) // 2, (band,), {"dg": "array", "valid": "array"}, size, ("azimuth",))
+    pixel = pixels(found, ("dg", "valid")).where("valid = 1").select(F.col("image_id").alias("_key"), "dg")
+    keyed = chosen.select(by, F.concat_ws("@", "image_id", "azimuth").alias("_key"))
+    of = stored(pixel.join(keyed, "_key").select(by, "dg"))
+    tops = percentiles(of, [by], "dg", [share]).select(by, F.col("n").alias("pixels"), F.col("value").alias("_top"))
+    counts = chosen.groupBy(by, "azimuth").agg(F.count("*").alias("images"))
+    norm = F.when(F.coalesce("pixels", F.lit(0)) >= 100, F.greatest("_top", F.lit(float(least)))).otherwise(F.lit(float(least)))
+    return counts.join(tops, by, "left").select(by, "azimuth", "images", F.coalesce("pixels", F.lit(0)).alias("pixels"), norm.alias("norm"))
+
+
 def without_specks(tiles: DataFrame, band: str, least: int = 150, size: int = SIZE) -> DataFrame:
     """Tiles whose band is 0 outside components of at least ``least`` pixels over 0; a component may span any tiles."""
     spans = label_spans(tile_runs(tiles, band), cut=True)

@@ -551,7 +551,7 @@ def g13_naive(az):
 
 
 @query("azimuths", oracle="SELECT image_id%2 AS domain, round(median(azimuth),6) AS azimuth, round(greatest(quantile_cont(azimuth,0.995),30),6) AS norm FROM (SELECT *, dense_rank() OVER (PARTITION BY image_id%2 ORDER BY image_id) AS t FROM azimuths) WHERE t<=60 GROUP BY 1")
-def g14_norms(az):
+def g14_azimuth_percentiles(az):
     w = Window.partitionBy("domain").orderBy("image_id")
     some = az.withColumn("domain", F.col("image_id") % 2).withColumn("t", F.dense_rank().over(w)).where("t <= 60")
     return some.groupBy("domain").agg(F.round(F.median("azimuth"), 6).alias("azimuth"), F.round(F.greatest(F.percentile("azimuth", 0.995), F.lit(30.0)), 6).alias("norm"))
@@ -1090,6 +1090,26 @@ def l10_shadow_map_tiles(px):
     return TL.pixels(TL.shadow_map(TL.tiled(px, size=TILE), 215.0, size=TILE), ("p",)).select(*R.KEY, *r6("p"))
 
 
+def _norms() -> str:
+    """SQL for the norms of domains: a gradient whose rays depend on the domain's azimuth."""
+    ds = sorted({round(8 + 27 * k / 7) for k in range(8)})
+    best = lambda sign, c: f"{c}s AS (SELECT p.y, p.x, max(q.luma) AS {c} FROM px p JOIN rays r ON r.domain=(p.y//100000)%2 JOIN lit q ON q.y=p.y{sign}dy AND q.x=p.x{sign}dx GROUP BY 1,2)"
+    text = f"""WITH images AS (SELECT image_id, image_id%2 AS domain, CAST((image_id*37)%90+170 AS DOUBLE) AS azimuth FROM (SELECT DISTINCT image_id FROM mosaic)),
+med AS (SELECT domain, median(azimuth) AS azimuth FROM images GROUP BY 1), chosen AS (SELECT image_id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY image_id) AS t FROM images) WHERE t<=60),
+rays AS (SELECT domain, CAST(round(d*sin(radians(azimuth))) AS BIGINT) AS dx, CAST(round(-d*cos(radians(azimuth))) AS BIGINT) AS dy FROM med CROSS JOIN (VALUES {', '.join(f'({d})' for d in ds)}) t(d)),
+px AS (SELECT * FROM sheet WHERE y//100000 IN (SELECT image_id FROM chosen)), {_LIT}, {best('+', 's')}, {best('-', 'al')},
+g AS (SELECT px.y, px.x, CASE WHEN v.y IS NULL THEN 0 ELSE greatest(greatest(coalesce(s,luma)-luma,0)-CAST(0.4 AS DOUBLE)*greatest(coalesce(al,luma)-luma,0),0) END AS dg FROM px LEFT JOIN ss USING(y,x) LEFT JOIN als USING(y,x) LEFT JOIN v ON v.y=px.y AND v.x=px.x),
+{_mean('g', 'dg', R.gaussian(2.0), 'b')}, tops AS (SELECT (b.y//100000)%2 AS domain, count(*) AS pixels, quantile_cont(m, 0.995) AS top FROM b JOIN v ON v.y=b.y AND v.x=b.x GROUP BY 1)
+SELECT med.domain, round(azimuth,6) AS azimuth, (SELECT count(*) FROM chosen c WHERE c.domain=med.domain) AS images, pixels, round(greatest(top,30),6) AS norm FROM med JOIN tops ON tops.domain=med.domain"""
+    return re.sub(r"\bpx\b", "few", text)
+
+
+@query("mosaic", oracle=_norms())
+def g14_norms(px):
+    images = px.select("image_id").distinct().select("image_id", (F.col("image_id") % 2).alias("domain"), ((F.col("image_id") * 37) % 90 + 170).cast("double").alias("azimuth"))
+    return TL.domain_norms(TL.tiled(px, size=TILE), images, size=TILE).select("domain", *r6("azimuth"), "images", "pixels", *r6("norm"))
+
+
 def queries() -> dict:
     return dict(_ALL)
 

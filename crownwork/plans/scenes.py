@@ -30,6 +30,10 @@ SCENES = {
     "scans": """SELECT image_id, y, x, (CAST(floor(y/11) AS BIGINT)*91+CAST(floor(x/13) AS BIGINT)*57+image_id*40+noise)%256 AS luma
        FROM (SELECT image_id, CAST(floor(nth/width) AS BIGINT) AS y, nth%width AS x, noise FROM dots)""",
     "plane": "SELECT image_id*100000+y AS y, x, luma FROM scans",
+    "mosaic": """SELECT event_id%150 AS image_id, CAST(floor(q/8) AS BIGINT)*4+CAST(floor(k/4) AS BIGINT) AS y, (q%8)*4+k%4 AS x,
+       (CAST(floor((CAST(floor(q/8) AS BIGINT)*4+CAST(floor(k/4) AS BIGINT))/9) AS BIGINT)*83+CAST(floor(((q%8)*4+k%4)/7) AS BIGINT)*59+event_id%150*29+(event_id*13+k*k*7)%19)%256 AS luma
+       FROM (SELECT event_id, CAST(floor(event_id/150) AS BIGINT) AS q, k FROM events CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) t(k))""",
+    "sheet": "SELECT image_id*100000+y AS y, x, luma FROM mosaic",
     "span": """SELECT det_id AS obj_id, image_id, ymin + k.k AS y, xmin + (k.k*7)%5 AS x0, xmax - (k.k*3)%5 AS x1
        FROM det_box JOIN (SELECT DISTINCT l_linenumber*30+CAST(l_quantity AS INT)%30-30 AS k FROM lineitem) k ON k.k < ymax-ymin WHERE det_id%20=1""",
     "azimuths": """SELECT event_id AS crop_id, user_id%50 AS image_id, CAST((event_id*37+CAST(floor(value) AS BIGINT)*11)%360 AS DOUBLE) AS azimuth FROM events""",
@@ -41,7 +45,7 @@ def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A scene by name, or one of the tables."""
     if name not in SCENES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    needs = {"det_box": ["lineitem"], "gt_box": ["det_box"], "tile_meta": ["det_box", "nation", "region"], "px": ["events"], "patch": ["px"], "dots": ["events"], "scans": ["dots"], "plane": ["scans"], "span": ["det_box", "lineitem"], "azimuths": ["events"], "verdicts": ["conversations"]}[name]
+    needs = {"det_box": ["lineitem"], "gt_box": ["det_box"], "tile_meta": ["det_box", "nation", "region"], "px": ["events"], "patch": ["px"], "dots": ["events"], "scans": ["dots"], "plane": ["scans"], "mosaic": ["events"], "sheet": ["mosaic"], "span": ["det_box", "lineitem"], "azimuths": ["events"], "verdicts": ["conversations"]}[name]
     text = SCENES[name]
     for n in needs:
         text = text.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n}", f"JOIN {{{n}}}")
