@@ -1,30 +1,67 @@
-"""Non-maximum suppression in rounds: the same answer as a scan by score, without a scan."""
+"""Non-maximum suppression: the same answer as a scan by score, by groups that share no box."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area
 from ..functions.storage import discard, stored
+from .grouped import MOST, by_groups
 from .overlap import mask_measures, overlap_join
 
 
-def survivors(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def _dropped(t: pa.Table) -> pa.Table:
+    """Nodes that a kept node suppresses: each is looked at once all that may suppress it are settled."""
+    g, high, low = (t.column(c).to_numpy() for c in ("_g", "high", "low"))
+    codes = np.unique(np.concatenate([high, low]), return_inverse=True)[1]
+    code = np.unique(np.concatenate([g, g]), return_inverse=True)[1] * (codes.max(initial=0) + 1) + codes
+    nodes, code = np.unique(code, return_inverse=True)
+    h, l = code[: len(high)], code[len(high) :]
+    order = np.argsort(h, kind="stable")
+    h, l, ids = h[order], l[order], np.empty(len(nodes), np.int64)
+    ids[code] = np.concatenate([high, low])
+    waits, first = np.bincount(l, minlength=len(nodes)), np.searchsorted(h, np.arange(len(nodes) + 1)).tolist()
+    gone, ready, targets = np.zeros(len(nodes), bool), np.flatnonzero(waits == 0).tolist(), l.tolist()
+    while ready:
+        k = ready.pop()
+        for j in targets[first[k] : first[k + 1]]:
+            gone[j] |= not gone[k]
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    if waits.any():
+        raise ValueError("edges of suppression have a cycle")
+    return pa.table({"id": ids[gone]})
+
+
+def survivors(nodes: DataFrame, edges: DataFrame, by: tuple[str, ...] = (), most: int = MOST) -> DataFrame:
     """The nodes(id) that no kept node suppresses. edges(high, low): high suppresses low if high is kept; no cycles.
 
-    Each round keeps what nothing left suppresses, and drops its targets; edges of dropped nodes go."""
-    left, dropped = stored(edges), None
+    by: columns of the edges whose groups share no node, such as the image; then they are finished by group."""
+    own = edges.select(*by, F.col("high").cast("bigint").alias("high"), F.col("low").cast("bigint").alias("low"))
+    dropped = by_groups(own, list(by), (F.xxhash64("high"), F.xxhash64("low")), _dropped, "id bigint", _dropped_in_rounds, most)
+    return nodes.join(dropped, "id", "left_anti")
+
+
+def _dropped_in_rounds(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """Each round keeps what nothing left suppresses, and drops its targets; edges of dropped nodes go. A round's ids are
+    written once."""
+    left, dropped = stored(edges.select("high", "low")), []
     for _ in range(rounds):
         if left.isEmpty():
-            return nodes if dropped is None else nodes.join(dropped, "id", "left_anti")
+            out = left.select(F.col("low").alias("id"))
+            for d in dropped:
+                out = out.unionByName(d)
+            return out
         lows = left.select(F.col("low").alias("high")).distinct()
         now = stored(left.join(lows, "high", "left_anti").select(F.col("low").alias("id")).distinct())
-        earlier, dropped = dropped, now if dropped is None else stored(dropped.unionByName(now))
-        gone = now.withColumn("gone", F.lit(True))
-        rest = left.join(gone.withColumnRenamed("id", "low"), "low", "left_anti").join(gone.withColumnRenamed("id", "high"), "high", "left_anti")
+        dropped.append(now)
+        rest = left.join(now.withColumnRenamed("id", "low"), "low", "left_anti").join(now.withColumnRenamed("id", "high"), "high", "left_anti")
         before, left = left, stored(rest.select("high", "low"))
-        discard(before, earlier, now if earlier is not None else None)
+        discard(before)
     raise RuntimeError("suppression didn't end")
 
 
@@ -42,8 +79,8 @@ def box_nms(boxes: DataFrame, iou: float = 0.5, coverage: float | None = 0.5, by
     if coverage is not None:
         hit = hit | (inter >= area("r_") * coverage)
     slim = boxes.select(*by, key, score, "xmin", "ymin", "xmax", "ymax")
-    edges = overlap_join(slim, slim, by).where(_before(score, key) & hit).select(F.col(f"l_{key}").alias("high"), F.col(f"r_{key}").alias("low"))
-    kept = survivors(boxes.select(F.col(key).alias("id")), edges)
+    edges = overlap_join(slim, slim, by).where(_before(score, key) & hit).select(*[F.col(f"l_{c}").alias(c) for c in by], F.col(f"l_{key}").alias("high"), F.col(f"r_{key}").alias("low"))
+    kept = survivors(boxes.select(F.col(key).alias("id")), edges, by)
     return boxes.join(kept.withColumnRenamed("id", key), key, "left_semi")
 
 

@@ -166,12 +166,12 @@ def strict(det, gt):
     """One-to-one pairs of whatever overlap, and whether their IoU is over 0.4."""
     pairs = pairs_of(det, gt)
     exact = pairs.select("pred_id", "gt_id", (5 * F.col("inter") > 2 * (F.col("pa") + F.col("ga") - F.col("inter"))).alias("tp"))
-    return M.one_to_one(pairs.withColumn("value", F.col("iou"))).join(exact, ["pred_id", "gt_id"])
+    return M.one_to_one(pairs.withColumn("value", F.col("iou")), ("image_id",)).join(exact, ["pred_id", "gt_id"])
 
 
 def greedy(det, gt):
     pairs = pairs_of(det, gt).where("5 * inter >= 2 * (pa + ga - inter)")
-    return M.one_to_one(pairs.withColumn("value", F.col("iou")))
+    return M.one_to_one(pairs.withColumn("value", F.col("iou")), ("image_id",))
 
 
 @query("det_box", "gt_box", oracle=GREEDY + " SELECT pred_id, gt_id FROM matched")
@@ -214,9 +214,7 @@ done AS (SELECT model, image_id, arg_max(ps, r) AS ps, arg_max(gs, r) AS gs FROM
 def ordered(det, gt, hit="5 * inter >= 2 * pa", measure="iop"):
     """One matching for each model: its predictions and a copy of the ground truth."""
     pairs = pairs_of(det, gt).where(hit).withColumn("value", F.col(measure))
-    own = F.struct("model", "gt_id")
-    found = M.in_score_order(pairs.withColumn("gt_id", own))
-    return found.select("pred_id", "gt_id.model", "gt_id.gt_id")
+    return M.in_score_order(pairs, ("model", "image_id")).select("model", "pred_id", "gt_id")
 
 
 @query("det_box", "gt_box", oracle=ORDERED + " SELECT model, pred_id, gt_id FROM matched")
