@@ -92,12 +92,6 @@ def f2_strict_nms(det):
     return S.box_nms(det, 0.3, None, score="score_m", strict=True).select("det_id")
 
 
-@query("det_box", "span")
-def f2_mask_nms(det, span):
-    objects = det.where("det_id % 20 = 1").select(F.col("det_id").alias("obj_id"), F.col("score_m").alias("score"))
-    return S.mask_nms(objects, span).select("obj_id", "score")
-
-
 SPANS = """WITH a AS (SELECT obj_id, image_id, y, x0, x1 FROM span WHERE obj_id%2=1), areas AS (SELECT obj_id, sum(x1-x0) AS area FROM span GROUP BY obj_id),
 inters AS (SELECT l.obj_id AS l_id, r.obj_id AS r_id, sum(least(l.x1,r.x1)-greatest(l.x0,r.x0)) AS inter FROM span l JOIN span r ON l.image_id=r.image_id AND l.y=r.y AND l.x0<r.x1 AND r.x0<l.x1 AND l.obj_id<r.obj_id GROUP BY 1,2)"""
 
@@ -107,6 +101,22 @@ def e4_mask_overlap(span):
     return O.mask_measures(span, span).where("l_id < r_id").select("l_id", "r_id", "inter", *r6("iou", "iop"))
 
 
+MASK_NMS = SPANS.replace("WITH a AS", "WITH RECURSIVE a AS") + """, scored AS (SELECT det_id AS obj_id, image_id, score_m FROM det_box),
+pairs AS (SELECT l_id, r_id FROM inters JOIN areas p ON p.obj_id=l_id JOIN areas q ON q.obj_id=r_id WHERE CAST(inter AS DOUBLE)/(p.area+q.area-inter) > 0.3),
+foes AS (SELECT id, list(other) AS foes FROM (SELECT l_id AS id, r_id AS other FROM pairs UNION ALL SELECT r_id, l_id FROM pairs) GROUP BY 1),
+ranked AS (SELECT s.*, coalesce(foes, []) AS foes, row_number() OVER (PARTITION BY image_id ORDER BY score_m DESC, obj_id) AS r FROM scored s JOIN foes ON id=obj_id),
+scan AS (SELECT image_id, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT image_id FROM ranked)
+ UNION ALL SELECT s.image_id, n.r, CASE WHEN len(list_intersect(s.kept, n.foes))=0 THEN list_append(s.kept, n.obj_id) ELSE s.kept END FROM scan s JOIN ranked n ON n.image_id=s.image_id AND n.r=s.r+1),
+kept AS (SELECT unnest(kept) AS obj_id FROM (SELECT image_id, arg_max(kept, r) AS kept FROM scan GROUP BY 1))
+SELECT obj_id, score_m AS score FROM scored WHERE obj_id NOT IN (SELECT id FROM foes) OR obj_id IN (SELECT obj_id FROM kept)"""
+
+
+@query("det_box", "span", oracle=MASK_NMS)
+def f2_mask_nms(det, span):
+    objects = det.select(F.col("det_id").alias("obj_id"), F.col("score_m").alias("score"))
+    return S.mask_nms(objects, span).select("obj_id", "score")
+
+
 @query("span", oracle="SELECT obj_id, CAST(sum(x1-x0) AS BIGINT) AS area, min(x0) AS xmin, min(y) AS ymin, max(x1)-1 AS xmax, max(y) AS ymax FROM span GROUP BY obj_id")
 def c13_mask_bounds(span):
     return O.span_areas(span)

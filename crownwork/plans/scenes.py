@@ -34,8 +34,8 @@ SCENES = {
        (CAST(floor((CAST(floor(q/8) AS BIGINT)*4+CAST(floor(k/4) AS BIGINT))/9) AS BIGINT)*83+CAST(floor(((q%8)*4+k%4)/7) AS BIGINT)*59+event_id%150*29+(event_id*13+k*k*7)%19)%256 AS luma
        FROM (SELECT event_id, CAST(floor(event_id/150) AS BIGINT) AS q, k FROM events CROSS JOIN (VALUES (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11),(12),(13),(14),(15)) t(k))""",
     "sheet": "SELECT image_id*100000+y AS y, x, luma FROM mosaic",
-    "span": """SELECT det_id AS obj_id, image_id, ymin + k.k AS y, xmin + (k.k*7)%5 AS x0, xmax - (k.k*3)%5 AS x1
-       FROM det_box JOIN (SELECT DISTINCT l_linenumber*30+CAST(l_quantity AS INT)%30-30 AS k FROM lineitem) k ON k.k < ymax-ymin WHERE det_id%20=1""",
+    "span": """SELECT det_id AS obj_id, image_id, ymin + 2 + k.k AS y, xmin + (k.k*7)%5 AS x0, xmin + 12 + (xmax-xmin)%17 - (k.k*3)%5 AS x1
+       FROM det_box JOIN (SELECT DISTINCT l_linenumber*30+CAST(l_quantity AS INT)%30-30 AS k FROM lineitem) k ON k.k < 3 + (ymax-ymin)%13""",
     "azimuths": """SELECT event_id AS crop_id, user_id%50 AS image_id, CAST((event_id*37+CAST(floor(value) AS BIGINT)*11)%360 AS DOUBLE) AS azimuth FROM events""",
     "verdicts": """SELECT conv_id*100+turn AS row_id, concat('crowns ', CAST(conv_id%7 AS VARCHAR(4)), ', ', CAST(turn%5 AS VARCHAR(4)), CASE WHEN conv_id%11=0 THEN ' NONE' ELSE '' END) AS verdict, 4 AS n FROM conversations""",
 }
