@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import discard, stored
+from .percentiles import percentiles
 
 
 def runs(px: DataFrame) -> DataFrame:
@@ -87,16 +88,20 @@ def instances(px: DataFrame, value: str, threshold: float = 0.5, least: int = 50
     return out.where(F.col("area") >= least)
 
 
-def crown_proposals(px: DataFrame, value: str, azimuth: Column, width: int, height: int, threshold: float = 0.35, least: int = 200, back: float = 12.0, box: float = 90.0) -> DataFrame:
-    """A crown box for each shadow component: the mean of the tenth of its pixels that is nearest along the azimuth,
-    moved back by ``back`` pixels, with a box of ``box`` around it, within the image."""
+def crown_proposals(px: DataFrame, value: str, azimuth: Column, width: int, height: int, threshold: float = 0.35, least: int = 200, back: float = 12.0, box: int = 90, share: float = 0.1) -> DataFrame:
+    """A crown box for each shadow component: the mean of the tenth (``share``) of its pixels that is nearest along the
+    azimuth, moved back by ``back`` pixels, with a box of ``box`` around it, corners cut to whole numbers towards zero, within
+    the image. Boxes that are empty go."""
     on = px.where(F.col(value) >= threshold)
     spans = labelled(on.select("image_id", "y", "x"))
     large = measured(spans).where(F.col("area") >= least).select("image_id", "label")
     cells = spans.join(large, ["image_id", "label"]).select("image_id", "label", "y", F.explode(F.sequence(F.col("x0"), F.col("x1") - 1)).alias("x"))
     sx, sy = F.sin(F.radians(azimuth)), -F.cos(F.radians(azimuth))
-    along = cells.withColumn("t", F.col("x") * sx + F.col("y") * sy)
-    cut = along.groupBy("image_id", "label").agg(F.percentile("t", 0.1).alias("cut"))
+    along = stored(cells.withColumn("t", F.col("x") * sx + F.col("y") * sy))
+    cut = percentiles(along, ["image_id", "label"], "t", [share]).select("image_id", "label", F.col("value").alias("cut"))
     end = along.join(cut, ["image_id", "label"]).where("t <= cut").groupBy("image_id", "label").agg((F.avg("x") - back * sx).alias("cx"), (F.avg("y") - back * sy).alias("cy"))
-    clip = lambda c, top: F.greatest(F.least(c, F.lit(float(top))), F.lit(0.0))
-    return end.select("image_id", "label", clip(F.col("cx") - box / 2, width).alias("xmin"), clip(F.col("cy") - box / 2, height).alias("ymin"), clip(F.col("cx") + box / 2, width).alias("xmax"), clip(F.col("cy") + box / 2, height).alias("ymax"))
+    half = int(box) // 2
+    low = lambda c: F.greatest((F.col(c) - half).cast("bigint"), F.lit(0))
+    high = lambda c, top: F.least((F.col(c) + half).cast("bigint"), F.lit(top))
+    out = end.select("image_id", "label", low("cx").alias("xmin"), low("cy").alias("ymin"), high("cx", width).alias("xmax"), high("cy", height).alias("ymax"))
+    return out.where("xmax > xmin and ymax > ymin")

@@ -62,6 +62,6 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: list[float], b
     for side, r in ((low, "_r0"), (high, "_r1")):
         out = out.alias("o").join(side.alias("s"), [F.col(f"o.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by] + [F.col(f"o.{r}") == F.col(f"s.{r}")]).select("o.*", F.col("s." + r.replace("r", "v")))
     weight = F.col("_at") - F.col("_r0")
-    out = stored(out.select(*by, "share", F.col("_n").alias("n"), (F.col("_v0") * (1 - weight) + F.col("_v1") * weight).alias("value")))
+    out = stored(out.select(*by, "share", F.col("_n").alias("n"), F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(F.col("_v0") * (1 - weight) + F.col("_v1") * weight).alias("value")))
     discard(stats, wanted, exact)
     return out

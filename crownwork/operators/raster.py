@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .percentiles import percentiles
+
 KEY = ["image_id", "y", "x"]
 
 
@@ -289,7 +291,7 @@ def lab_shadow(px: DataFrame, share: float = 0.25, least: int = 100) -> DataFram
 
     l, a, _ = lab(F.col("r"), F.col("g"), F.col("b"))
     seen = px.select(*KEY, l.alias("_l"), a.alias("_a"))
-    cut = seen.groupBy("image_id").agg(F.percentile("_l", share).alias("_cut"))
+    cut = percentiles(seen, ["image_id"], "_l", [share]).select("image_id", F.col("value").alias("_cut"))
     mask = seen.join(cut, "image_id").where("_l < _cut and _a > -5").select(*KEY)
     return without_specks(closed(opened(mask, ellipse(5), px), ellipse(5), px), least)
 

@@ -20,6 +20,7 @@ from ..operators import spans as SP
 from ..operators import suppress as S
 from ..operators import tiles as TL
 from ..operators import tiling as T
+from ..operators.percentiles import percentiles
 from .scenes import scene, sql
 
 _ALL: dict = {}
@@ -565,12 +566,6 @@ def g14_azimuth_percentiles(az):
     return some.groupBy("domain").agg(F.round(F.median("azimuth"), 6).alias("azimuth"), F.round(F.greatest(F.percentile("azimuth", 0.995), F.lit(30.0)), 6).alias("norm"))
 
 
-@query("px", oracle="SELECT round(quantile_cont(luma,0.1),6) AS cut, count(*) AS n FROM px WHERE luma>15 AND luma<250")
-def g15_percentile(px):
-    good = px.where("luma > 15 and luma < 250")
-    return good.agg(F.round(F.percentile("luma", 0.1), 6).alias("cut"), F.count("*").alias("n"))
-
-
 @query("det_box", "tile_meta", oracle="SELECT biome_group, count(*) AS n_rows, count(DISTINCT image_id) AS images FROM det_box JOIN tile_meta USING(image_id) GROUP BY 1")
 def g16_profile(det, meta):
     return det.join(meta, "image_id").groupBy("biome_group").agg(F.count("*").alias("n_rows"), F.count_distinct("image_id").alias("images"))
@@ -807,10 +802,19 @@ def l22_instances(px):
     return CC.instances(px, "luma", 180, 5).select("label", "area", *r6("score"), "xmin", "ymin", "xmax", "ymax")
 
 
-@query("px")
+def _proposals() -> str:
+    sx, sy = f"{math.sin(math.radians(215.0)):.17e}", f"{-math.cos(math.radians(215.0)):.17e}"
+    whole = lambda c: f"CAST(trunc({c}) AS BIGINT)"
+    return LABELS.replace("luma < 60", "CAST(luma AS DOUBLE)/255 >= 0.7") + f""", t AS (SELECT l, n%1000 AS x, n//1000 AS y, (n%1000)*CAST({sx} AS DOUBLE)+(n//1000)*CAST({sy} AS DOUBLE) AS t FROM lab WHERE l IN (SELECT l FROM comp WHERE area>=20)),
+cut AS (SELECT l, quantile_cont(t, 0.1) AS cut FROM t GROUP BY 1), ends AS (SELECT l, avg(x)-12*CAST({sx} AS DOUBLE) AS cx, avg(y)-12*CAST({sy} AS DOUBLE) AS cy FROM t JOIN cut USING(l) WHERE t<=cut GROUP BY 1),
+b AS (SELECT l, greatest({whole('cx-45')},0) AS xmin, greatest({whole('cy-45')},0) AS ymin, least({whole('cx+45')},100) AS xmax, least({whole('cy+45')},100) AS ymax FROM ends)
+SELECT concat(CAST(l//1000 AS VARCHAR), '_', CAST(l%1000 AS VARCHAR)) AS label, xmin, ymin, xmax, ymax FROM b WHERE xmax>xmin AND ymax>ymin"""
+
+
+@query("px", oracle=_proposals())
 def l23_proposals(px):
     c = CC.crown_proposals(px.withColumn("p", F.col("luma") / 255.0), "p", F.lit(215.0), 100, 100, 0.7, 20)
-    return c.select("label", *r6(*B.SIDES))
+    return c.select("label", *B.SIDES)
 
 
 @query("px", oracle="SELECT y, x, round(greatest(least((luma-m)*1.5+m,255),0),6) AS luma FROM (SELECT *, avg(luma) OVER () AS m FROM px)")
@@ -966,9 +970,9 @@ def k4_validation_first(det, meta):
     return J.split(det.join(meta, "image_id"), "image_id", 0.2, least=1, names=("val", "train")).select("image_id", "fold").distinct()
 
 
-@query("det_box")
+@query("det_box", oracle="SELECT det_id, CASE WHEN row_number() OVER (ORDER BY (det_id*7919+7*104729)%10007, det_id) <= floor(0.8*count(*) OVER ()) THEN 'train' ELSE 'val' END AS fold FROM det_box")
 def k5_row_split(det):
-    return J.split_rows(det, 0.8, "det_id").select("det_id", "fold")
+    return J.split_rows(det, 0.8, "det_id", order=(F.col("det_id") * 7919 + 7 * 104729) % 10007).select("det_id", "fold")
 
 
 @query("det_box", "verdicts", oracle="SELECT det_id FROM det_box WHERE EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100) AND EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100+1) AND EXISTS (SELECT 1 FROM verdicts WHERE row_id=image_id*100+2)")
@@ -1050,9 +1054,43 @@ def l11_isotropic(px):
     return R.isotropic_map(px).select("y", "x", *r6("iso"))
 
 
-@query("patch")
+@query("px", oracle=f"WITH {_LIT} SELECT round(quantile_cont(luma,0.1),6) AS cut, count(*) AS n FROM lit")
+def g15_percentile(px):
+    """The darkness threshold over the eroded valid mask."""
+    found = percentiles(px.join(R.valid(px), R.KEY, "left_semi"), [], "luma", [0.1])
+    return found.select(F.round("value", 6).alias("cut"), "n")
+
+
+def greyish(px: DataFrame) -> DataFrame:
+    """Colours of little saturation, as of shadow on ground."""
+    return px.select(*R.KEY, F.col("luma").alias("r"), (F.col("luma") + F.col("x") % 5).alias("g"), (F.col("luma") + F.col("y") % 7).alias("b"))
+
+
+def _greyish(more: str) -> str:
+    lin = lambda c: f"CASE WHEN CAST({c} AS DOUBLE)/255 > 0.04045 THEN pow((CAST({c} AS DOUBLE)/255+0.055)/1.055, 2.4) ELSE CAST({c} AS DOUBLE)/255/12.92 END"
+    return f"""WITH RECURSIVE c AS (SELECT y, x, luma AS r, luma+x%5 AS g, luma+y%7 AS b FROM px), y0 AS (SELECT *, greatest(r,g,b) AS top, least(r,g,b) AS low, CAST(0.212671 AS DOUBLE)*({lin('r')})+CAST(0.71516 AS DOUBLE)*({lin('g')})+CAST(0.072169 AS DOUBLE)*({lin('b')}) AS lum FROM c),
+lv AS (SELECT y, x, CASE WHEN lum>0.008856 THEN 116*cbrt(lum)-16 ELSE CAST(903.3 AS DOUBLE)*lum END AS l, CAST(top AS DOUBLE)/255 AS v, CASE WHEN top=low THEN 0 ELSE CAST(top-low AS DOUBLE)/top END AS s, CAST(r+g+b AS DOUBLE)/3 AS i FROM y0){more}"""
+
+
+def _combined() -> str:
+    weights = R.blur(51)
+    labels = LABELS[len("WITH RECURSIVE ") :].replace("m AS (SELECT y, x FROM px WHERE luma < 60)", "m AS (SELECT y, x FROM t)")
+    return _greyish(f""", {_mean('lv', 's.l', weights, 'ml')}, {_mean('lv', 's.v', weights, 'mv')}, {_mean('lv', 's.i', weights, 'mi')},
+k AS (SELECT lv.y, lv.x FROM lv JOIN ml USING(y,x) JOIN mv USING(y,x) WHERE l < CAST(0.6 AS DOUBLE)*ml.m AND v < CAST(0.6 AS DOUBLE)*mv.m AND s < 0.6), {_tidy('k', 5, 't')}, {labels},
+u AS (SELECT n//1000 AS y, n%1000 AS x FROM lab JOIN comp USING(l) WHERE area>=50 UNION SELECT lv.y, lv.x FROM lv JOIN mi USING(y,x) WHERE i < CAST(0.6 AS DOUBLE)*mi.m), {_tidy('u', 5, 'w')}
+SELECT y, x FROM w""")
+
+
+@query("patch", oracle=_patches(_combined()))
 def l17_combined(px):
-    return R.combined_shadow(coloured(px)).select("y", "x")
+    return R.combined_shadow(greyish(px)).select("y", "x")
+
+
+@query("patch", oracle=_patches(_greyish(" SELECT y, x, round(l,6) AS l, round(s,6) AS s, round(v,6) AS v FROM lv")))
+def l3_lightness_and_saturation(px):
+    l, _, _ = R.lab(F.col("r"), F.col("g"), F.col("b"))
+    _, s, v = R.hsv(F.col("r"), F.col("g"), F.col("b"))
+    return greyish(px).select("y", "x", F.round(l, 6).alias("l"), F.round(s, 6).alias("s"), F.round(v, 6).alias("v"))
 
 
 # --- the same filters over tiles that exchange borders, on images of unequal size

@@ -33,11 +33,22 @@ def annotation_boxes(meta: DataFrame) -> DataFrame:
 
 
 def read_box_csv(spark: SparkSession, path: str, optional: str = "shadow_angle double, shadow_x double, shadow_y double, domain string") -> DataFrame:
-    """Boxes of CSV files with a header; optional columns that a file lacks are null."""
-    names = spark.read.option("header", True).csv(path).columns
+    """Boxes of CSV files with a header each; files may differ in the order of their columns and in what they have: a column
+    that a file lacks is null, one that isn't known is left out. Values that aren't of their column's kind are null."""
     kinds = {c.split()[0]: c.split()[1] for c in f"{BOX}, {optional}".split(", ")}
-    have = spark.read.option("header", True).csv(path)
-    return have.select(*[(F.col(c).cast(k) if c in names else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()])
+    line = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value", line.alias("at")).groupBy("file").agg(F.min_by("value", "at").alias("head"))
+    # a row for each layout; the reader takes lists of files
+    plain = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    layouts = heads.groupBy("head").agg(F.collect_list(plain).alias("files")).orderBy("head").collect()
+    parts = []
+    for r in layouts:
+        have = spark.read.option("header", True).csv(r["files"])
+        parts.append(have.select(*[(F.col(c).try_cast(k) if c in have.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()]))
+    out = spark.createDataFrame([], f"{BOX}, {optional}")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def read_azimuth_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -58,17 +69,32 @@ def read_voc_boxes(spark: SparkSession, path: str, name: str | None = None) -> D
     return out if name is None else out.where(F.col("name") == name)
 
 
-FEATURES = "features array<struct<properties: string, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>, crs string"
+FEATURES = "features array<struct<properties: string, geometry: string>>, crs string"
+
+
+def _polygons(g):
+    """The polygons of a geometry in VARIANT; a geometry of another type has none."""
+    one, many = F.try_variant_get(g, "$.coordinates", "array<array<array<double>>>"), F.try_variant_get(g, "$.coordinates", "array<array<array<array<double>>>>")
+    kind = F.try_variant_get(g, "$.type", "string")
+    return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
 
 
 def read_predictions_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each feature: file, properties, score (the first there is of deepforest_score, score,
-    Confidence and confidence, else 1.0) and ring. Files without features give no rows."""
+    """One row for each polygon of each feature: file, tree_id, score (the first there is of deepforest_score, score,
+    Confidence and confidence, else 1.0), bbox, part (from 0) and ring, the polygon's first. A MultiPolygon has a row a
+    part, a GeometryCollection one for each part of its polygons. A feature without polygons, of another type or with a
+    geometry that can't be read, has one row without ring. Files without features give no rows."""
     raw = spark.read.option("multiLine", True).schema(FEATURES).json(path).select(F.col("_metadata.file_name").alias("file"), F.explode("features").alias("f"))
     own = lambda name: F.get_json_object("f.properties", f"$.{name}")
     score = F.coalesce(*[own(c).try_cast("double") for c in ("deepforest_score", "score", "Confidence", "confidence")], F.lit(1.0))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
-    return raw.select("file", own("tree_id").try_cast("bigint").alias("tree_id"), score.alias("score"), F.from_json(own("bbox"), "array<double>").alias("bbox"), ring.alias("ring"))
+    g = F.try_parse_json("f.geometry")
+    held = F.try_variant_get(g, "$.geometries", "array<variant>")
+    none = F.array().cast("array<array<array<array<double>>>>")
+    parts = F.coalesce(_polygons(g), F.flatten(F.transform(held, lambda x: F.coalesce(_polygons(x), none))))
+    rows = raw.select("file", own("tree_id").try_cast("bigint").alias("tree_id"), score.alias("score"), F.from_json(own("bbox"), "array<double>").alias("bbox"), F.filter(parts, lambda p: p.isNotNull() & (F.size(p) > 0)).alias("parts"))
+    rows = rows.select("file", "tree_id", "score", "bbox", F.posexplode_outer("parts").alias("part", "polygon"))
+    ring = F.transform(F.col("polygon")[0], lambda c: F.struct(c[0].alias("x"), c[1].alias("y")))
+    return rows.select("file", "tree_id", "score", "bbox", F.coalesce("part", F.lit(0)).alias("part"), ring.alias("ring"))
 
 
 def read_detection_json(spark: SparkSession, path: str) -> DataFrame:

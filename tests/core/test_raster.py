@@ -167,4 +167,5 @@ def test_crown_proposals(spark):
     from pyspark.sql import functions as F
 
     r = components.crown_proposals(shadow, "p", F.lit(90.0), 200, 200).first()  # along x: the near end is the left side
-    assert (r["xmin"], r["ymin"], r["xmax"], r["ymax"]) == (0.0, 0.0, 30.5 - 12 + 45, 29.5 + 45)
+    assert (r["xmin"], r["ymin"], r["xmax"], r["ymax"]) == (0, 0, 63, 74)  # 30.5 - 12 + 45 and 29.5 + 45, cut to whole numbers
+    assert components.crown_proposals(shadow, "p", F.lit(270.0), 200, 10, box=10).isEmpty()  # beyond the image: no box
