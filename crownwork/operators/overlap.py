@@ -13,12 +13,15 @@ def _cells(df: DataFrame, cell: int) -> DataFrame:
     return df.withColumn("cx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("cy", F.explode(F.sequence(at("ymin"), at("ymax"))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("image_id",), cell: int = 256) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("image_id",), cell: int | None = 256) -> DataFrame:
     """Pairs of boxes that share some area, columns prefixed l_ and r_, with ``inter``.
 
     Both sides go to the grid cells that they touch and meet by equality of cell. A pair is kept only in the cell of its
-    intersection's least corner, so no pair comes twice. cell: about the 90th percentile of the boxes' sides."""
+    intersection's least corner, so no pair comes twice. cell: about the 90th percentile of the boxes' sides. None: for
+    boxes of any sizes, a grid for each size; see ``_join_by_levels``."""
     a, b = (df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((left, "l_"), (right, "r_")))
+    if cell is None:
+        return _join_by_levels(a, b, by)
     one = _cells(a.withColumnsRenamed({f"l_{c}": c for c in SIDES}), cell).withColumnsRenamed({c: f"l_{c}" for c in SIDES})
     two = _cells(b.withColumnsRenamed({f"r_{c}": c for c in SIDES}), cell).withColumnsRenamed({c: f"r_{c}" for c in SIDES})
     on = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in by] + [one["cx"] == two["cx"], one["cy"] == two["cy"]]
@@ -29,6 +32,46 @@ def overlap_join(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("imag
     return found.withColumn("inter", intersection("l_", "r_"))
 
 
+#: The side of a cell of level 0; each level's is four times that of the one before.
+FINEST = 16
+
+
+def _join_by_levels(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """A box's own level is the first whose cells are as wide as its longer side, so it touches four of them at most, and
+    no more of those of coarser levels. A pair meets at the own level of its larger box: the other one goes there too,
+    to each coarser level that the other table has. Two small boxes never meet in a large cell.
+
+    A box has at most 4 rows at its own level and 4 for each coarser level of the other table (13 levels reach from sides of
+    1 to 100 million)."""
+
+    def levelled(df, p):
+        side = F.greatest(F.col(f"{p}xmax") - F.col(f"{p}xmin"), F.col(f"{p}ymax") - F.col(f"{p}ymin"))
+        sound = df.where((F.col(f"{p}xmax") > F.col(f"{p}xmin")) & (F.col(f"{p}ymax") > F.col(f"{p}ymin")))
+        return sound.withColumn(f"{p}level", F.greatest(F.ceil(F.log2(side / FINEST) / 2), F.lit(0)).cast("int"))
+
+    def celled(df, p, levels):
+        size = F.pow(F.lit(4.0), F.col("level")) * FINEST
+        at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(f"{p}{lo}") / size), F.floor(F.col(f"{p}{hi}") / size)))
+        return df.withColumn("level", F.explode(levels)).withColumn("cx", at("xmin", "xmax")).withColumn("cy", at("ymin", "ymax"))
+
+    def met(one, two):
+        x, y = F.greatest("l_xmin", "r_xmin"), F.greatest("l_ymin", "r_ymin")
+        meets = (x < F.least("l_xmax", "r_xmax")) & (y < F.least("l_ymax", "r_ymax"))
+        on = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in by] + [one[c] == two[c] for c in ("level", "cx", "cy")]
+        size = F.pow(F.lit(4.0), one["level"]) * FINEST
+        here = (F.floor(x / size) == one["cx"]) & (F.floor(y / size) == one["cy"])
+        return one.join(two, on).where(meets & here).drop("level", "cx", "cy", "l_level", "r_level")
+
+    a, b = levelled(a, "l_"), levelled(b, "r_")
+    there = [sorted(r[0] for r in df.select(f"{p}level").distinct().collect()) for df, p in ((a, "l_"), (b, "r_"))]  # a row a level
+    above = lambda p, levels: F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k > F.col(f"{p}level"))
+    own_a, own_b = celled(a, "l_", F.array("l_level")), celled(b, "r_", F.array("r_level"))
+    # the right box is as large or larger; then the left one is larger
+    up_a = celled(a, "l_", F.concat(F.array("l_level"), above("l_", there[1])))
+    found = met(up_a, own_b).unionByName(met(own_a, celled(b, "r_", above("r_", there[0]))))
+    return found.withColumn("inter", intersection("l_", "r_"))
+
+
 def pair_measures(pairs: DataFrame) -> DataFrame:
     """iou, and what share of each side the intersection is."""
     a, b = area("l_"), area("r_")

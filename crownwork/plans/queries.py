@@ -66,6 +66,16 @@ def e2_overlap_join(det, gt):
     return pairs_of(det, gt).select("pred_id", "gt_id", "inter", *r6("iou", "iop"))
 
 
+_GROWN = "xmin + CASE WHEN det_id%500=1 THEN 40000+det_id%60000 WHEN det_id%50=2 THEN 1+det_id%3 WHEN det_id%7=3 THEN 10 ELSE {side} END"
+
+
+@query("det_box", "gt_box", oracle=f"WITH d AS (SELECT det_id, image_id, xmin, ymin, {_GROWN.format(side='xmax-xmin')} AS xmax, {_GROWN.format(side='ymax-ymin').replace('xmin + ', 'ymin + ')} AS ymax FROM det_box) SELECT det_id, gt_id, CAST({INTER} AS BIGINT) AS inter FROM d a JOIN gt_box b ON a.image_id=b.image_id AND least(a.xmax,b.xmax)>greatest(a.xmin,b.xmin) AND least(a.ymax,b.ymax)>greatest(a.ymin,b.ymin)")
+def e2_boxes_of_any_size(det, gt):
+    grown = lambda low, high: F.col(low) + F.when(F.col("det_id") % 500 == 1, 40000 + F.col("det_id") % 60000).when(F.col("det_id") % 50 == 2, 1 + F.col("det_id") % 3).when(F.col("det_id") % 7 == 3, 10).otherwise(F.col(high) - F.col(low))
+    own = det.select("det_id", "image_id", "xmin", "ymin", grown("xmin", "xmax").alias("xmax"), grown("ymin", "ymax").alias("ymax"))
+    return O.overlap_join(own, gt, cell=None).select(F.col("l_det_id").alias("det_id"), F.col("r_gt_id").alias("gt_id"), "inter")
+
+
 @query("det_box", "gt_box", oracle=f"WITH {PAIRS} SELECT image_id, CAST(count(*) AS BIGINT) AS n, round(max({IOU}),6) AS top_iou, round(max({IOP}),6) AS l_share, round(max(CAST(inter AS DOUBLE)/ga),6) AS r_share FROM pairs GROUP BY image_id")
 def e3_pair_measures(det, gt):
     m = O.pair_measures(O.overlap_join(det, gt))
