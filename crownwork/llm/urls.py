@@ -63,19 +63,32 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+#: A labelled URL's shares come from the labelled URLs of the other folds.
+FOLDS = 5
+
+
 def with_shares(found: DataFrame, known: DataFrame, column: str, share: float, broadcast_bytes: int, salts: int = 16) -> DataFrame:
-    """found with the smoothed share of blocked URLs of known by its suffix in column; share for a suffix that known lacks."""
+    """found with the smoothed share of blocked URLs of known by its suffix in column; share for a suffix that known lacks.
+
+    A row of known gets the share without the fold that its URL is in, so its own label isn't in its feature, nor is that
+    of the same URL in another row; other rows get the share of all."""
     name = column.replace("label", "suffix")
-    by = known.groupBy(column).agg(F.count("*").alias("n"), F.sum("block").alias("blocked"))
-    shares = stored(by.select(column, ((F.col("blocked") + 5 * share) / (F.col("n") + 5)).alias(name)))
-    size = shares.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + 24)).first()[0] or 0
+    fold = F.pmod(F.xxhash64("url", F.lit(11)), F.lit(FOLDS)).cast("int")
+    parts = known.groupBy(column, fold.alias("_fold")).agg(F.count("*").alias("n"), F.sum("block").alias("blocked"))
+    by = parts.groupBy(column).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("_fold", F.struct("n", "blocked")))).alias("own"))  # ``FOLDS`` entries
+    each = by.select(column, "n", "blocked", "own", F.explode(F.array(*map(F.lit, range(-1, FOLDS)))).alias("_fold"))
+    own = F.try_element_at("own", F.col("_fold"))
+    n, blocked = F.col("n") - F.coalesce(own["n"], F.lit(0)), F.col("blocked") - F.coalesce(own["blocked"], F.lit(0.0))
+    shares = stored(each.select(column, "_fold", ((blocked + 5 * share) / (n + 5)).alias(name)))
+    placed = found.withColumn("_fold", F.when(F.col("block").isNotNull(), fold).otherwise(-1))
+    size = shares.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)) + 28)).first()[0] or 0
     if size <= broadcast_bytes:
-        out = found.join(F.broadcast(shares), column, "left")
+        out = placed.join(F.broadcast(shares), [column, "_fold"], "left")
     else:  # a common suffix goes to ``salts`` tasks
         shares = shares.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        salted = found.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-        out = salted.join(shares, [column, "_salt"], "left").drop("_salt")
-    return out.fillna(share, [name])
+        salted = placed.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
+        out = salted.join(shares, [column, "_fold", "_salt"], "left").drop("_salt")
+    return out.drop("_fold").fillna(share, [name])
 
 
 def judged(pages: DataFrame, rules: list[tuple[str, str]], sample: int = 20_000, trees: int = 10, depth: int = 4, seed: int = 1, broadcast_bytes: int = 16 << 20) -> DataFrame:
@@ -83,7 +96,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], sample: int = 20_000,
 
     verdict: the rule's, else the trees' (block at a chance of at least 1/2). Where the rules leave nothing to learn
     from (no URL, or all of one verdict), URLs without a rule get that one verdict, or allow. Each row is judged, a
-    repeated one too."""
+    repeated one too. Of equally long rules that fit, which can only be one rule given twice, the last one's action holds."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"))
     verdict = F.element_at(F.create_map(*[F.lit(x) for action, rule in rules for x in (rule, action)]), F.col("rule")) if rules else F.lit(None).cast("string")
     found = lexical(parsed(own).withColumn("rule", rule_of(rules))).withColumn("by_rule", F.when(F.col("rule").isNotNull(), verdict))

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from crownwork.llm import ann, licenses, queries, urls
 
@@ -111,11 +112,23 @@ def by_hand(url):
 
 @pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
 def test_every_suffix_has_its_share(spark, broadcast_bytes):
-    rows = [(n, f"https://www.site{n % 1500}.org/{n}", f"site{n % 1500}.org", float(n % 1500 % 3 == 0)) for n in range(3000)] + [(9000, "https://new.org/", "new.org", None)]
+    rows = [(n, f"https://www.site{n % 1500}.org/{n % 2900}", f"site{n % 1500}.org", float(n % 1500 % 3 == 0)) for n in range(3000)]
+    rows += [(9000, "https://new.org/", "new.org", None), (9001, "https://site3.org/", "site3.org", None)]
     found = spark.createDataFrame(rows, "page_id bigint, url string, label_2 string, block double")
     got = {r["page_id"]: r["suffix_2"] for r in urls.with_shares(found, found.where("block is not null"), "label_2", 0.25, broadcast_bytes).collect()}
-    assert len(got) == 3001 and got[9000] == 0.25
-    assert all(math.isclose(got[n], (2 * b + 5 * 0.25) / 7) for n, _, _, b in rows[:3000])
+    assert len(got) == 3002 and got[9000] == 0.25 and math.isclose(got[9001], (2 + 5 * 0.25) / 7)
+    fold = {r["page_id"]: r["f"] for r in found.selectExpr("page_id", f"pmod(xxhash64(url, 11), {urls.FOLDS}) f").collect()}
+    for n, _, suffix, b in rows[:3000]:  # what the URLs of the other folds say
+        others = [r[3] for r in (rows[n % 1500], rows[n % 1500 + 1500]) if fold[r[0]] != fold[n]]
+        assert math.isclose(got[n], (sum(others) + 5 * 0.25) / (len(others) + 5))
+
+
+def test_unique_hosts_teach_nothing_of_their_own_label(spark):
+    """Each host is seen once, so its share is everybody's: trees that saw their own labels would go by the host."""
+    rows = [(i, f"http://h{i}.com/{'de' if i % 2 else 'fr'}/a") for i in range(600)]
+    own = urls.lexical(urls.parsed(spark.createDataFrame(rows, "page_id bigint, url string"))).withColumn("block", (F.col("page_id") % 2).cast("double"))
+    shares = urls.with_shares(own, own, "label_2", 0.5, 1 << 20).select("suffix_2").distinct().collect()
+    assert [r["suffix_2"] for r in shares] == [0.5]
 
 
 def test_urls(spark):
