@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,15 +13,20 @@ from pyspark.sql.streaming import DataStreamWriter
 def ingest_tiles(stream: DataFrame, biomes: list[str], path: str, checkpoint: str) -> DataStreamWriter:
     """Appends the tiles of the wanted biomes to Parquet at path, each image_id once, however long ago it was first seen.
 
-    A batch is written to a folder of its own, which takes the place of what an interrupted try left there."""
+    A batch is written to a folder of its own (run=..., batch=...), which takes the place of what an interrupted try of it
+    left there. A run is named by its checkpoint, so one with a new checkpoint adds to what earlier ones wrote. Tiles
+    without image_id can't be told apart and are left out."""
 
     def add(batch: DataFrame, number: int) -> None:
-        new = batch.where(F.col("biome_name").isin(*biomes)).dropDuplicates(["image_id"])
-        spark, own = batch.sparkSession, f"{path}/batch={number}"
-        known = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])).parquet(path) if number else None
-        if known is not None:
-            new = new.join(known.where(F.col("batch") != number).select("image_id"), "image_id", "left_anti").select(*batch.columns)
-        new.write.mode("overwrite").parquet(own)
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        new = batch.where(F.col("biome_name").isin(*biomes) & F.col("image_id").isNotNull()).dropDuplicates(["image_id"])
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            kept = T.StructType([new.schema["image_id"], T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
+            known = spark.read.schema(kept).parquet(path).where((F.col("run") != run) | (F.col("batch") != number))
+            new = new.join(known.select("image_id"), "image_id", "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 

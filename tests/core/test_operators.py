@@ -201,6 +201,10 @@ def test_streams_equal_batches(spark, tmp_path):
     ingest.ingest_tiles(stream, ["A"], str(tmp_path / "out"), str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     got = sorted(r["image_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted({r[0] for r in rows if r[1] == "A"})
+    spark.createDataFrame([(None, "A", 1), (501, "A", 1)], "image_id bigint, biome_name string, s bigint").selectExpr("image_id", "biome_name", "timestamp_seconds(s) ts").write.mode("append").parquet(str(tmp_path / "in"))
+    # the checkpoint is lost: all is looked at again, and what was written stays
+    ingest.ingest_tiles(stream, ["A"], str(tmp_path / "out"), str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["image_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted([*got, 501])
     values = spark.range(60).selectExpr("id % 7 tile_id", "id % 10 / 10.0 value").selectExpr("tile_id", "cast(value as double) value")
     values.repartition(3).write.parquet(str(tmp_path / "v"))
     live = ingest.live_metrics(spark.readStream.schema(values.schema).parquet(str(tmp_path / "v")))
