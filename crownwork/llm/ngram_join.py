@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, small_batches, small_hint, stored
+from .common import discard, forget, small_batches, small_hint, stored
 from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -569,4 +569,6 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
     of = linked_nodes.join(labels, "root").select("node", "component_id")
     of = nodes.join(of, "node", "left").select("node", F.coalesce("component_id", "first").alias("of_node"))
     out = rows.select("doc_id", "n", "node").join(of, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("of_node")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("of_node")).otherwise(F.col("doc_id")).alias("component_id")))
+    discard(found, known, pairs, families, sizes, linked_nodes)
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, small_batches, small_hint, stored
+from .common import discard, forget, small_batches, small_hint, stored
 from .ngram_join import mixed
 
 GRAM = 24
@@ -330,7 +330,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> tuple[DataFrame, DataF
     columns = ("ord", "th", "lo", "n")
     strings = runs.where("again").select(*columns).unionByName(verdicts.where("whole").select(*columns)).unionByName(compared)
     by_doc = strings.groupBy("ord", "th").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    return keyed, stored(by_doc.mapInArrow(_united(length), "ord bigint, th bigint, spans array<bigint>"))
+    spans = stored(by_doc.mapInArrow(_united(length), "ord bigint, th bigint, spans array<bigint>"))
+    discard(runs, verdicts)
+    return keyed, spans
 
 
 def _cut(digest: bool):
