@@ -14,6 +14,7 @@ from ..operators import components as CC
 from ..operators import joins as J
 from ..operators import match as M
 from ..operators import metrics as G
+from ..operators import outlines as OL
 from ..operators import overlap as O
 from ..operators import raster as R
 from ..operators import spans as SP
@@ -1019,6 +1020,70 @@ def l28_outlines(det):
     return SP.outlines(SP.ring_spans(rings(det))).select("obj_id", "area", F.size("ring").alias("points"))
 
 
+#: Shapes of a box, as parts, their rings and corners: a slanted outline with a hole, and a ring that crosses itself over it.
+_W, _H = "12+(xmax-xmin)%17", "9+(ymax-ymin)%13"
+SHAPES = [
+    [
+        [("xmin+det_id%3", "ymin"), (f"xmin+{_W}", "ymin+det_id%4"), (f"xmin-2+{_W}", f"ymin+{_H}"), ("xmin", f"ymin-det_id%5+{_H}")],
+        [("xmin+4", "ymin+4"), ("xmin+9", "ymin+3"), ("xmin+6", "ymin+7")],
+    ],
+    [[(f"xmin-4+{_W}", "ymin+2"), (f"xmin+6+{_W}", "ymin+8"), (f"xmin+6+{_W}", "ymin+2"), (f"xmin-4+{_W}", "ymin+8")]],
+]
+
+
+def shapes(det: DataFrame) -> DataFrame:
+    corner = lambda x, y: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"))
+    parts = F.array(*[F.array(*[F.array(*[corner(*c) for c in ring]) for ring in rings_]) for rings_ in SHAPES])
+    return det.select(F.col("det_id").alias("obj_id"), "image_id", parts.alias("parts"))
+
+
+_EDGES = [(k, a, b) for k, rings_ in enumerate(SHAPES) for ring in rings_ for a, b in zip(ring, ring[1:] + ring[:1])]
+EDGES = "SELECT det_id AS obj_id, image_id, unnest([" + ", ".join("{'part': %d, 'xa': CAST(%s AS DOUBLE), 'ya': CAST(%s AS DOUBLE), 'xb': CAST(%s AS DOUBLE), 'yb': CAST(%s AS DOUBLE)}" % (k, *a, *b) for k, a, b in _EDGES) + "]) AS e FROM det_box"
+#: mask: the shapes' pixels, one by one, and what stands side by side of them as spans.
+MASKS = f"""edges AS ({EDGES}),
+edge_rows AS (SELECT obj_id, image_id, e, unnest(range(CAST(ceil(least(e.ya,e.yb)-0.5) AS BIGINT), CAST(ceil(greatest(e.ya,e.yb)-0.5) AS BIGINT))) AS y FROM edges),
+crossed AS (SELECT obj_id, image_id, e.part AS part, y, e.xa+(y+0.5-e.ya)*(e.xb-e.xa)/(e.yb-e.ya) AS x FROM edge_rows),
+paired AS (SELECT obj_id, image_id, y, CAST(ceil(x-0.5) AS BIGINT) AS a, CAST(ceil(lead(x) OVER w - 0.5) AS BIGINT) AS b, row_number() OVER w AS r FROM crossed WINDOW w AS (PARTITION BY obj_id, image_id, part, y ORDER BY x)),
+dot AS (SELECT DISTINCT obj_id, image_id, y, unnest(range(a,b)) AS x FROM paired WHERE r%2=1 AND b>a),
+mask AS (SELECT obj_id, image_id, y, min(x) AS x0, max(x)+1 AS x1 FROM (SELECT *, x-row_number() OVER (PARTITION BY obj_id, image_id, y ORDER BY x) AS g FROM dot) GROUP BY obj_id, image_id, y, g)"""
+
+
+@query("det_box", oracle=f"WITH {MASKS} SELECT obj_id, image_id, y, x0, x1 FROM mask")
+def l27_polygon_spans(det):
+    return SP.polygon_spans(shapes(det))
+
+
+@query("det_box", oracle=MASK_NMS.replace("FROM span", "FROM mask").replace("JOIN span", "JOIN mask").replace("WITH RECURSIVE ", f"WITH RECURSIVE {MASKS}, "))
+def f2_polygon_nms(det):
+    objects = det.select(F.col("det_id").alias("obj_id"), F.col("score_m").alias("score"))
+    return S.mask_nms(objects, SP.polygon_spans(shapes(det))).select("obj_id", "score")
+
+
+OUTER = "SELECT det_id AS obj_id, unnest([" + ", ".join("{'xa': CAST(%s AS DOUBLE), 'ya': CAST(%s AS DOUBLE), 'xb': CAST(%s AS DOUBLE), 'yb': CAST(%s AS DOUBLE)}" % (*a, *b) for _, a, b in _EDGES[:4]) + "]) AS e FROM det_box"
+
+
+@query("det_box", oracle=f"""WITH edges AS ({OUTER}), c AS (SELECT obj_id, e.xa*e.yb-e.xb*e.ya AS c, e.xa+e.xb AS x, e.ya+e.yb AS y FROM edges)
+SELECT obj_id, abs(sum(c))/2 AS area, round(sum(c*x)/(3*sum(c)),6) AS cx, round(sum(c*y)/(3*sum(c)),6) AS cy FROM c GROUP BY obj_id""")
+def l29_slanted_area(det):
+    centre, outer = SP.ring_centroid(), shapes(det).select("obj_id", F.col("parts")[0][0].alias("ring"))
+    return outer.select("obj_id", SP.ring_area().alias("area"), F.round(centre["x"], 6).alias("cx"), F.round(centre["y"], 6).alias("cy"))
+
+
+#: Of the four pixels around a place, one or three make a corner, two across from each other two. Outer rings less holes
+#: are a quarter of: places with one, less those with three, and twice those with two across.
+CORNERS = f"""WITH {MASKS}, around AS (SELECT obj_id, y+dy AS y, x+dx AS x, count(*) AS n, sum(1+dx+2*dy) AS which FROM dot CROSS JOIN (VALUES (0),(1)) p(dx) CROSS JOIN (VALUES (0),(1)) q(dy) GROUP BY 1,2,3),
+told AS (SELECT obj_id, count(*) FILTER (WHERE n=1) AS one, count(*) FILTER (WHERE n=3) AS three, count(*) FILTER (WHERE n=2 AND which=5) AS across FROM around GROUP BY 1),
+sizes AS (SELECT obj_id, CAST(count(*) AS DOUBLE) AS area FROM dot GROUP BY 1)
+SELECT obj_id, area, CAST(one+three+2*across AS BIGINT) AS corners, CAST((one-three+2*across)//4 AS BIGINT) AS outer_less_holes FROM told JOIN sizes USING(obj_id)"""
+
+
+@query("det_box", oracle=CORNERS)
+def l28_rings(det):
+    _, every = OL.rings(SP.polygon_spans(shapes(det)))
+    holes = F.count_if(F.col("area") < 0)
+    return every.groupBy("obj_id").agg(F.sum("area").alias("area"), F.sum("corners").alias("corners"), (F.count("*") - 2 * holes).alias("outer_less_holes"))
+
+
 PARTS = "WITH b AS (SELECT det_id AS box_id, image_id, xmin, ymin, xmax, ymax FROM det_box), p AS (SELECT box_id, obj_id, sum(greatest(least(x1,xmax)-greatest(x0,xmin),0)) AS inter FROM b JOIN span USING(image_id) WHERE y>=ymin AND y<ymax GROUP BY 1,2), a AS (SELECT obj_id, sum(x1-x0) AS area FROM span GROUP BY 1)"
 
 
