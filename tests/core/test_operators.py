@@ -205,6 +205,10 @@ def test_streams_equal_batches(spark, tmp_path):
     # the checkpoint is lost: all is looked at again, and what was written stays
     ingest.ingest_tiles(stream, ["A"], str(tmp_path / "out"), str(tmp_path / "other")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["image_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted([*got, 501])
+    # each run has the ids it saw in its state, and a batch of the only run reads nothing that was written
+    alone = ingest.ingest_tiles(stream, ["A"], str(tmp_path / "alone"), str(tmp_path / "state")).trigger(availableNow=True).start()
+    alone.awaitTermination()
+    assert alone.lastProgress["stateOperators"][0]["numRowsTotal"] == len(got) + 1 and len(list((tmp_path / "alone").iterdir())) == 1
     values = spark.range(60).selectExpr("id % 7 tile_id", "id % 10 / 10.0 value").selectExpr("tile_id", "cast(value as double) value")
     values.repartition(3).write.parquet(str(tmp_path / "v"))
     live = ingest.live_metrics(spark.readStream.schema(values.schema).parquet(str(tmp_path / "v")))
