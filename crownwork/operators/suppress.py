@@ -1,16 +1,19 @@
-"""Non-maximum suppression: the same answer as a scan by score, by groups that share no box."""
+"""Non-maximum suppression: the same answer as a scan by score, by prefixes of that order and by groups that share no box."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area
 from ..functions.storage import discard, stored
 from .grouped import MOST, by_groups
-from .overlap import mask_measures, overlap_join
+from .metrics import running_sums
+from .overlap import celled_spans, mask_measures, overlap_join, with_cells
 
 
 def _dropped(t: pa.Table) -> pa.Table:
@@ -65,30 +68,83 @@ def _dropped_in_rounds(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("suppression didn't end")
 
 
-def _before(score: str, key: str):
-    """Whether the left row comes first: greater score, of equal ones the smaller id."""
-    a, b = F.col(f"l_{score}"), F.col(f"r_{score}")
-    return (a > b) | ((a == b) & (F.col(f"l_{key}") < F.col(f"r_{key}")))
+def _before(a: Column, b: Column, one: Column, two: Column) -> Column:
+    """Whether the row of score a and id one comes before that of b and two: greater score, of equal ones the smaller id."""
+    return (a > b) | ((a == b) & (one < two))
+
+
+def _cuts(n: int, meetings: float, pairs: int = 256) -> list[int]:
+    """Ranks at which the prefixes end, each four times as long as that before it. meetings: how many pairs of rows have
+    a cell in common; of the first prefix there are about ``pairs`` for each row of the table at most."""
+    steps = 0
+    while meetings > pairs * max(n, 1) * 16**steps:
+        steps += 1
+    return [n // 4**k for k in range(steps, -1, -1)]
+
+
+def _meetings(cells: DataFrame, *by: str) -> float:
+    return cells.groupBy(*by).count().agg(F.coalesce(F.sum(F.col("count").cast("double") ** 2), F.lit(0.0))).first()[0]
+
+
+def kept_by_prefixes(rows: DataFrame, order: DataFrame, cuts: list[int], edges: Callable[[DataFrame, DataFrame], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """The ids of rows(id, ...) that a scan in order(id, score) keeps: greatest score first, of equal ones the smaller id.
+    edges(a, b): (by, high, low) of the pairs where a row of a suppresses a later one of b, if it is kept itself. Several
+    rows may have one id, such as a mask's spans. cuts: where the prefixes of that order end, the last one with the last id.
+
+    What the prefixes before have kept clears the next one first, so only pairs of rows that are still open are written: not
+    all pairs, whose number grows with the square of the rows at a place."""
+    if len(cuts) == 1:
+        return survivors(order.select("id"), edges(rows, rows), by)
+    ranked = running_sums(order.select("id", "score").withColumn("_one", F.lit(1)), [], [F.desc("score"), F.asc("id")], {"_one": "_r"})
+    own = rows.join(ranked.select("id", "_r"), "id")
+    level = F.lit(0)
+    for c in cuts[:-1]:
+        level = level + (F.col("_r") > c).cast("int")
+    dealt = stored(own.withColumn("_level", level).drop("_r"))
+    done = None
+    for k in range(len(cuts)):
+        now = dealt.where(F.col("_level") == k)
+        if done is not None:
+            now = stored(now.join(edges(done, now).select(F.col("low").alias("id")).distinct(), "id", "left_anti"))
+        kept = stored(now.join(survivors(now.select("id").distinct(), edges(now, now), by), "id", "left_semi"))
+        if done is not None:
+            discard(now)
+        done = kept if done is None else done.unionByName(kept)
+    discard(dealt)
+    return done.select("id").distinct()
 
 
 def box_nms(boxes: DataFrame, iou: float = 0.5, coverage: float | None = 0.5, by: tuple[str, ...] = ("image_id",), key: str = "det_id", score: str = "score", strict: bool = False) -> DataFrame:
     """The boxes that are left. A kept box suppresses a later one if their IoU is at least ``iou`` (strict: above it)
-    or at least ``coverage`` of the later one is common."""
+    or at least ``coverage`` of the later one is common. Boxes without a score stay and suppress none."""
     inter, union = F.col("inter"), area("l_") + area("r_") - F.col("inter")
     hit = (inter > union * iou) if strict else (inter >= union * iou)
     if coverage is not None:
         hit = hit | (inter >= area("r_") * coverage)
-    slim = boxes.select(*by, key, score, "xmin", "ymin", "xmax", "ymax")
-    edges = overlap_join(slim, slim, by).where(_before(score, key) & hit).select(*[F.col(f"l_{c}").alias(c) for c in by], F.col(f"l_{key}").alias("high"), F.col(f"r_{key}").alias("low"))
-    kept = survivors(boxes.select(F.col(key).alias("id")), edges, by)
-    return boxes.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    first = _before(F.col("l_score"), F.col("r_score"), F.col("l_id"), F.col("r_id"))
+
+    def edges(a, b):
+        return overlap_join(a, b, by).where(first & hit).select(*[F.col(f"l_{c}").alias(c) for c in by], F.col("l_id").alias("high"), F.col("r_id").alias("low"))
+
+    slim = stored(boxes.where(F.col(score).isNotNull()).select(*by, F.col(key).alias("id"), F.col(score).alias("score"), "xmin", "ymin", "xmax", "ymax"))
+    cuts = _cuts(slim.count(), _meetings(with_cells(slim, 256), *by, "cx", "cy"))
+    kept = kept_by_prefixes(slim, slim, cuts, edges, by).select(F.col("id").alias(key))
+    return boxes.where(F.col(score).isNull()).unionByName(boxes.join(kept, key, "left_semi"))
 
 
 def mask_nms(objects: DataFrame, spans: DataFrame, iou: float = 0.3, key: str = "obj_id", score: str = "score") -> DataFrame:
-    """The objects(obj_id, score) left of masks given as spans; an IoU above ``iou`` suppresses."""
-    pairs = mask_measures(spans, spans).where((F.col("l_id") != F.col("r_id")) & (F.col("iou") > iou))
-    scored = objects.select(F.col(key).alias("k"), F.col(score).alias("s"))
-    both = pairs.join(scored.select(F.col("k").alias("l_id"), F.col("s").alias("ls")), "l_id").join(scored.select(F.col("k").alias("r_id"), F.col("s").alias("rs")), "r_id")
-    first = (F.col("ls") > F.col("rs")) | ((F.col("ls") == F.col("rs")) & (F.col("l_id") < F.col("r_id")))
-    kept = survivors(objects.select(F.col(key).alias("id")), both.where(first).select(F.col("l_id").alias("high"), F.col("r_id").alias("low")))
-    return objects.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    """The objects(obj_id, score) left of masks given as spans; an IoU above ``iou`` suppresses. Those without a span or a
+    score stay."""
+    scored = objects.where(F.col(score).isNotNull()).select(F.col(key).alias("id"), F.col(score).alias("score"))
+    rows = stored(spans.where("x1 > x0").withColumnRenamed("obj_id", "id").join(scored, "id"))
+    first = _before(F.col("l_id.score"), F.col("r_id.score"), F.col("l_id.id"), F.col("r_id.id"))
+
+    def edges(a, b):
+        own = [df.select(F.struct("id", "score").alias("obj_id"), "image_id", "y", "x0", "x1") for df in (a, b)]
+        pairs = mask_measures(*own).where(first & (F.col("iou") > iou))
+        return pairs.select(F.col("l_id.id").alias("high"), F.col("r_id.id").alias("low"))
+
+    order = stored(rows.select("id", "score").distinct())
+    cuts = _cuts(order.count(), _meetings(celled_spans(rows, 64), "image_id", "y", "c"))
+    kept = kept_by_prefixes(rows, order, cuts, edges).select(F.col("id").alias(key))
+    return objects.join(order.select(F.col("id").alias(key)), key, "left_anti").unionByName(objects.join(kept, key, "left_semi"))
