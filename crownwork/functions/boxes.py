@@ -153,13 +153,15 @@ def turned_azimuth(azimuth: Column, degrees: Column) -> Column:
     return F.pmod(azimuth - degrees, F.lit(360))
 
 
-def clear_enough(boxes: DataFrame, px: DataFrame, key: str = "det_id", least_side: int = 10, least_share: float = 0.4) -> DataFrame:
-    """Boxes with sides of least_side at least, of whose pixels (image_id, y, x, luma) least_share aren't black."""
+def clear_enough(boxes: DataFrame, px: DataFrame, least_side: int = 10, least_share: float = 0.4) -> DataFrame:
+    """Boxes with sides of least_side at least, of whose pixels (image_id, y, x, luma) least_share aren't black. Boxes at the
+    same place are looked at once."""
     wide = boxes.where((F.col("xmax") - F.col("xmin") >= least_side) & (F.col("ymax") - F.col("ymin") >= least_side))
-    rows = wide.select(key, "image_id", F.col("xmin").alias("_x0"), F.col("xmax").alias("_x1"), F.explode(F.sequence(F.col("ymin").cast("bigint"), F.col("ymax").cast("bigint") - 1)).alias("y"))
-    seen = rows.join(px.select("image_id", "y", "x", "luma"), ["image_id", "y"]).where("x >= _x0 and x < _x1")
-    share = seen.groupBy(key).agg(F.avg((F.col("luma") > 0).cast("double")).alias("_s")).where(F.col("_s") >= least_share)
-    return wide.join(share.select(key), key, "left_semi")
+    place = ["image_id", *SIDES]
+    rows = wide.select(*place).distinct().select(*place, F.explode(F.sequence(F.col("ymin").cast("bigint"), F.col("ymax").cast("bigint") - 1)).alias("y"))
+    seen = rows.join(px.select("image_id", "y", "x", "luma"), ["image_id", "y"]).where("x >= xmin and x < xmax")
+    share = seen.groupBy(*place).agg(F.avg((F.col("luma") > 0).cast("double")).alias("_s")).where(F.col("_s") >= least_share)
+    return wide.join(share.select(*place), place, "left_semi").select(*boxes.columns)
 
 
 def rotation_copies(boxes: DataFrame, images: DataFrame, copies: int = 1, seed: int = 1, px: DataFrame | None = None, least_side: int = 10) -> DataFrame:
