@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored
 from .tokens import encoder, slices, texts_of
 
+#: Pieces that a worker keeps, and bytes of texts that it looks at together: in the pipeline it runs beside an executor that
+#: earlier steps have filled.
+KEPT, AT_ONCE = 200_000, 1_000_000
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -85,10 +89,10 @@ def places(made: list[tuple[list[tuple[int, int]], int]]) -> dict[int, tuple[np.
 
 def _pieces(path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, KEPT)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), texts_of(b.column(1))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, AT_ONCE):
                 flat, n = enc.ids(texts.slice(lo, hi - lo))
                 raw, sizes = memoryview(np.insert(flat, np.cumsum(n), end_id).astype("<u4").tobytes()), (n + 1).tolist()
                 rows, at = [], 0

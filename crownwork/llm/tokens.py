@@ -24,9 +24,9 @@ from .common import kept
 _MARK, _CUTS = "\x1f", (" ", ",", ".", "\n")
 
 
-def encoder(path: str) -> "PieceEncoder":
-    """One encoder for each worker process and vocabulary file."""
-    return kept(("pieces", path), lambda: PieceEncoder(path))
+def encoder(path: str, most: int = 500_000) -> "PieceEncoder":
+    """One encoder for each worker process and vocabulary file, with ``most`` pieces kept."""
+    return kept(("pieces", path, most), lambda: PieceEncoder(path, most))
 
 
 class _Memo(dict):
