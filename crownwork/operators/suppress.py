@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.boxes import area
 from ..functions.storage import discard, stored
 from .grouped import MOST, by_groups
+from .masks import nms_by_image, packed
 from .metrics import running_sums
 from .overlap import celled_spans, mask_measures, overlap_join, with_cells
 
@@ -132,9 +133,20 @@ def box_nms(boxes: DataFrame, iou: float = 0.5, coverage: float | None = 0.5, by
     return boxes.where(F.col(score).isNull()).unionByName(boxes.join(kept, key, "left_semi"))
 
 
-def mask_nms(objects: DataFrame, spans: DataFrame, iou: float = 0.3, key: str = "obj_id", score: str = "score") -> DataFrame:
+def mask_nms(objects: DataFrame, spans: DataFrame, iou: float = 0.3, key: str = "obj_id", score: str = "score", by: str = "image_id", loose: DataFrame | None = None) -> DataFrame:
     """The objects(obj_id, score) left of masks given as spans; an IoU above ``iou`` suppresses. Those without a span or a
-    score stay."""
+    score stay.
+
+    Objects that have an image (``by``), where their mask is, are finished by image; see ``operators.masks``. loose: the
+    masks packed, of spans that may overlap, for which an image's task needs no table of united ones."""
+    numbers = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    if by in objects.columns and all(df.schema[c].dataType.simpleString() in numbers[: 4 + 2 * (c == score)] for df, c in ((objects, key), (objects, score), (spans, "y"), (spans, "x0"), (spans, "x1"))):
+        found, big = nms_by_image(objects, packed(spans.where("x1 > x0"), by) if loose is None else loose, iou, key, score, by, loose is not None)
+        if big is None:
+            return found
+        rest = [df.join(big, by, "left_semi") for df in (objects, spans)]
+        left = mask_nms(rest[0].drop(by), rest[1], iou, key, score)
+        return found.unionByName(rest[0].join(left.select(key), key, "left_semi").select(*objects.columns))
     scored = objects.where(F.col(score).isNotNull()).select(F.col(key).alias("id"), F.col(score).alias("score"))
     rows = stored(spans.where("x1 > x0").withColumnRenamed("obj_id", "id").join(scored, "id"))
     first = _before(F.col("l_id.score"), F.col("r_id.score"), F.col("l_id.id"), F.col("r_id.id"))
