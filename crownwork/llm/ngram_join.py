@@ -6,7 +6,9 @@ row, however many they are. Three steps, none of which loses a link of Jaccard s
 1. Bounds. A set of n n-grams shares ceil(n * percent / 100) of them with each linked one, whatever that one's size. So
    if all n-grams stand in one order, linked sets have a common one among their first n - ceil(n * percent / 100) + 1.
    The order puts n-grams that many documents hold last (``levels_of``), so that a passage or line that is in many
-   texts brings none of them together. Of two sets that share a leading n-gram, bit strings of some bits for each n-gram
+   texts brings none of them together. Of some more leading n-grams they share as many more, so texts that have no more
+   than an n-gram in common, whose number grows with the square of the documents, aren't looked at (``SHARED``). Of two
+   sets that share so many, bit strings of some bits for each n-gram
    tell how many n-grams differ at least, and the sizes how many may; what differs in more is discarded. Of an n-gram
    that leads in more than ``crowd`` sets no pairs are made: sets of a part of them are put to leaders whose bits
    differ little, and leaders are chained if their bits differ in no more than three such steps allow (a linked pair's
@@ -35,6 +37,8 @@ from .components import components
 
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
+#: So many leading n-grams linked sets share, or one that leads in a crowd.
+SHARED = 3
 _SLOTS = 22  # bits of an n-gram's hash that find its place in the table of frequent ones
 
 
@@ -90,10 +94,11 @@ def _digest(key: np.ndarray, hashes: np.ndarray, n: int, salt: np.ndarray) -> np
     return mixed(mixed(high.astype(np.uint64) * _K[0] + salt) + low.astype(np.uint64) * _K[2])
 
 
-def leading_grams(hashes: np.ndarray, counts: np.ndarray, percent: int, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first n-grams of each set, on end, of which linked sets share one, and how many each has. level: by a hash's
-    first bits, how many documents hold it, in powers of two."""
-    first = counts - (counts * percent + 99) // 100 + (counts > 0)
+def leading_grams(hashes: np.ndarray, counts: np.ndarray, percent: int, level: np.ndarray, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of each set, on end, of which linked sets share ``shared``, or all that the larger one must have in
+    common, if those are fewer; and how many each has. level: by a hash's first bits, how many documents hold it, in powers
+    of two."""
+    first = np.minimum(counts - (counts * percent + 99) // 100 + shared, counts)
     rank = level[(hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | mixed(hashes) >> np.uint64(6)
     ends, out = np.cumsum(counts), []
     for n, end, k in zip(counts.tolist(), ends.tolist(), first.tolist()):
@@ -213,18 +218,24 @@ OPEN, SURE, CROWDED, LEADER = range(4)
 
 def _keyed(size: int, percent: int, sent, crowd: int):
     """The n-grams that lead in a set, with its node: key, a. Of one that leads in more than ``crowd`` sets of a batch
-    only leaders go on, and the pairs of the others with them: a, b."""
+    only leaders go on, and the pairs of the others with them: a, b.
+
+    A set of so few n-grams that one linked to it need not share ``SHARED`` has each of them under so many keys, those
+    beyond the first for such sets alone."""
 
     def run(batches):
         forget()
         for b in _parts(batches, 1):
             hashes, counts = word_sets(b.column(0), size)
-            keys, first = leading_grams(hashes, counts, percent, sent.value)
+            keys, first = leading_grams(hashes, counts, percent, sent.value, SHARED)
             nodes = node_of(hashes, counts).view(np.int64)
             nodes, row = np.unique(nodes, return_index=True)  # equal sets are one
             held = np.zeros(len(counts), bool)
             held[row] = True
             key, own = keys.view(np.int64)[np.repeat(held, first)], np.repeat(np.searchsorted(nodes, node_of(hashes, counts).view(np.int64)[held]), first[held])
+            few = ((counts[row] * percent + 99) // 100 < SHARED)[own]
+            more = [mixed(key[few].view(np.uint64) + _K[k % 4] + np.uint64(k)).view(np.int64) for k in range(1, SHARED)]
+            key, own = np.concatenate([key, *more]), np.concatenate([own, *[own[few]] * len(more)])
             order = np.argsort(key, kind="stable")
             key, own = key[order], own[order]
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -248,11 +259,11 @@ def _keyed(size: int, percent: int, sent, crowd: int):
 
 
 def _paired(crowd: int):
-    """Rows ordered by key, leaders first: the pairs of the nodes of a key (a, b). Of more than ``crowd`` nodes, or where a
-    batch had more, each with the key (a, b: the key)."""
+    """Rows ordered by key, leaders first: the pairs of the nodes of a key (a, b), and of how many keys. Of more than
+    ``crowd`` nodes, or where a batch had more, each with the key (a, b: the key)."""
 
-    def told(a, b, kind):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.broadcast_to(np.asarray(kind, np.int32), len(a)))], ["a", "b", "kind"])
+    def told(a, b, kind, times=1):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.array(np.broadcast_to(np.asarray(c, np.int32), len(a))) for c in (kind, times)]], ["a", "b", "kind", "times"])
 
     def solved(key, node, kind, full):
         """full: a key that is known to be crowded."""
@@ -267,8 +278,8 @@ def _paired(crowd: int):
             step = max(1, 500_000 // len(i))
             for at in range(0, len(rows), step):
                 pairs = np.stack([rows[at : at + step, i].ravel(), rows[at : at + step, j].ravel()], 1)
-                pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-                yield told(pairs[:, 0], pairs[:, 1], OPEN)
+                pairs, n = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0, return_counts=True)
+                yield told(pairs[:, 0], pairs[:, 1], OPEN, n)
 
     def run(batches):
         key, node, kind, full = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), None
@@ -519,8 +530,9 @@ def classed(docs: DataFrame, size: int = 3, percent: int = 90, family_docs: int
     nodes = known.select("node", "first", "n")
     sent = spark.sparkContext.broadcast(levels_of(found.where("gram is not null").select("gram", "times")))  # a byte a slot
     keyed = own.where("doc_id is not null").select("text").mapInArrow(_keyed(size, percent, sent, crowd), "key bigint, a bigint, b bigint, kind int")
-    paired = keyed.repartition("key").sortWithinPartitions("key", F.desc("kind"), "a").mapInArrow(_paired(crowd), "a bigint, b bigint, kind int")
-    pairs = stored(paired.distinct())
+    paired = keyed.repartition("key").sortWithinPartitions("key", F.desc("kind"), "a").mapInArrow(_paired(crowd), "a bigint, b bigint, kind int, times int")
+    counted = paired.groupBy("a", "b", "kind").agg(F.sum("times").alias("times"))
+    pairs = stored(counted.where((F.col("kind") != OPEN) | (F.col("times") >= SHARED)).drop("times"))
     sent.destroy()
     sides = [known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab"]
     open_pairs = pairs.where(F.col("kind") == OPEN).select("a", "b").join(small_hint(sides[0], broadcast_bytes), "a").join(small_hint(sides[1], broadcast_bytes), "b")

@@ -191,3 +191,24 @@ def test_components(spark):
     name = edges.selectExpr("explode(array(x, y)) x").distinct().selectExpr("x", "xxhash64(x) node")
     got = {r["x"]: r["root"] for r in found.join(name, "node").collect()}
     assert len({got[k] for k in range(501)}) == 1 and got[1000] == got[2000] and len({got[3000 + k] for k in range(300)}) == 1 and len(set(got.values())) == 3
+
+
+def test_one_ngram_in_common_makes_no_pair(spark, monkeypatch):
+    rng, seen, plain = random.Random(8), [], ngram_join.stored
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [[word() for _ in range(3)] for _ in range(60)]
+    rows = [(k, " ".join(w for part in (rng.sample(shared, 5) if k else shared[:5]) for w in [*part, *[word() for _ in range(4)]])) for k in range(300)]
+    rows += [(400, rows[7][1] + " more"), (401, "a b c"), (402, "a b c d"), (403, "a b c d e")]
+
+    def kept(df, *path):
+        out = plain(df, *path)
+        if out.columns == ["a", "b", "kind"] and not seen:
+            seen.append(out.where(f"kind = {ngram_join.OPEN}").count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", kept)
+    for percent in (50, 80):
+        seen.clear()
+        found = ngram_join.classed(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=percent)
+        assert sorted(map(tuple, found.collect())) == brute(rows, percent)
+        assert 0 < seen[0] < 300  # of some thousands that have an n-gram in common
